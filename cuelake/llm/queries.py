@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm.exact_dedup import exact_dedup, normalised
+from cuelake.llm.language_id import held_out, identify
+from cuelake.llm.language_id import train as train_languages
 from cuelake.llm.line_dedup import line_dedup
+from cuelake.llm.suffix_tree import lm_score
 from cuelake.staging import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,12 +22,24 @@ def op1_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = train_languages(docs.where(~held_out("doc_id", 4, 2)))
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "code_bits")
+
+
 def op6_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     digests = docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
     return exact_dedup(docs).join(digests, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_lm_score(spark: SparkSession, d: str) -> DataFrame:
+    out = lm_score(table(spark, d, "documents"), ~held_out("doc_id", 5, 1))
+    return out.select("doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 OP1_SQL = r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 lines AS (SELECT doc_id, i, lines[i] AS line,
@@ -47,7 +62,12 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_line_dedup": op1_line_dedup, "op6_exact_dedup": op6_exact_dedup}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op2_language_id": op2_language_id,
+        "op6_exact_dedup": op6_exact_dedup,
+        "op7_lm_score": op7_lm_score,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
