@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelake.llm.bpe import bpe_encode
+from cuelake.llm.decontaminate import contained_items
 from cuelake.llm.exact_dedup import exact_dedup, normalised
 from cuelake.llm.language_id import held_out, identify
 from cuelake.llm.language_id import train as train_languages
 from cuelake.llm.line_dedup import line_dedup
 from cuelake.llm.suffix_tree import lm_score
+from cuelake.llm.token_output import crc32_of, read_tokens, token_folder, write_tokens
 from cuelake.staging import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +32,15 @@ def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "code_bits")
 
 
+def op4_token_output(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    path = token_folder(spark)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        write_tokens(table(spark, d, "documents"), path, f.read(), end=2)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", crc32_of("ids").alias("ids_crc32"))
+
+
 def op6_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     digests = docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
@@ -40,6 +52,18 @@ def op7_lm_score(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_bpe(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        out = bpe_encode(table(spark, d, "documents"), f.read(), public_tokenizers.PATTERN, decode=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return contained_items(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 OP1_SQL = r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 lines AS (SELECT doc_id, i, lines[i] AS line,
@@ -53,6 +77,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+OP10_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words)),
+item_words AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+items AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item_words)),
+sizes AS (SELECT item_id, count(*) AS n_shingles FROM items GROUP BY item_id),
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM grams JOIN items USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles::DOUBLE AS containment
+FROM shared JOIN sizes USING (item_id) WHERE n_shared * 100 >= 80 * n_shingles
+"""
+
 OP6_SQL = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -65,10 +100,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_language_id": op2_language_id,
+        "op4_token_output": op4_token_output,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_lm_score": op7_lm_score,
+        "op9_bpe": op9_bpe,
+        "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}

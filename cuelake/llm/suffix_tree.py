@@ -134,12 +134,13 @@ def _base(ends: int, total: int, kinds: int):
     floor = math.log10(total + 0.5 * (kinds + 1)) if total else 0.0
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        decoded = [np.cumsum(np.frombuffer(x, np.int32)) for x in docs["codes"].to_pylist()]
         codes = words["code"].to_numpy()
-        known = np.zeros(int(codes.max()) + 1 if len(codes) else 1)
+        known = np.zeros(1 + max([-1, *(int(x[-1]) for x in decoded if len(x)), int(codes.max(initial=-1))]))
         known[codes] = words["c"].to_numpy()
         base, n_known = [], []
-        for delta, times in zip(docs["codes"].to_pylist(), docs["counts"].to_pylist(), strict=True):
-            c, n = known[np.cumsum(np.frombuffer(delta, np.int32))], np.frombuffer(times, np.int32)
+        for code, times in zip(decoded, docs["counts"].to_pylist(), strict=True):
+            c, n = known[code], np.frombuffer(times, np.int32)
             base.append(float((n * np.log10(c + 0.5)).sum() + math.log10(ends + 0.5) - (n.sum() + 1) * floor) if total else 0.0)
             n_known.append(int(n[c > 0].sum()) + (ends > 0))
         return pa.table({"id": docs["id"], "train": docs["train"], "n_tokens": docs["n_tokens"], "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": docs["score"]})
