@@ -99,11 +99,12 @@ def repeat_filter(hashes: DataFrame, bits: int) -> np.ndarray:
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, filter_bits: int = 1 << 26) -> DataFrame:
     """One row per id that loses lines: id, drop_keys (xxhash64 of the keys of its dropped lines)."""
     lines = docs.select(F.col(id_col).alias("_id"), F.explode(lines_of(F.col(text_col))).alias("_line"))
-    keys = lines.select("_id", line_key(F.col("_line")).alias("_key")).where(F.length("_key") >= min_chars)
-    keys = keys.withColumn("_hash", F.xxhash64("_key"))
+    trimmed = lines.select("_id", F.btrim("_line", F.lit(WHITE)).alias("_line")).where(F.length("_line") >= min_chars)
+    # the filters see full lower-casing, which is cheaper and only ever makes more lines alike
+    keys = trimmed.withColumn("_rough", F.xxhash64(F.lower("_line")))
 
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(repeat_filter(keys.select("_hash"), filter_bits))
+    shared = spark.sparkContext.broadcast(repeat_filter(keys.select("_rough"), filter_bits))
 
     @F.pandas_udf("boolean")
     def may_repeat(hashes):
@@ -113,7 +114,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         a, b = _places(hashes.to_numpy(), filter_bits)
         return pd.Series(((bitmap[a >> 3] >> (7 - (a & 7))) & (bitmap[b >> 3] >> (7 - (b & 7))) & 1).astype(bool))
 
-    suspects = keys.where(may_repeat("_hash")).select("_id", "_hash", F.unhex(F.sha2("_key", 256)).alias("_sha")).distinct()
+    suspects = keys.where(may_repeat("_rough")).withColumn("_key", line_key(F.col("_line")))
+    suspects = suspects.select("_id", F.xxhash64("_key").alias("_hash"), F.unhex(F.sha2("_key", 256)).alias("_sha")).distinct()
     suspects = written(suspects, "lines-suspects")
     confirmed = suspects.groupBy("_sha").agg(F.count("*").alias("n"), F.max("_id").alias("_keep")).where(F.col("n") >= min_docs)
     confirmed = written(confirmed.select("_sha", "_keep"), "lines-confirmed")
@@ -143,7 +145,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         key = line_key(line)
         return ~((F.length(key) >= min_chars) & F.array_contains("drop_keys", F.xxhash64(key)))
 
-    kept = F.when(F.col("drop_keys").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.array_join(F.filter(lines, stays), "\n"))
-    n_kept = F.when(F.col("drop_keys").isNull(), F.size(lines)).otherwise(F.size(F.filter(lines, stays)))
-    n_lines = F.size(lines).cast("long")
-    return joined.select(F.col("_doc").alias(id_col), kept.alias("kept_text"), n_lines.alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_dropped"))
+    kept = joined.withColumns({"_n": F.size(lines).cast("long"), "_kept": F.when(F.col("drop_keys").isNotNull(), F.filter(lines, stays))})
+    n_dropped = F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.col("_n") - F.size("_kept")).cast("long")
+    kept_text = F.coalesce(F.array_join("_kept", "\n"), F.col("_text"), F.lit(""))
+    return kept.select(F.col("_doc").alias(id_col), kept_text.alias("kept_text"), F.col("_n").alias("n_lines"), n_dropped.alias("n_dropped"))
