@@ -5,30 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.llm.bitmap import bitmap_of, marked
 from cuelake.staging import written
 
-#: Bits of one row of bitmap_construct_agg.
-BUCKET_BITS = 32768
-
-
 def normalised(text: Column) -> Column:
     """Every run of ASCII white space as one space; null as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _bit(filter_bits: int) -> Column:
-    return F.pmod(F.xxhash64("_len", "_prefix"), F.lit(filter_bits))
-
-
-def _marked(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """`rows` with _marked: whether the bit of (_len, _prefix) is set in the bitmap."""
-    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_pos div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    placed = rows.withColumns({"_bucket": F.bitmap_bucket_number("_bit"), "_pos": F.bitmap_bit_position("_bit")})
-    is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(_pos % 8 as int))")) != 0
-    joined = placed.join(F.broadcast(bitmap), "_bucket", "left").withColumn("_marked", F.coalesce(is_set, F.lit(False)))
-    return joined.drop("_bitmap", "_bucket", "_pos", "_bit")
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, filter_bits: int = 1 << 23) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept.
 
@@ -53,18 +37,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lengths = keys.groupBy("_len").agg(F.count("*").alias("n")).where("n > 1")
     same_length = keys.join(written(lengths, "dedup-lengths").select("_len"), "_len", "left_semi")
     suspects = same_length.groupBy("_len", "_prefix").agg(F.count("*").alias("n")).where("n > 1")
-    bits = suspects.select(_bit(filter_bits).alias("_bit"))
-    bitmap = written(
-        bits.groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bitmap")),
-        "dedup-bitmap",
-    )
+    key = F.xxhash64("_len", "_prefix")
+    bitmap = bitmap_of(suspects, key, filter_bits)
 
-    hashed = _marked(keyed.withColumn("_bit", _bit(filter_bits)), bitmap).where("_marked")
+    hashed = marked(keyed, key, bitmap, filter_bits).where("_marked")
     hashed = written(hashed.select("_id", "_len", F.unhex(F.sha2("_text", 256)).alias("_sha")), "dedup-hashes")
     groups = hashed.groupBy("_len", "_sha").agg(F.count("*").alias("group_size"), F.min("_id").alias("keep_id")).where("group_size > 1")
     groups = written(groups, "dedup-groups")
 
-    alone = _marked(keys.withColumn("_bit", _bit(filter_bits)), bitmap).where(~F.col("_marked"))
+    alone = marked(keys, key, bitmap, filter_bits).where(~F.col("_marked"))
     alone = alone.select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     found = hashed.join(groups, ["_len", "_sha"], "left").select(
         "_id",

@@ -13,6 +13,7 @@ from cuelake.llm.exact_dedup import exact_dedup, normalised
 from cuelake.llm.language_id import held_out, identify
 from cuelake.llm.language_id import train as train_languages
 from cuelake.llm.line_dedup import line_dedup
+from cuelake.llm.quality import quality_score
 from cuelake.llm.suffix_tree import lm_score
 from cuelake.llm.token_output import crc32_of, read_tokens, token_folder, write_tokens
 from cuelake.staging import table
@@ -32,6 +33,12 @@ def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "code_bits")
 
 
+def op3_quality(spark: SparkSession, d: str) -> DataFrame:
+    labels = table(spark, d, "labels").where(~held_out("doc_id", 5, 0))
+    out = quality_score(table(spark, d, "documents").select("doc_id", "text"), labels)
+    return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_token_output(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers
 
@@ -100,6 +107,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_language_id": op2_language_id,
+        "op3_quality": op3_quality,
         "op4_token_output": op4_token_output,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_lm_score": op7_lm_score,
