@@ -13,6 +13,7 @@ from cuelake.llm.exact_dedup import exact_dedup, normalised
 from cuelake.llm.language_id import held_out, identify
 from cuelake.llm.language_id import train as train_languages
 from cuelake.llm.line_dedup import line_dedup
+from cuelake.llm.pii import sanitise
 from cuelake.llm.quality import quality_score
 from cuelake.llm.suffix_tree import lm_score
 from cuelake.llm.token_output import crc32_of, read_tokens, token_folder, write_tokens
@@ -59,6 +60,11 @@ def op7_lm_score(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_pii(spark: SparkSession, d: str) -> DataFrame:
+    out = sanitise(table(spark, d, "documents"), with_text=False)
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op9_bpe(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers
 
@@ -111,6 +117,7 @@ def queries() -> dict[str, Query]:
         "op4_token_output": op4_token_output,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_lm_score": op7_lm_score,
+        "op8_pii": op8_pii,
         "op9_bpe": op9_bpe,
         "op10_decontamination": op10_decontamination,
     }
