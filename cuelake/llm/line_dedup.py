@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +98,18 @@ def repeat_filter(hashes: DataFrame, bits: int) -> np.ndarray:
     return full.reshape(-1)
 
 
+def suspected(shared: Broadcast, bits: int):
+    """A function of a column of hashes: whether the broadcast filter says that they may repeat."""
+
+    @F.pandas_udf("boolean")
+    def may_repeat(hashes: pd.Series) -> pd.Series:
+        bitmap = shared.value
+        a, b = _places(hashes.to_numpy(), bits)
+        return pd.Series(((bitmap[a >> 3] >> (7 - (a & 7))) & (bitmap[b >> 3] >> (7 - (b & 7))) & 1).astype(bool))
+
+    return may_repeat
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, filter_bits: int = 1 << 26) -> DataFrame:
     """One row per id that loses lines: id, drop_keys (xxhash64 of the keys of its dropped lines)."""
     lines = docs.select(F.col(id_col).alias("_id"), F.explode(lines_of(F.col(text_col))).alias("_line"))
@@ -106,14 +120,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(repeat_filter(keys.select("_rough"), filter_bits))
 
-    @F.pandas_udf("boolean")
-    def may_repeat(hashes):
-        import pandas as pd
-
-        bitmap = shared.value
-        a, b = _places(hashes.to_numpy(), filter_bits)
-        return pd.Series(((bitmap[a >> 3] >> (7 - (a & 7))) & (bitmap[b >> 3] >> (7 - (b & 7))) & 1).astype(bool))
-
+    may_repeat = suspected(shared, filter_bits)
     suspects = keys.where(may_repeat("_rough")).withColumn("_key", line_key(F.col("_line")))
     suspects = suspects.select("_id", F.xxhash64("_key").alias("_hash"), F.unhex(F.sha2("_key", 256)).alias("_sha")).distinct()
     suspects = written(suspects, "lines-suspects")

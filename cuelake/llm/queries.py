@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cuelake.llm.bpe import bpe_encode
 from cuelake.llm.decontaminate import contained_items
 from cuelake.llm.exact_dedup import exact_dedup, normalised
+from cuelake.llm.jaccard_join import near_duplicates
 from cuelake.llm.language_id import held_out, identify
 from cuelake.llm.language_id import train as train_languages
 from cuelake.llm.line_dedup import line_dedup
@@ -49,6 +50,11 @@ def op4_token_output(spark: SparkSession, d: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", crc32_of("ids").alias("ids_crc32"))
 
 
+def op5_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    out = near_duplicates(table(spark, d, "documents"), width=4, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op6_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     digests = docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
@@ -115,6 +121,7 @@ def queries() -> dict[str, Query]:
         "op2_language_id": op2_language_id,
         "op3_quality": op3_quality,
         "op4_token_output": op4_token_output,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_lm_score": op7_lm_score,
         "op8_pii": op8_pii,
