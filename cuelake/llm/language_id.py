@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from cuelake.llm.contexts import Automaton, counted, grams, levels_of, small_batches, stream
 
@@ -93,8 +94,8 @@ def _predict(model: Broadcast, keep: list[str]):
     return run
 
 
-def identify(docs: DataFrame, model: dict[str, list], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, lang_pred, score (0 to 1), code_bits.
+def identify(docs: DataFrame, model: dict[str, list], id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row per input row: id, the columns named in `carry`, lang_pred, score (0 to 1), code_bits.
 
     Every whole text is scored under each language's context tree with frozen statistics: code_bits is
     the exact code length under the best tree, score that language's share of the probability, with
@@ -103,10 +104,10 @@ def identify(docs: DataFrame, model: dict[str, list], id_col: str = "doc_id", te
     table gives no rows; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast({"levels": model})
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    kind = dict(rows.dtypes)["_id"]
-    out = rows.mapInArrow(_predict(shared, ["_id"]), f"_id {kind}, lang_pred string, score double, code_bits double")
-    return out.withColumnRenamed("_id", id_col)
+    keep = ["_id", *(carry or [])]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(carry or []))
+    schema = StructType([rows.schema[k] for k in keep] + [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("code_bits", DoubleType())])
+    return rows.mapInArrow(_predict(shared, keep), schema).withColumnRenamed("_id", id_col)
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:
