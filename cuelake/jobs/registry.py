@@ -6,31 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelake.operators import cues
-from cuelake.staging import table
-
-#: The driver's events as subtitle events.
-EV = """
-WITH ev AS (SELECT user_id AS ep, event_id AS ord, (epoch_us(ts) - 1704067200000000) / 1000000.0::DOUBLE AS start,
-                   (epoch_us(ts) - 1704067200000000) / 1000000.0::DOUBLE + value * 3600.0::DOUBLE AS "end", event_type AS text FROM events)
-"""
+from cuelake.jobs import cue_queries, shot_queries, vector_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _visible_text(spark: SparkSession, d: str) -> DataFrame:
-    return cues.visible_text(cues.events_as_subtitles(table(spark, d, "events")))
-
-
 def queries() -> dict[str, Query]:
-    return {"j1_visible_text": _visible_text}
+    return cue_queries.QUERIES | shot_queries.QUERIES | vector_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "j1_visible_text": EV + """
-            , spans AS (SELECT DISTINCT ep, start, "end", (start + "end") / 2 AS mid FROM ev),
-            hits AS (SELECT s.ep, s.start, s."end", e.text, min(e.ord) AS first
-                     FROM spans s JOIN ev e ON e.ep = s.ep AND e.start <= s.mid AND s.mid < e."end" GROUP BY ALL)
-            SELECT ep, start, "end", string_agg(text, chr(10) ORDER BY first) AS text FROM hits GROUP BY ep, start, "end\""""
-    }
+    return cue_queries.SQL | shot_queries.SQL | vector_queries.SQL

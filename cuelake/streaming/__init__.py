@@ -1 +1,47 @@
+"""Incremental forms: outcomes of postings, cadence, and loading of shots."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def outcomes_folded(outcomes: DataFrame, late: str = "1 hour") -> DataFrame:
+    """ST2: postings per path from outcomes (rkey, path, outcome, ts); works on a stream and on a table.
+
+    A record key reported again within the watermark counts once; later than that it would count again.
+    """
+    if outcomes.isStreaming:
+        once = outcomes.withWatermark("ts", late).dropDuplicatesWithinWatermark(["rkey"])
+    else:
+        once = outcomes.dropDuplicates(["rkey"])
+    posted = F.col("outcome") == "posted"
+    return once.groupBy("path").agg(
+        F.count_if(posted).alias("posts"), F.max(F.when(posted, F.col("ts"))).alias("last_posted"), F.coalesce(F.bool_or(F.col("outcome") == "refused"), F.lit(False)).alias("skip")
+    )
+
+
+def hourly(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """ST3: events per hour."""
+    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    return rows.groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), "n")
+
+
+def sliding_days(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """ST3: events of the day up to each hour."""
+    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    return rows.groupBy(F.window("ts", "1 day", "1 hour")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("day_from"), "n")
+
+
+def sessions(events: DataFrame, gap: str, key: str, late: str = "1 day") -> DataFrame:
+    """ST3: runs of events of a key without a gap."""
+    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    return rows.groupBy(key, F.session_window("ts", gap)).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("first"), "n")
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what its source holds now and return the complete result."""
+    spark = stream.sparkSession
+    query = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
