@@ -9,16 +9,16 @@ from cuelake.staging import written
 
 
 def bitmap_of(keys: DataFrame, key: Column, bits: int) -> DataFrame:
-    """Rows (_bucket, _bitmap) with a bit set for each key (a 64-bit hash): bits / 8 bytes at most, whatever
+    """Rows (_bucket, _bitmap, buckets from 1) with a bit set for each key (a 64-bit hash): bits / 8 bytes at most, whatever
     the number of keys."""
-    bit = keys.select(F.pmod(key, F.lit(bits)).alias("_bit"))
+    bit = keys.select((F.pmod(key, F.lit(bits)) + 1).alias("_bit"))
     rows = bit.groupBy(F.bitmap_bucket_number("_bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bitmap"))
     return written(rows, "bitmap")
 
 
 def marked(rows: DataFrame, key: Column, bitmap: DataFrame, bits: int) -> DataFrame:
     """`rows` with _marked: whether the key's bit is set. Keys of the bitmap always are, others rarely."""
-    placed = rows.withColumn("_bit", F.pmod(key, F.lit(bits)))
+    placed = rows.withColumn("_bit", F.pmod(key, F.lit(bits)) + 1)
     placed = placed.withColumns({"_bucket": F.bitmap_bucket_number("_bit"), "_pos": F.bitmap_bit_position("_bit")})
     byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_pos div 8 as int) + 1, 1)")), 16, 10).cast("int")
     is_set = byte.bitwiseAND(F.expr("shiftleft(1, cast(_pos % 8 as int))")) != 0

@@ -62,14 +62,16 @@ def _prefixes(width: int, percent: int, shared):
     return run
 
 
-def _fragments(width: int):
+def _fragments(width: int, wanted: range):
+    """Parts of whole sets, in the fragments asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "_text"):
             sets = _sets(batch.column("_text"), width)
             cuts = [[0, *np.searchsorted(s, np.array([k << 62 for k in range(1, FRAGMENTS)], np.uint64)).tolist(), len(s)] for s in sets]
-            ids = batch.column("_id").take(pa.array(np.repeat(np.arange(len(sets)), FRAGMENTS)))
-            parts = [s[a:b] for s, c in zip(sets, cuts, strict=True) for a, b in zip(c, c[1:], strict=False)]
-            yield pa.RecordBatch.from_pydict({"_id": ids, "fragment": pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(sets))), "part": _longs(parts)})
+            ids = batch.column("_id").take(pa.array(np.repeat(np.arange(len(sets)), len(wanted))))
+            parts = [x[c[k] : c[k + 1]] for x, c in zip(sets, cuts, strict=True) for k in wanted]
+            yield pa.RecordBatch.from_pydict({"_id": ids, "fragment": pa.array(np.tile(np.array(wanted, np.int32), len(sets))), "part": _longs(parts)})
 
     return run
 
@@ -126,26 +128,34 @@ class Join:
             current = written(current.join(moved, "_id", "left_anti").unionByName(new), "jaccard-prefixes")
         return self.repeated(current.select(F.explode("prefix").alias("token"), "_id", "n"))
 
+    def parts(self, pairs: DataFrame, wanted: range) -> tuple[DataFrame, DataFrame]:
+        """Fragments of the sets that pairs need, for either side."""
+        ids = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
+        found = written(self.of(ids).mapInArrow(_fragments(self.width, wanted), f"_id {self.kind}, fragment int, part array<long>"), "jaccard-fragments")
+        return found.toDF("a", "fragment", "part_a"), found.toDF("b", "fragment", "part_b")
+
     def overlaps(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, n_a, b, n_b) with bounds of their overlap, low and high; equal where the pair may link.
 
         Partial overlaps of each fragment of the order are counted apart and added up per pair. Sets
         that are alike differ in few shingles; what differs in the first fragment alone can be too much.
         """
-        ids = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
-        parts = written(self.of(ids).mapInArrow(_fragments(self.width), f"_id {self.kind}, fragment int, part array<long>"), "jaccard-fragments")
-        a, b = parts.toDF("a", "fragment", "part_a"), parts.toDF("b", "fragment", "part_b")
-        need = F.ceil(F.col("n_a") * 0 + F.lit(self.percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + self.percent))
-
-        first = pairs.join(b.where("fragment = 0"), "b").drop("fragment").join(a.where("fragment = 0").drop("fragment"), "a")
+        need = F.ceil(F.lit(self.percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + self.percent))
         same = F.size(F.array_intersect("part_a", "part_b")).cast("long")
+
+        a, b = self.parts(pairs, range(1))
+        first = pairs.join(b.drop("fragment"), "b").join(a.drop("fragment"), "a")
         first = first.select("a", "n_a", "b", "n_b", same.alias("same"), (F.size("part_a") + F.size("part_b")).alias("sizes"))
         rest = F.floor((F.col("n_a") + F.col("n_b") - F.col("sizes")) / 2)
         first = first.withColumn("high", F.col("same") + F.least(rest, F.least("n_a", "n_b") - F.col("same")))
-        first = written(first.withColumn("open", F.col("high") >= need), "jaccard-first")
-
-        more = first.where("open").select("a", "b").join(b.where("fragment > 0"), "b").join(a.where("fragment > 0"), ["a", "fragment"])
-        summed = more.groupBy("a", "b").agg(F.sum(same).alias("more"))
+        first = first.withColumn("open", F.col("high") >= need).dropDuplicates(["a", "b"])  # ids that repeat give parts that do
+        first = written(first, "jaccard-first")
+
+        still = first.where("open").select("a", "b")
+        a, b = self.parts(still, range(1, FRAGMENTS))
+        more = still.join(b, "b").join(a, ["a", "fragment"])
+        more = more.groupBy("a", "b", "fragment").agg(F.max(same).alias("same"))
+        summed = more.groupBy("a", "b").agg(F.sum("same").alias("more"))
         done = first.where("open").join(summed, ["a", "b"]).withColumn("same", F.col("same") + F.col("more")).withColumn("high", F.col("same"))
         out = done.select("a", "n_a", "b", "n_b", F.col("same").alias("low"), "high")
         return out.unionByName(first.where("NOT open").select("a", "n_a", "b", "n_b", F.col("same").alias("low"), "high"))
@@ -161,7 +171,7 @@ class Join:
         pairs = tokens.join(hubs, "token").where((F.col("comp") != F.col("comp_a")) & self.fits(F.col("n"), F.col("n_a")))
         return written(pairs.select("a", "n_a", F.col("_id").alias("b"), F.col("n").alias("n_b")).distinct(), "jaccard-star")
 
-    def rest(self, tokens: DataFrame, checked: DataFrame) -> DataFrame:
+    def rest(self, tokens: DataFrame, checked: DataFrame | None) -> DataFrame:
         """All pairs of a token's documents that are in different components and can still link.
 
         Jaccard distance is a metric: two documents whose distances to the token's hub differ by more than
@@ -170,6 +180,9 @@ class Join:
         several = tokens.groupBy("token").agg(F.min("_id").alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
         left = tokens.join(written(several.select("token", "hub"), "jaccard-several"), "token").select("token", "_id", "n", "comp", "hub")
         total = F.col("n_a") + F.col("n_b")
+        if checked is None:  # no star had a pair of fitting sizes
+            kind = self.kind
+            checked = self.spark.createDataFrame([], f"a {kind}, n_a long, b {kind}, n_b long, low long, high long")
         seen = checked.select(
             F.col("a").alias("hub"), F.col("b").alias("_id"), (1 - F.col("high") / (total - F.col("high"))).alias("near"), (1 - F.col("low") / (total - F.col("low"))).alias("far")
         ).dropDuplicates(["hub", "_id"])
@@ -211,7 +224,7 @@ class Join:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hot_docs: int = 32, filter_bits: int = 1 << 26, rounds: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hot_docs: int = 32, filter_bits: int = 1 << 26, rounds: int = 1
 ) -> DataFrame:
     """One row per input row: id, n_shingles, class_id, component_id.
 
