@@ -127,3 +127,72 @@ def first_seen(listings: list[DataFrame], key: str, order: str) -> DataFrame:
         all_rows = x if all_rows is None else all_rows.unionByName(x)
     k = F.row_number().over(W.partitionBy(key).orderBy("_source", order))
     return all_rows.withColumn("_k", k).where("_k = 1").drop("_k", "_source")
+
+
+def with_missing(episodes: DataFrame, missing: dict[str, list[int]]) -> DataFrame:
+    """Whether (serial, part) is in a lookup of missing parts. The lookup is part of the job's text, so it is broadcast."""
+    rows = [(serial, part) for serial, parts in missing.items() for part in parts]
+    lookup = episodes.sparkSession.createDataFrame(rows, "serial string, part int").distinct().withColumn("_m", F.lit(True))
+    return episodes.join(F.broadcast(lookup), ["serial", "part"], "left").withColumn("missing", F.col("_m").isNotNull()).drop("_m")
+
+
+def placed_files(files: DataFrame, single: DataFrame) -> DataFrame:
+    """Season, serial folder and part of a file's path, or the reason why it has none.
+
+    `S01E02` in the name counts first (not season 0), then `Part <word>`, `Episode <n>` and ` - <n> - `, a
+    number that is 0 or can't be read passing on to the next; a serial of a single part (single: season, serial)
+    is part 1; in a folder that ends in `lo-hi` parts below lo count from lo.
+    """
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    season = F.regexp_extract(F.element_at(parts, 1), r"^Season ([0-9]+)$", 1).try_cast("int")
+    folder = F.when(F.size(parts) >= 3, F.element_at(parts, 2))
+    coded = F.regexp_extract(name, r"(?i)S([0-9]+)E([0-9]+)", 1).try_cast("int")
+    number = F.regexp_extract(name, r"(?i)S([0-9]+)E([0-9]+)", 2).try_cast("int")
+    found = [_part(F.regexp_extract(name, p, 1)) for p in (r"(?i)\bPart ([A-Za-z0-9]+)", r"(?i)\bEpisode ([0-9]+)", r" - ([0-9]+) - ")]
+    part = F.coalesce(*(F.when(p != 0, p) for p in found))
+    rows = files.withColumns({"season": F.when(coded > 0, coded).otherwise(season), "serial": folder, "_coded": F.when(coded > 0, number), "_part": part})
+    one = single.select("season", "serial", F.lit(True).alias("_one"))
+    rows = rows.join(one, ["season", "serial"], "left")
+    low = F.regexp_extract("serial", r"([0-9]+)-[0-9]+$", 1).try_cast("int")
+    counted = F.coalesce("_part", F.when(F.col("_one"), F.lit(1)))
+    counted = F.when((low > 0) & (counted < low), counted + low - 1).otherwise(counted)
+    final = F.coalesce("_coded", counted)
+    reason = F.when(F.col("serial").isNull(), "not in a serial's folder").when(F.col("season").isNull(), "no season").when(final.isNull(), "no part number")
+    return rows.withColumns({"part": final, "reason": reason}).drop("_coded", "_part", "_one")
+
+
+def listed_matches(labels: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Labels (season, story, label) to episodes by part number where the label is `part n` or `episode n`, else by title."""
+    bare = F.regexp_replace(F.lower("label"), r"\s*\(reconstruction\)$", "")
+    number = F.regexp_extract(bare, r"^(?:part|episode) ([0-9]+)$", 1).try_cast("int")
+    rows = labels.withColumns({"_n": number, "_t": F.when(number.isNull(), bare)})
+    by_part = episodes.select("season", "story", F.col("part").alias("_n"), F.col("episode").alias("_a"))
+    by_title = episodes.select("season", "story", F.lower("title").alias("_t"), F.col("episode").alias("_b")).where("_t IS NOT NULL")
+    j = rows.join(by_part, ["season", "story", "_n"], "left").join(by_title, ["season", "story", "_t"], "left")
+    return j.withColumn("episode", F.coalesce("_a", "_b")).drop("_n", "_t", "_a", "_b")
+
+
+def eligible(episodes: DataFrame, allowed: list[str]) -> DataFrame:
+    """P10: (serial, kind, file, has_subs, animated_story) with the first reason to skip an episode, null for none."""
+    drawn = (F.col("kind") == "animation") & ~F.col("serial").isin(allowed)
+    reason = F.when(F.col("animated_story"), "story is animated").when(drawn, "animation").when(F.coalesce("file", F.lit("")) == "", "no file").when(F.col("has_subs") != "yes", "no subtitles")
+    return episodes.withColumn("reason", reason)
+
+
+def catalogue_rows(episodes: DataFrame, files: DataFrame, notes: DataFrame) -> DataFrame:
+    """An episode's row: its best file's subtitle state (yes, no or empty), descriptions joined, the episode's note or the serial's.
+
+    files: episode, rank, label, tracks (array of string); notes: serial, part (null: of the serial), note."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", "label", "tracks")))
+    gathered = files.groupBy("episode").agg(rows.alias("_f"))
+    own = notes.where("part IS NOT NULL").select("serial", "part", F.col("note").alias("_own"))
+    general = notes.where("part IS NULL").select("serial", F.col("note").alias("_general"))
+    j = episodes.join(gathered, "episode", "left").join(F.broadcast(own), ["serial", "part"], "left").join(F.broadcast(general), "serial", "left")
+    best = F.get("_f", F.lit(0))
+    has = F.when(F.col("_f").isNull(), "").when(F.size(best["tracks"]) > 0, "yes").otherwise("no")
+    others = F.array_join(F.transform(F.filter("_f", lambda f: f["rank"] > best["rank"]), lambda f: f["label"]), "; ")
+    return j.select(
+        "episode", "serial", "part", F.coalesce(best["label"], F.lit("")).alias("version"), has.alias("has_subs"), F.coalesce(F.array_join(best["tracks"], "; "), F.lit("")).alias("subtitle_tracks"),
+        F.coalesce(others, F.lit("")).alias("other_versions"), F.coalesce("_own", "_general", F.lit("")).alias("notes"),
+    )

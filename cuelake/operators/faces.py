@@ -180,3 +180,12 @@ def grouped(faces: DataFrame, within: int = 5, across: int = 3, least: int = 25,
     found = parts.join(clusters, "group").select("id", "cluster")
     numbers = numbered_groups(found, "cluster", least)
     return found.join(numbers, "cluster").select("id", F.col("number").alias("cluster"))
+
+
+def wrong_marks(edits: DataFrame, names: DataFrame) -> DataFrame:
+    """M5: edits (face_id, cluster, at, wrong) folded to marks: the last edit of a face counts. Marked as wrong, a face has no
+    person and not_person is the group's name, empty for a group without; unmarked, it has the group's name again."""
+    last = edits.groupBy("face_id").agg(F.max(F.struct("at", "cluster", "wrong")).alias("e")).select("face_id", "e.cluster", "e.wrong")
+    j = last.join(names.select("cluster", F.col("person").alias("_name")), "cluster", "left")
+    marks = j.select("face_id", F.when(~F.col("wrong"), F.col("_name")).alias("person"), F.when(F.col("wrong"), F.coalesce("_name", F.lit(""))).alias("not_person"))
+    return marks.where("person IS NOT NULL OR not_person IS NOT NULL")

@@ -1 +1,58 @@
 
+"""Files that hold cues: readers and writers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+#: Columns of subtitle CSV files; each file has the first four and some of the others.
+CSV_COLUMNS = {"shot": "string", "start": "double", "end": "double", "text": "string", "sub_image": "string", "sub_pos": "string", "segments": "string", "placement": "string"}
+
+
+def _stamp(column: str) -> Column:
+    ms = F.rint(F.col(column) * F.lit(1000.0)).cast("long")
+    return F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
+
+
+def srt_blocks(cues: DataFrame) -> DataFrame:
+    """S3: cues (ep, ord, start, end, text) as numbered blocks (ep, number, block); blank texts dropped, numbered by start."""
+    some = cues.where(F.btrim("text") != "")
+    number = F.row_number().over(W.partitionBy("ep").orderBy("start", "ord")).cast("long")
+    rows = some.withColumn("number", number)
+    block = F.concat_ws("\n", F.col("number").cast("string"), F.concat(_stamp("start"), F.lit(" --> "), _stamp("end")), F.btrim("text"))
+    return rows.select("ep", "number", block.alias("block"))
+
+
+def read_srt(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """S3: blocks of SRT files: path, number, start, end, text."""
+    raw = spark.read.option("lineSep", "\n\n").text(paths).select(F.col("_metadata.file_path").alias("path"), F.btrim("value", F.lit("\n")).alias("b"))
+    clock = r"([0-9]+):([0-9]+):([0-9]+),([0-9]+)"
+    seconds = lambda g: sum(F.regexp_extract("b", rf"^\s*[0-9]+\n{clock} --> {clock}", g + i).try_cast("double") * w for i, w in enumerate((3600.0, 60.0, 1.0, 0.001)))
+    rows = raw.select("path", F.regexp_extract("b", r"^\s*([0-9]+)\n", 1).try_cast("int").alias("number"), seconds(1).alias("start"), seconds(5).alias("end"), F.regexp_extract("b", r"(?s)-->[^\n]*\n(.*)$", 1).alias("text"))
+    return rows.where("start IS NOT NULL")
+
+
+def read_subtitle_csv(spark: SparkSession, pattern: str) -> DataFrame:
+    """All subtitle CSV files under a path with wildcards, whichever columns each has, rows with a shot only.
+
+    Spark gives CSV columns by place, so files are read in groups with the same header; there are a handful
+    of headers, however many files."""
+    headers = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), "value").where("b = 0 AND value LIKE 'shot,%'")
+    kinds = [r["value"] for r in headers.select("value").distinct().collect()]
+    out = None
+    for header in kinds:
+        columns = header.strip().split(",")
+        schema = ", ".join(f"`{c}` {CSV_COLUMNS.get(c, 'string')}" for c in columns)
+        rows = spark.read.options(header=True, multiLine=True, escape='"', enforceSchema=True).schema(schema).csv(pattern).withColumn("path", F.col("_metadata.file_path"))
+        mine = rows.join(headers.where(F.col("value") == header).select("path").distinct(), "path", "left_semi").where("shot <> ''")
+        out = mine if out is None else out.unionByName(mine, allowMissingColumns=True)
+    return out if out is not None else spark.createDataFrame([], "path string, " + ", ".join(f"`{c}` {t}" for c, t in CSV_COLUMNS.items()))
+
+
+def write_subtitle_csv(cues: DataFrame, path: str) -> None:
+    """Shot, start and end to the millisecond, text, and segments and placement as JSON if they are there."""
+    nested = [c for c in ("segments", "placement") if c in cues.columns]
+    columns = ["shot", *(F.format_string("%.3f", F.col(c)).alias(c) for c in ("start", "end")), "text", *(F.to_json(c).alias(c) for c in nested)]
+    cues.select(*columns).write.options(header=True, escape='"', quoteAll=False).csv(path)
