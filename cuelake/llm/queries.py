@@ -47,7 +47,7 @@ def op4_token_output(spark: SparkSession, d: str) -> DataFrame:
     path = token_folder(spark)
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         write_tokens(table(spark, d, "documents"), path, f.read(), end=2)
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", crc32_of("ids").alias("ids_crc32"))
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", crc32_of(F.col("ids")).alias("ids_crc32"))
 
 
 def op5_jaccard_join(spark: SparkSession, d: str) -> DataFrame:

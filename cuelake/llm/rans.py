@@ -29,13 +29,15 @@ class Table:
             over -= step
         self.share = share.astype(np.uint64)
         self.below = np.cumsum(share).astype(np.uint64) - self.share
+        self.symbol = np.zeros(int(self.tokens[-1]) + 1 if len(self.tokens) else 1, np.int32)
+        self.symbol[self.tokens] = np.arange(len(self.tokens))
         self.slot = np.repeat(np.arange(len(share), dtype=np.int32), share)
 
     def encode(self, ids: np.ndarray, lanes: int, every: int) -> tuple[bytes, bytes, list[int], list[int]]:
         """Words, checkpoints (lane states), the word at which each checkpoint begins, and CRC-32s of
         the ids from one checkpoint to the next. There is a checkpoint before every `every` rounds of
         `lanes` ids, the first before round 0."""
-        symbols = np.searchsorted(self.tokens, ids)
+        symbols = self.symbol[ids]
         rounds = -(-len(ids) // lanes)
         state = np.full(lanes, LOW, np.uint64)
         given, states, marks, n_words = [], [], [], 0

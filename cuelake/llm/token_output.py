@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.llm.contexts import small_batches
@@ -19,6 +19,8 @@ from cuelake.llm.words import ranges
 from cuelake.staging import shared_dir, written
 
 LANES, EVERY = 1024, 128
+#: Fixed value: how tokens of a vocabulary with word ends are marked.
+WORD_END = "</w>"
 BLOCK_IDS = 1 << 18
 BLOCKS = (
     "shard int, block int, start long, n_ids long, doc_ids array<{kind}>, lengths array<long>, lanes int, every int, "
@@ -33,33 +35,65 @@ class PieceIds:
     its pieces in order; that is what makes one dictionary for all texts of a task possible.
     """
 
-    def __init__(self, tokenizer: str, most: int = 400_000):
+    def __init__(self, tokenizer: str, most: int = 600_000, chunk: int = 10_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_str(tokenizer), most
+        self.tokenizer, self.most, self.chunk = Tokenizer.from_str(tokenizer), most, chunk
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that end a word
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
+    def _encoded(self, pieces: list[str], simple: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of pieces and how many each has. The first `simple` ones are single words, which are encoded
+        many to a text, as each call costs more than a word does; word ends tell them apart again."""
+        step = 500
+        groups = [pieces[a : min(a + step, simple)] for a in range(0, simple, step)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
+            at = np.flatnonzero(self.ends[ids])
+            if len(at) == len(group) and at[-1] == len(ids) - 1:
+                yield ids, np.diff(at, prepend=-1)
+            else:
+                yield self._one_by_one(group)
+        if simple < len(pieces):
+            yield self._one_by_one(pieces[simple:])
+
+    def _one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+
     def _places(self, pieces: list[str]) -> np.ndarray:
         if len(self.place) > self.most:
             self.clear()
         new = [p for p in pieces if p not in self.place]
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            simple = pc.match_substring_regex(pa.array(new), r"^\p{L}+$").to_numpy(zero_copy_only=False)
+            order = np.argsort(~simple, kind="stable")
+            new = [new[i] for i in order]
+            parts, sizes = [self.flat], []
+            for a in range(0, len(new), self.chunk):
+                for flat, lengths in self._encoded(new[a : a + self.chunk], min(self.chunk, max(0, int(simple.sum()) - a))):
+                    parts.append(flat), sizes.append(lengths)
+            lengths = np.concatenate(sizes)
             self.place.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
             self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
             self.lengths = np.concatenate((self.lengths, lengths))
-            self.flat = np.concatenate((self.flat, np.array([i for x in ids for i in x], np.int32)))
+            self.flat = np.concatenate(parts)
         return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, `end` after each, and how many each text has."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        # lower-casing and setting a lone mark apart change no id, but make more pieces alike
+        easy = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])(\s)", r"\1 \2\3")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, easy)
+        lists = pc.ascii_split_whitespace(texts)
         flat = lists.flatten()
         there = pc.greater(pc.binary_length(flat), 0)
         owner = pc.list_parent_indices(lists).filter(there).to_numpy()
@@ -71,9 +105,12 @@ class PieceIds:
         return np.insert(ids, np.cumsum(counts), end), counts + 1
 
 
-def _tokenize(tokenizer: str, end: int):
+def _tokenize(shared, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceIds(tokenizer)
+        held = shared.value
+        if "ready" not in held:  # a worker's next task finds the pieces of this one
+            held["ready"] = PieceIds(held["tokenizer"])
+        pieces = held["ready"]
         for batch in small_batches(batches, "_text"):
             ids, counts = pieces.encode(batch.column("_text"), end)
             data, ends = ids.astype("<u4") if ids.max() > 0xFFFF else ids.astype("<u2"), np.cumsum(counts)
@@ -91,8 +128,9 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for n, data in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-            found = np.bincount(unpacked(data, n))
+        if batch.num_rows:
+            rows = zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True)
+            found = np.bincount(np.concatenate([unpacked(data, n) for data, n in rows]))
             total = np.pad(total, (0, max(0, len(found) - len(total))))
             total[: len(found)] += found
     some = np.flatnonzero(total)
@@ -147,7 +185,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: s
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = dict(rows.dtypes)["_id"]
-    tokens = written(rows.mapInArrow(_tokenize(tokenizer, end), f"_id {kind}, n long, ids binary"), "token-ids")
+    given = spark.sparkContext.broadcast({"tokenizer": tokenizer})
+    tokens = written(rows.mapInArrow(_tokenize(given, end), f"_id {kind}, n long, ids binary"), "token-ids")
     counts = tokens.select("n", "ids").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts.write.parquet(f"{path}/frequencies")
     shared = spark.sparkContext.broadcast(frequencies(spark, path))
@@ -196,9 +235,9 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     return out.withColumnRenamed("_id", id_col)
 
 
-@F.pandas_udf("long")
-def crc32_of(data):
-    return data.map(zlib.crc32)
+def crc32_of(data: Column) -> Column:
+    """CRC-32 of binary values."""
+    return F.pandas_udf(lambda x: x.map(zlib.crc32), "long")(data)
 
 
 def token_folder(spark: SparkSession) -> str:
