@@ -13,16 +13,19 @@ from pyspark.sql import DataFrame
 from cuelake.llm.contexts import small_batches
 from cuelake.llm.words import ranges
 
-#: For short pieces. One token-position row per byte at first; each round joins neighbours with the
-#: merges and contracts the leftmost pair of the lowest rank of each piece, until none has a pair.
+#: For short pieces. One token-position row per byte at first, each with the next row's place and
+#: token; each round joins these with the merges and contracts the leftmost pair of the lowest rank
+#: of each piece, until none has a pair.
 ENCODE = """
-WITH RECURSIVE step(round, piece, pos, nxt, token) AS (
-    SELECT 0, piece, pos, nxt, token FROM bytes_of_pieces
+WITH RECURSIVE step(round, piece, pos, nxt, token, other) AS (
+    SELECT 0, piece, pos, nxt, token, lead(token) OVER (PARTITION BY piece ORDER BY pos) FROM bytes_of_pieces
   UNION ALL
-    (WITH pairs AS (SELECT a.piece, a.pos, b.pos AS gone, b.nxt AS after, m.rank, (m.rank::BIGINT << 32) + a.pos AS turn
-                    FROM step a JOIN step b ON b.piece = a.piece AND b.pos = a.nxt JOIN merges m ON m.lhs = a.token AND m.rhs = b.token),
-     chosen AS (SELECT piece, arg_min(pos, turn) AS pos, arg_min(gone, turn) AS gone, arg_min(after, turn) AS after, min(rank) AS rank FROM pairs GROUP BY piece)
-     SELECT round + 1, s.piece, s.pos, CASE WHEN s.pos = c.pos THEN c.after ELSE s.nxt END, CASE WHEN s.pos = c.pos THEN c.rank ELSE s.token END
+    (WITH lowest AS (SELECT s.piece, min((m.rank::BIGINT << 32) + s.pos) AS turn, arg_min(s.nxt, (m.rank::BIGINT << 32) + s.pos) AS gone
+                     FROM step s JOIN merges m ON m.lhs = s.token AND m.rhs = s.other GROUP BY s.piece),
+     chosen AS (SELECT l.piece, CAST(l.turn & 4294967295 AS INT) AS pos, CAST(l.turn >> 32 AS INT) AS rank, l.gone, q.nxt AS after, q.other
+                FROM lowest l JOIN step q ON q.piece = l.piece AND q.pos = l.gone)
+     SELECT round + 1, s.piece, s.pos, CASE WHEN s.pos = c.pos THEN c.after ELSE s.nxt END, CASE WHEN s.pos = c.pos THEN c.rank ELSE s.token END,
+            CASE WHEN s.pos = c.pos THEN c.other WHEN s.nxt = c.pos THEN c.rank ELSE s.other END
      FROM step s JOIN chosen c ON c.piece = s.piece WHERE s.pos <> c.gone)
 )
 SELECT piece, token FROM step QUALIFY round = max(round) OVER (PARTITION BY piece) ORDER BY piece, pos
@@ -60,14 +63,14 @@ DECODE = "SELECT doc, string_agg(text, '' ORDER BY pos) AS text FROM ids JOIN to
 class Bpe:
     """Ranks and merges in a DuckDB database of the task, with pieces already encoded at hand."""
 
-    def __init__(self, ranks: bytes, pattern: str, most: int = 400_000, chunk: int = 40_000):
+    def __init__(self, ranks: bytes, pattern: str, most: int = 400_000, chunk: int = 20_000):
         import duckdb
         import regex
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.find, self.most, self.chunk = regex.compile(pattern).findall, most, chunk
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         rows = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         lhs, rhs, rank = (np.array(x, np.int32) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int32),) * 3
         self._table("merges", lhs=lhs, rhs=rhs, rank=rank)
@@ -108,6 +111,11 @@ class Bpe:
             flat[ranges(starts[some], counts[some])] = tokens
         return flat, counts
 
+    def _hold(self, strings: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.place.update(zip(strings, range(len(self.lengths), len(self.lengths) + len(strings)), strict=True))
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
+        self.lengths, self.flat = np.concatenate((self.lengths, lengths)), np.concatenate((self.flat, flat))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
         texts = pc.fill_null(texts, "")
@@ -119,19 +127,17 @@ class Bpe:
         keys, back = np.unique(coded.indices.to_numpy().astype(np.int64) * 2 + inner, return_inverse=True)
         words = coded.dictionary.to_pylist()
         chunks = [" " + words[k >> 1] if k & 1 else words[k >> 1] for k in keys.tolist()]
-        if len(self.place) > self.most or len(self.flat) > 16 * self.most:
+        if len(self.place) > self.most or len(self.flat) > 12 * self.most:
             self.clear()
         new = [c for c in chunks if c not in self.place]
         if new:
             found = [self.find(c) for c in new]
-            pieces = {p: i for i, p in enumerate(dict.fromkeys(p for x in found for p in x))}
-            flat, lengths = self.merged(list(pieces))
-            at = np.array([pieces[p] for x in found for p in x], np.int64)
-            sizes = np.bincount(np.repeat(np.arange(len(new)), [len(x) for x in found]), lengths[at], len(new)).astype(np.int64)
-            ids = flat[ranges((np.cumsum(lengths) - lengths)[at], lengths[at])]
-            self.place.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
-            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
-            self.lengths, self.flat = np.concatenate((self.lengths, sizes)), np.concatenate((self.flat, ids))
+            pieces = list(dict.fromkeys(p for x in found for p in x if p not in self.place))
+            self._hold(pieces, *self.merged(pieces))
+            several = [i for i, x in enumerate(found) if len(x) != 1]
+            at = np.array([self.place[p] for i in several for p in found[i]], np.int64)
+            sizes = np.bincount(np.repeat(np.arange(len(several)), [len(found[i]) for i in several]), self.lengths[at], len(several)).astype(np.int64)
+            self._hold([new[i] for i in several], self.flat[ranges(self.starts[at], self.lengths[at])], sizes)
         at = np.array([self.place[c] for c in chunks], np.int64)[back]
         lengths = self.lengths[at]
         return self.flat[ranges(self.starts[at], lengths)], np.bincount(owner, lengths, len(texts)).astype(np.int64)
@@ -152,7 +158,7 @@ def _run(shared, decode: bool):
         if "ready" not in held:
             held["ready"] = Bpe(held["ranks"], held["pattern"])
         bpe = held["ready"]
-        for batch in small_batches(batches, "_text"):
+        for batch in small_batches(batches, "_text", 2 << 20):
             ids, counts = bpe.encode(batch.column("_text"))
             data, ends = ids.astype("<u4"), np.cumsum(counts)
             columns = {"_id": batch.column("_id"), "n_tokens": pa.array(counts)}
