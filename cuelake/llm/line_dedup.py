@@ -34,6 +34,10 @@ def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(33)) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def _bits_at(bitmap: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bitmap[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1
+
+
 def _packed(bits: np.ndarray) -> bytes:
     """Positions (uint16) where that is shorter, else the bitmap."""
     at = np.flatnonzero(bits).astype(np.uint16).tobytes()
@@ -57,15 +61,16 @@ def _fill(bits: int):
     """Per task: bits of hashes seen once and of those seen twice, as one row per slice that is not empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             hashes, counts = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
             a, b = _places(hashes, bits)
-            again = (counts > 1) | (once[a] & once[b])
-            twice[a[again]] = twice[b[again]] = True
-            once[a] = once[b] = True
-        parts = once.reshape(-1, SLICE_BITS), twice.reshape(-1, SLICE_BITS)
-        yield from _bloom_rows((k, parts[0][k], parts[1][k]) for k in np.flatnonzero(parts[0].any(axis=1)).tolist())
+            again = (counts > 1) | (_bits_at(once, a) & _bits_at(once, b)).astype(bool)
+            for places, bitmap in ((a[again], twice), (b[again], twice), (a, once), (b, once)):
+                np.bitwise_or.at(bitmap, places >> 3, (128 >> (places & 7)).astype(np.uint8))
+        parts = once.reshape(-1, SLICE_BITS // 8), twice.reshape(-1, SLICE_BITS // 8)
+        slices = np.flatnonzero(parts[0].any(axis=1)).tolist()
+        yield from _bloom_rows((k, *(np.unpackbits(p[k]).view(bool) for p in parts)) for k in slices)
 
     return run
 
