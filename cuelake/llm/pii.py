@@ -13,6 +13,8 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 #: Characters that no text has: they stand for a space, a hyphen or a dot between two characters that
 #: it joins, so that patterns need no repeated groups (on which Java's matcher recurses).
 JOIN_SPACE, JOIN_HYPHEN, JOIN_DOT = "﷐", "﷑", "﷒"
+#: Another such character, for a span that is left out.
+CUT = "\ufdd4"
 LOCAL = r"A-Za-z0-9._%+\-" + JOIN_DOT
 PATTERNS = {
     "email": rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9\-]++{JOIN_DOT}[A-Za-z0-9\-{JOIN_DOT}]*+",
@@ -82,37 +84,91 @@ def base_spans(docs: DataFrame, text: str = "_text") -> DataFrame:
     return placed.withColumn("_spans", spans).drop(*(f"_{w}_{k}" for w in ("in", "hit", "at") for k in PATTERNS))
 
 
-def _near(text: Column, span: Column, reach: int) -> Column:
-    """Words within `reach` characters before and after a span, whole ones only, as spans with the term as value."""
-    begin = F.greatest(span["start"] - reach, F.lit(0))
-    before = F.substring(text, begin + 1, span["start"] - begin)
-    cut = F.when(begin > 0, F.length(F.regexp_extract(before, r"^[\p{L}\p{N}_]+", 0))).otherwise(F.lit(0))
-    after = F.substring(text, span["stop"] + 1, F.lit(reach))
-    whole = F.when(span["stop"] + reach < F.length(text), F.regexp_replace(after, r"[\p{L}\p{N}_]+$", "")).otherwise(after)
-    parts = ((F.substring(before, cut + 1, F.length(before)), begin + cut), (whole, span["stop"]))
-    return F.concat(*(_placed(t, WORD, F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), KINDS.index("term"), at) for t, at in parts))
+def _free(spans: Column, word: Column) -> Column:
+    return ~F.exists(spans, lambda b: (b["start"] < word["stop"]) & (word["start"] < b["stop"]))
 
 
-def disclosing_spans(found: DataFrame, docs: DataFrame, alpha: float, min_docs: int, filter_bits: int) -> DataFrame:
-    """Rows (_key, _added): spans of terms that give away the entity they stand near to.
+def _outside(text: Column, spans: Column) -> Column:
+    """The text without its spans and without the rest of a word that a span cuts."""
+    text = F.translate(text, CUT, " ")
 
-    found: (_key, _near: array of (entity, start, stop, term)); docs: (_key, _text).
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.when(s["start"] > acc["at"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).otherwise(F.lit(""))
+        at = F.greatest(acc["at"], s["stop"])
+        ends = F.substring(text, s["start"] + 1, F.lit(1)), F.lit(CUT), F.substring(text, at, F.lit(1))
+        return F.struct(at.alias("at"), F.concat(acc["out"], piece, *ends).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    cut = rf"(?<![\p{{L}}\p{{N}}_{CUT}])[\p{{L}}\p{{N}}_]*+{CUT}[\p{{L}}\p{{N}}_{CUT}]*+"
+    return F.when(F.size(spans) > 0, F.regexp_replace(whole, cut, " ")).otherwise(text)
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def _standing(text: Column, terms: Column) -> Column:
+    """The words of a text that are among `terms` (lower-cased), as spans."""
+    words, between = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1)
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["between"])
+        stop = start + F.length(x["word"])
+        span = F.struct(start.alias("start"), F.lit(KINDS.index("term")).alias("kind"), stop.alias("stop"), F.lower(x["word"]).alias("value"))
+        out = F.when(F.array_contains(terms, F.lower(x["word"])), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        return F.struct(stop.alias("at"), out.alias("out"))
+
+    pairs = F.zip_with(words, F.slice(between, 1, F.size(words)), lambda w, b: F.struct(w.alias("word"), b.alias("between")))
+    empty = F.from_json(F.lit("[]"), f"array<{SPAN}>")
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+
+def disclosing_terms(docs: DataFrame, alpha: float, min_docs: int, filter_bits: int) -> DataFrame:
+    """Rows (term): the words that give an entity away.
+
+    docs: (_key, _entities, _terms), a row for each document, with distinct entities and words. A word can
+    reach alpha only in n_entity ^ alpha * n_docs ^ (1 - alpha) documents, as no more than n_entity hold both;
+    others are dropped before words and entities are paired, and no pair that counts is lost.
     """
-    n_docs = docs.count()
-    near = found.select("_key", F.explode("_near").alias("m")).select("_key", "m.*")
-    seen = near.select("entity", "term", "_key").distinct()
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_docs)
-    pairs = written(pairs, "pii-pairs")
-    entities = found.select("_key", F.explode(F.array_distinct("_near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    bitmap = bitmap_of(pairs.select("term").distinct(), F.xxhash64("term"), filter_bits)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    terms = marked(words, F.xxhash64("term"), bitmap, filter_bits).where("_marked").groupBy("term").agg(F.count("*").alias("n_term"))
-    known = pairs.join(written(entities, "pii-entities"), "entity").join(written(terms, "pii-terms"), "term")
-    gained = F.log(F.col("n_both") / F.col("n_term")) - F.log(F.col("n_entity") / F.lit(max(1, n_docs)))
-    disclosing = known.where(gained >= alpha * -F.log(F.col("n_entity") / F.lit(max(1, n_docs)))).select("entity", "term")
-    hit = near.join(written(disclosing, "pii-disclosing"), ["entity", "term"])
-    span = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "stop", F.col("term").alias("value"))
-    return hit.groupBy("_key").agg(F.collect_set(span).alias("_added"))
+    n_docs = max(1, docs.count())
+    shown = docs.where(F.size("_entities") > 0)
+    entities = shown.select(F.explode("_entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = written(entities.where((F.col("n_entity") >= min_docs) & (F.col("n_entity") < n_docs)), "pii-entities")
+    most = F.pow(F.col("n_entity"), F.lit(alpha)) * F.pow(F.lit(float(n_docs)), F.lit(1 - alpha)) * (1 + 1e-9)
+    widest = entities.agg(F.max(most)).first()[0] or 0.0
+
+    beside = shown.select("_key", F.explode("_entities").alias("entity")).join(entities, "entity")
+    beside = written(beside.select("_key", "entity", "n_entity", most.alias("most")), "pii-beside")
+    near = shown.join(beside.select("_key").distinct(), "_key", "left_semi").select("_key", F.explode("_terms").alias("term"))
+    likely = near.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n").between(min_docs, widest)).select("term")
+    likely = written(likely, "pii-likely")
+    bitmap = bitmap_of(likely, F.xxhash64("term"), filter_bits)
+    every = marked(docs.select(F.explode("_terms").alias("term")), F.xxhash64("term"), bitmap, filter_bits).where("_marked")
+    terms = every.groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") <= widest).join(likely, "term", "left_semi")
+    terms = written(terms, "pii-terms")
+
+    bitmap = bitmap_of(terms, F.xxhash64("term"), filter_bits)
+    near = marked(near, F.xxhash64("term"), bitmap, filter_bits).where("_marked").select("_key", "term").join(terms, "term")
+    seen = written(near, "pii-near").join(beside, "_key").where(F.col("n_term") <= F.col("most"))
+    both = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term")).where(F.col("n_both") >= min_docs)
+    gained = F.log(F.col("n_both") / F.col("n_term")) - F.log(F.col("n_entity") / F.lit(n_docs))
+    return written(both.where(gained >= alpha * -F.log(F.col("n_entity") / F.lit(n_docs))).select("term").distinct(), "pii-disclosing")
+
+
+def disclosing_spans(found: DataFrame, rows: DataFrame, terms: DataFrame, filter_bits: int) -> DataFrame:
+    """Rows (_key, _added): spans of every occurrence of `terms` outside base spans, in all texts.
+
+    found: (_key, _spans, _terms), a row for each document; rows: (_key, _text).
+    """
+    bitmap = bitmap_of(terms, F.xxhash64("term"), filter_bits)
+    held = marked(found.select("_key", F.explode("_terms").alias("term")), F.xxhash64("term"), bitmap, filter_bits).where("_marked")
+    held = held.select("_key", "term").join(terms, "term").groupBy("_key").agg(F.collect_set("term").alias("_own"))
+    held = written(held, "pii-held")
+    texts = marked(rows, F.col("_key"), bitmap_of(held, F.col("_key"), filter_bits), filter_bits).where("_marked").select("_key", "_text")
+    texts = texts.join(held, "_key").dropDuplicates(["_key"]).join(found.select("_key", "_spans"), "_key")
+    standing = F.filter(_standing(F.col("_text"), F.col("_own")), lambda t: F.coalesce(_free(F.col("_spans"), t), F.lit(True)))
+    return written(texts.select("_key", standing.alias("_added")), "pii-added")
 
 
 def _number(spans: Column, kind: int) -> Column:
@@ -138,19 +194,22 @@ def _sanitised(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.9, min_docs: int = 3, reach: int = 60, filter_bits: int = 1 << 23, with_text: bool = True) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.9, min_docs: int = 3, filter_bits: int = 1 << 23, with_text: bool = True) -> DataFrame:
     """One row per input row: id, n_email, n_ip, n_card, n_phone, base (listed spans), spans (all listed)
     and, `with_text`, sanitised.
 
     Base spans are leftmost matches of the kinds' patterns that pass their tests. Their values are the
-    protected entities. A word within `reach` characters of one in at least `min_docs` documents gives it
-    away if the documents that hold the word raise the entity's log probability by at least `alpha` of its
-    information: log(P(e|t) / P(e)) >= alpha * -log P(e), with counts over all documents. Such words are
-    spans of kind `term` where they stand near the entity; other documents keep them.
-
-    Pairs of a word and an entity are counted by document first and by pair next, so an entity of a
+    protected entities. Words are runs of three letters, digits or underscores at least that overlap no base
+    span. A word that is in at least `min_docs` documents with an entity, wherever it stands in them, gives
+    it away if the documents that hold the word raise the entity's log probability by at least `alpha` of its
+    information: log(P(e|t) / P(e)) >= alpha * -log P(e), with counts over all documents. Every occurrence
+    of such a word is a span of kind `term`, in all documents, those without the entity too. An entity
+    that all documents show has no information and is given away by nothing.
+
+    Words of whole documents are paired with entities; those that occur too often to reach alpha are
+    dropped first (`disclosing_terms`). Pairs are counted before they are shuffled, so an entity of a
     third of all rows spreads over its documents. Only words that a bitmap of `filter_bits` bits
-    admits are shuffled for their document counts. What is gathered is one document's spans.
+    admits are shuffled, and only texts with a disclosing word. What is gathered is one document's spans.
 
     Null text counts as empty and has no spans. Rows with the same id and text are one document in the
     counts and get the same spans; rows with the same id and another text are others. A null id is an
@@ -160,21 +219,17 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     key = F.struct(F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("i"), F.xxhash64("_id", "_text").alias("h"))
     rows = rows.withColumn("_key", F.xxhash64(key))
     found = base_spans(rows)
-
-    def near_one(s: Column) -> Column:
-        entity = F.xxhash64(s["kind"], F.lower(s["value"]))
-        return F.transform(
-            F.filter(_near(F.col("_text"), s, reach), lambda t: ~F.exists("_spans", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))),
-            lambda t: F.struct(entity.alias("entity"), t["start"].alias("start"), t["stop"].alias("stop"), F.lower(t["value"]).alias("term")),
-        )
-
-    near = F.when(F.size("_spans") > 0, F.flatten(F.transform("_spans", near_one)))
-    found = written(found.withColumn("_near", near).select("_id", "_key", F.when(F.size("_spans") > 0, F.col("_spans")).alias("_spans"), "_near"), "pii-found")
-    own = found.where("_near IS NOT NULL").select("_key", "_near").dropDuplicates(["_key"])
-    added = disclosing_spans(own, rows.select("_key", "_text"), alpha, min_docs, filter_bits)
+    entities = F.array_distinct(F.transform("_spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    words = _words(_outside(F.col("_text"), F.col("_spans")))
+    found = found.select("_id", "_key", F.when(F.size("_spans") > 0, F.col("_spans")).alias("_spans"), entities.alias("_entities"), words.alias("_terms"))
+    found = written(found, "pii-found")
+    again = written(found.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select("_key"), "pii-again")
+    once = found.join(again, "_key", "left_anti").unionByName(found.join(again, "_key", "left_semi").dropDuplicates(["_key"])).drop("_id")
+    terms = disclosing_terms(once, alpha, min_docs, filter_bits)
+    added = disclosing_spans(once, rows.select("_key", "_text"), terms, filter_bits)
 
     base = F.coalesce("_spans", F.from_json(F.lit("[]"), f"array<{SPAN}>"))
-    out = found.drop("_near").join(added, "_key", "left").withColumn("_base", base)
+    out = found.drop("_entities", "_terms").join(added, "_key", "left").withColumn("_base", base)
     out = out.withColumn("_all", F.when(F.col("_added").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", "_added"))))
     counts = {f"n_{k}": _number(F.col("_base"), i) for i, k in enumerate(KINDS[:4])}
     out = out.withColumns(counts | {"base": _listed(F.col("_base")), "spans": _listed(F.col("_all"))})

@@ -312,6 +312,42 @@ def test_pii_terms(spark):
     assert all(got[i]["spans"] == "" and got[i]["sanitised"] == f"ask somebody about entry {i} or call" for i in range(10, 60))
 
 
+def test_pii_terms_of_whole_documents(spark):
+    far = "plain words that say little " * 20
+    rows = [(i, f"Quillmark wrote. {far} to q.mark@firm.example; QUILLMARK again, no {i}") for i in range(5)]
+    rows += [(5, f"nothing but quillmark, {far}"), (6, f"x{far} abc+1 555 123 4567"), (7, None), (0, rows[0][1])] + [(i, f"{far} other wrote again {i}") for i in range(10, 100)]
+    got = sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = dict(rows)[r["doc_id"]] or ""
+        terms = [f"term:{m.start()}:{m.end()}" for m in re.finditer("quillmark", text, re.I)]
+        assert [x for x in r["spans"].split(",") if x.startswith("term")] == terms
+        assert r["sanitised"].lower().count("[term]") == len(terms) and "quillmark" not in r["sanitised"].lower()
+
+
+@pytest.mark.parametrize("alpha", [0.9, 0.5])
+def test_pii_terms_equal_brute_force(spark, docs, alpha):
+    df = docs.select("doc_id", "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    mail = [(2000 + i, f"user{i % 7}@host.example +1 (555) 123-456{i % 3} wren{i % 7}+1 555 987 6543, Finch{i % 7}_ {'and so on ' * 30} lark{i % 5} x@y.com_z") for i in range(40)]
+    df = df.unionByName(spark.createDataFrame(mail, "doc_id long, text string"))
+    texts, got = dict(rows_of(df)), {r["doc_id"]: r["spans"] for r in sanitise(df, alpha=alpha, with_text=False).collect()}
+    shown, held, free = {}, {}, {}
+    for d, t in texts.items():
+        spans = [x.split(":") for x in base_spans(t).split(",") if x]
+        spans = [(k, int(a), int(b)) for k, a, b in spans]
+        shown[d] = {(k, (t or "")[a:b].lower()) for k, a, b in spans}
+        found = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"\w{3,}", t or "")]
+        free[d] = [w for w in found if not any(a < w[1] and w[0] < b for _, a, b in spans)]
+        held[d] = {w for _, _, w in free[d]}
+    n_entity, n_term, n_both = Counter(e for x in shown.values() for e in x), Counter(w for x in held.values() for w in x), Counter()
+    for d in texts:
+        n_both.update((e, w) for e in shown[d] if n_entity[e] >= 3 for w in held[d])
+    p = {e: n / len(texts) for e, n in n_entity.items()}
+    terms = {w for (e, w), n in n_both.items() if n >= 3 and math.log(n / n_term[w] / p[e]) >= -alpha * math.log(p[e]) - 1e-12}
+    assert len(terms) > 5
+    assert {d: [x for x in s.split(",") if x.startswith("term")] for d, s in got.items()} == {d: [f"term:{a}:{b}" for a, b, w in free[d] if w in terms] for d in texts}
+
+
 def test_bpe(docs):
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         raw = f.read()
