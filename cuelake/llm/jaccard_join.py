@@ -37,12 +37,31 @@ def _longs(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
+def _hot(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """1 for shingles that the hot filter has, few of them by collision alone."""
+    bit = (s & np.uint64(HOT_BITS - 1)).astype(np.int64)
+    return (hot[bit >> 3] >> (bit & 7)) & 1
+
+
 def _ordered(s: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
     """A sorted set in the global order: shingles of the hot filter last, by hash otherwise."""
-    if hot is None:
-        return s
-    bit = (s & np.uint64(HOT_BITS - 1)).astype(np.int64)
-    return s[np.argsort((hot[bit >> 3] >> (bit & 7)) & 1, kind="stable")]
+    return s if hot is None else s[np.argsort(_hot(s, hot), kind="stable")]
+
+
+def _with_hot(shared):
+    """Ids of the prefixes that have a shingle of the hot filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            prefix = batch.column("prefix")
+            at = prefix.offsets.to_numpy().astype(np.int64)
+            marks = _hot(prefix.values.to_numpy()[at[0] : at[-1]].view(np.uint64), shared.value)
+            upto = np.concatenate(([0], np.cumsum(marks, dtype=np.int64)))[at - at[0]]
+            yield pa.RecordBatch.from_pydict({"_id": batch.column("_id").filter(pa.array(np.diff(upto) > 0))})
+
+    return run
 
 
 def _prefixes(width: int, percent: int, shared):
@@ -78,7 +97,7 @@ def _fragments(width: int, wanted: range):
 
 def _packed_bits(bitmap: DataFrame) -> np.ndarray:
     """A bitmap's rows as one array of HOT_BITS bits."""
-    out = np.zeros((HOT_BITS // 32768, 4096), np.uint8)
+    out = np.zeros((max(1, HOT_BITS // 32768), 4096), np.uint8)
     for r in bitmap.collect():
         out[r["_bucket"] - 1] = np.frombuffer(bytes(r["_bitmap"]), np.uint8)
     return out.reshape(-1)
@@ -109,7 +128,8 @@ class Join:
     def postings(self, sets: DataFrame, reps: DataFrame) -> DataFrame:
         """Prefix shingles that several classes share: rows (token, _id, n, df), under an order in which
         shingles of very many prefixes come last. The order is a function of the shingle, so any filter
-        of hot ones gives right results; it is widened twice, for what moves up may be hot as well."""
+        of hot ones gives right results; it is widened twice, for what moves up may be hot as well. The same
+        filter that orders, collisions and all, tells whose prefix changes: all that have a shingle in it."""
         current = sets.join(reps.select("_id"), "_id").select("_id", "n", "prefix")
         current = written(current, "jaccard-prefixes")
         hot = None
@@ -121,8 +141,9 @@ class Join:
             if fresh.isEmpty():
                 return tokens
             hot = often
-            moved = written(tokens.join(hot, "token", "left_semi").select("_id").distinct(), "jaccard-moved")
             shared = self.spark.sparkContext.broadcast(_packed_bits(bitmap_of(hot, F.col("token"), HOT_BITS)))
+            moved = current.select("_id", "prefix").mapInArrow(_with_hot(shared), f"_id {self.kind}")
+            moved = written(moved.distinct(), "jaccard-moved")
             new = self.of(moved).mapInArrow(_prefixes(self.width, self.percent, shared), f"_id {self.kind}, n long, sig binary, prefix array<long>")
             new = new.join(moved, "_id", "left_semi").select("_id", "n", "prefix")
             current = written(current.join(moved, "_id", "left_anti").unionByName(new), "jaccard-prefixes")

@@ -142,6 +142,17 @@ def test_jaccard_join(docs, width, percent, hot):
     assert len({c for _, c in want.values()}) < len(want)
 
 
+def test_jaccard_join_where_the_hot_filter_collides(spark, monkeypatch):
+    monkeypatch.setattr("cuelake.llm.jaccard_join.HOT_BITS", 8)
+    rng = random.Random(5)
+    rows = []
+    for i in range(150):
+        text = [f"w{rng.randrange(10**9)}" for _ in range(6)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text, "often"]))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=1, percent=85, hot_docs=5).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: d - d % 2 for d, _ in rows}
+
+
 def test_jaccard_join_without_rows_or_links(spark, docs):
     assert near_duplicates(docs.limit(0), filter_bits=1 << 18).count() == 0
     alone = spark.createDataFrame([(1, "a b c d e f"), (2, None)], "doc_id long, text string")
