@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.staging import shared_dir
+
 
 def outcomes_folded(outcomes: DataFrame, late: str = "1 hour") -> DataFrame:
     """ST2: postings per path from outcomes (rkey, path, outcome, ts); works on a stream and on a table.
@@ -40,8 +44,21 @@ def sessions(events: DataFrame, gap: str, key: str, late: str = "1 day") -> Data
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what its source holds now and return the complete result."""
+    """Run a stream over what its source holds now and return the complete result.
+
+    Each batch writes the result so far as Parquet under the shared folder; the last one's table is read back,
+    so that no row passes through the driver. The stream's checkpoint lies there too.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/batch-{number}")
+        done.append(number)
+
+    writer = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/batch-{done[-1]}")
