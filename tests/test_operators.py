@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cuelake import streaming
 from cuelake.functions import text as tx
 from cuelake.operators import cues, faces, shots, tags, transcript, vectors
 
@@ -162,3 +163,14 @@ def test_empty_name_keeps_not_person(spark):
     f = spark.createDataFrame([(1, 2), (2, 2)], "id long, cluster int")
     marks = spark.createDataFrame([(1, "x", None), (2, None, "")], "face_id long, person string, not_person string")
     assert {(r["face_id"], r["not_person"]) for r in faces.named_marks(f, marks, 2, " ").collect()} == {(2, "")}
+
+
+def test_streams_drain_to_files(spark, tmp_path):
+    rows = spark.createDataFrame([("u", 0), ("u", 60), ("u", 9000), ("v", 30)], "user string, s long").select("user", F.timestamp_seconds("s").alias("ts"))
+    rows.write.parquet(f"{tmp_path}/events")
+    source = lambda folder: spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/{folder}")
+    got = streaming.drained(streaming.sessions(source("events"), "1 hour", "user"), "drain_test")
+    assert {(r["user"], r["n"]) for r in got.collect()} == {("u", 2), ("u", 1), ("v", 1)}
+    assert got.inputFiles() and not spark.catalog.tableExists("drain_test")
+    rows.limit(0).write.parquet(f"{tmp_path}/none")
+    assert streaming.drained(streaming.sessions(source("none"), "1 hour", "user"), "drain_none").count() == 0
