@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cuelake import streaming
 from cuelake.functions import text as tx
+from cuelake.jobs import shot_queries
 from cuelake.operators import cues, faces, shots, tags, transcript, vectors
 
 EVENTS = "ep string, ord long, start double, end double, text string"
@@ -174,3 +175,10 @@ def test_streams_drain_to_files(spark, tmp_path):
     assert got.inputFiles() and not spark.catalog.tableExists("drain_test")
     rows.limit(0).write.parquet(f"{tmp_path}/none")
     assert streaming.drained(streaming.sessions(source("none"), "1 hour", "user"), "drain_none").count() == 0
+
+
+def test_fuzzy_takes_serials_of_the_whole_table(spark, tmp_path):
+    parts = [(i, f"name{i} blue", f"type{i}") for i in range(1, 2501)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r["folder"], r["serial"]) for r in shot_queries.fuzzy(spark, str(tmp_path)).collect()}
+    assert ("type2500", "name2500 blue") in got
