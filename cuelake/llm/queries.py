@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.bpe import bpe_encode
 from cuelake.llm.decontaminate import contained_items
-from cuelake.llm.exact_dedup import exact_dedup, normalised
+from cuelake.llm.exact_dedup import exact_dedup
 from cuelake.llm.jaccard_join import near_duplicates
 from cuelake.llm.language_id import held_out, identify
 from cuelake.llm.language_id import train as train_languages
@@ -56,9 +56,7 @@ def op5_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    digests = docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
-    return exact_dedup(docs).join(digests, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(table(spark, d, "documents"), digest_col="text_sha256")
 
 
 def op7_lm_score(spark: SparkSession, d: str) -> DataFrame:

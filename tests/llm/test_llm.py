@@ -110,6 +110,17 @@ def test_exact_dedup(docs):
     assert exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_query_keeps_rows_of_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "a  b"), (1, "a b"), (1, "c"), (1, "c"), (2, "d"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    digest = {t: hashlib.sha256(t.encode()).hexdigest() for t in ["a b", "c", "d", ""]}
+    want = [
+        (None, 1, 2, False, digest["a b"]), (1, 1, 2, True, digest["a b"]), (1, 1, 2, True, digest["c"]), (1, 1, 2, True, digest["c"]),
+        (2, 2, 1, True, digest["d"]), (None, None, 1, True, digest[""]),
+    ]
+    assert Counter(tuple(r) for r in q.op6_exact_dedup(spark, str(tmp_path)).collect()) == Counter(want)
+
+
 def brute_components(rows, width: int, percent: int) -> dict:
     sets = {}
     for d, t in rows:
