@@ -17,9 +17,11 @@ from cuelake.llm.line_dedup import repeat_filter, suspected
 from cuelake.llm.words import shingles, split_by, words_of
 from cuelake.staging import written
 
-#: The order's fragments are ranges of shingle hashes: the first is compared by itself.
+#: The order's fragments are ranges of shingle hashes.
 FRAGMENTS = 4
-HOT_BITS = 1 << 23
+HOT_BITS = 1 << 26
+#: Up to so many rows of a token are compared with each other at once.
+CROWD = 16
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -81,16 +83,16 @@ def _prefixes(width: int, percent: int, shared):
     return run
 
 
-def _fragments(width: int, wanted: range):
-    """Parts of whole sets, in the fragments asked for."""
+def _fragments(width: int):
+    """Whole sets, cut into the fragments of the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "_text"):
             sets = _sets(batch.column("_text"), width)
             cuts = [[0, *np.searchsorted(s, np.array([k << 62 for k in range(1, FRAGMENTS)], np.uint64)).tolist(), len(s)] for s in sets]
-            ids = batch.column("_id").take(pa.array(np.repeat(np.arange(len(sets)), len(wanted))))
-            parts = [x[c[k] : c[k + 1]] for x, c in zip(sets, cuts, strict=True) for k in wanted]
-            yield pa.RecordBatch.from_pydict({"_id": ids, "fragment": pa.array(np.tile(np.array(wanted, np.int32), len(sets))), "part": _longs(parts)})
+            ids = batch.column("_id").take(pa.array(np.repeat(np.arange(len(sets)), FRAGMENTS)))
+            parts = [x[c[k] : c[k + 1]] for x, c in zip(sets, cuts, strict=True) for k in range(FRAGMENTS)]
+            yield pa.RecordBatch.from_pydict({"_id": ids, "fragment": pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(sets))), "part": _longs(parts)})
 
     return run
 
@@ -104,6 +106,10 @@ def _packed_bits(bitmap: DataFrame) -> np.ndarray:
 
 
 class Join:
+    """The steps of a join. Rows of tokens are (token, _id, n, pos, hi, df): a prefix shingle, its
+    document, the size of its set, its place in the order, and the largest set that can still link with
+    this one if this is the first shingle they share."""
+
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, hot_docs: int, filter_bits: int):
         self.rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         self.kind = dict(self.rows.dtypes)["_id"]
@@ -115,137 +121,155 @@ class Join:
         key = F.xxhash64("_id")
         return marked(self.rows, key, bitmap_of(ids, key, HOT_BITS), HOT_BITS).where("_marked").select("_id", "_text")
 
-    def fits(self, a: Column, b: Column) -> Column:
-        return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
-
-    def repeated(self, tokens: DataFrame) -> DataFrame:
-        """Rows (token, _id, n) whose token two documents have; others are dropped beside the scan, nearly all."""
+    def repeated(self, current: DataFrame) -> DataFrame:
+        """Rows of tokens that two documents have; others are dropped beside the scan, nearly all. So are rows
+        whose place is too far back for even the smallest set that has the token."""
+        tokens = current.select(F.posexplode("prefix").alias("pos", "token"), "_id", "n")
         bitmap = self.spark.sparkContext.broadcast(repeat_filter(tokens.select("token"), self.bits))
         likely = written(tokens.where(suspected(bitmap, self.bits)("token")), "jaccard-likely")
-        counts = written(likely.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-counts")
-        return written(likely.join(counts, "token"), "jaccard-tokens")
+        counts = likely.groupBy("token").agg(F.count("*").alias("df"), F.min("n").alias("least")).where("df > 1")
+        hi = F.expr(f"(n - pos) * {100 + self.percent} div {self.percent} - n")
+        found = likely.join(written(counts, "jaccard-counts"), "token").withColumn("hi", hi).where("hi >= least")
+        return written(found.select("token", "_id", "n", "pos", "hi", "df"), "jaccard-tokens")
 
     def postings(self, sets: DataFrame, reps: DataFrame) -> DataFrame:
-        """Prefix shingles that several classes share: rows (token, _id, n, df), under an order in which
-        shingles of very many prefixes come last. The order is a function of the shingle, so any filter
-        of hot ones gives right results; it is widened twice, for what moves up may be hot as well. The same
+        """Prefix shingles that several classes share, under an order in which common shingles come last.
+
+        Common are those that several have of a few documents picked for each hot prefix shingle: near
+        copies have most shingles of any of their group, and what a document has alone then stands in front,
+        where it takes up the place that a link leaves for differences. The order is a function of the shingle, so
+        any choice gives right results; it is made twice, for what moves up may be hot as well. The same
         filter that orders, collisions and all, tells whose prefix changes: all that have a shingle in it."""
+        prefixes = f"_id {self.kind}, n long, sig binary, prefix array<long>"
         current = sets.join(reps.select("_id"), "_id").select("_id", "n", "prefix")
         current = written(current, "jaccard-prefixes")
-        hot = None
+        common = None
         for _ in range(2):
-            tokens = self.repeated(current.select(F.explode("prefix").alias("token"), "_id", "n"))
-            often = tokens.where(F.col("df") > self.hot_docs).select("token").distinct()
-            often = written(often if hot is None else often.union(hot).distinct(), "jaccard-hot")
-            fresh = often if hot is None else often.join(hot, "token", "left_anti")
-            if fresh.isEmpty():
+            tokens = self.repeated(current)
+            often = tokens.where(F.col("df") > self.hot_docs)
+            often = often if common is None else often.join(common, "token", "left_anti")
+            some = [f("_id", F.xxhash64("_id", F.lit(k))) for k in (0, 1) for f in (F.min_by, F.max_by)]
+            picked = often.groupBy("token").agg(F.array(F.min_by("_id", F.struct("n", "_id")), *some).alias("ids"))
+            picked = written(picked.select(F.explode("ids").alias("_id")).distinct(), "jaccard-picked")
+            if picked.isEmpty():
                 return tokens
-            hot = often
-            shared = self.spark.sparkContext.broadcast(_packed_bits(bitmap_of(hot, F.col("token"), HOT_BITS)))
+            sets_ = self.of(picked).join(picked, "_id", "left_semi").mapInArrow(_fragments(self.width), f"_id {self.kind}, fragment int, part array<long>")
+            more = sets_.select(F.explode("part").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+            common = written((more if common is None else more.union(common)).distinct(), "jaccard-common")
+            shared = self.spark.sparkContext.broadcast(_packed_bits(bitmap_of(common, F.col("token"), HOT_BITS)))
             moved = current.select("_id", "prefix").mapInArrow(_with_hot(shared), f"_id {self.kind}")
             moved = written(moved.distinct(), "jaccard-moved")
-            new = self.of(moved).mapInArrow(_prefixes(self.width, self.percent, shared), f"_id {self.kind}, n long, sig binary, prefix array<long>")
+            new = self.of(moved).mapInArrow(_prefixes(self.width, self.percent, shared), prefixes)
             new = new.join(moved, "_id", "left_semi").select("_id", "n", "prefix")
             current = written(current.join(moved, "_id", "left_anti").unionByName(new), "jaccard-prefixes")
-        return self.repeated(current.select(F.explode("prefix").alias("token"), "_id", "n"))
-
-    def parts(self, pairs: DataFrame, wanted: range) -> tuple[DataFrame, DataFrame]:
-        """Fragments of the sets that pairs need, for either side."""
-        ids = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
-        found = written(self.of(ids).mapInArrow(_fragments(self.width, wanted), f"_id {self.kind}, fragment int, part array<long>"), "jaccard-fragments")
-        return found.toDF("a", "fragment", "part_a"), found.toDF("b", "fragment", "part_b")
+        return self.repeated(current)
 
-    def overlaps(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, n_a, b, n_b) with bounds of their overlap, low and high; equal where the pair may link.
+    def beside(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """Pairs (a, b, ...) with the parts of both sets, a row for each fragment of the order."""
+        return pairs.join(parts.toDF("b", "fragment", "part_b"), "b").join(parts.toDF("a", "fragment", "part_a"), ["a", "fragment"])
 
-        Partial overlaps of each fragment of the order are counted apart and added up per pair. Sets
-        that are alike differ in few shingles; what differs in the first fragment alone can be too much.
-        """
-        need = F.ceil(F.lit(self.percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + self.percent))
+    def links(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """Pairs (a, b, n_a, n_b) that link: overlaps of each fragment are counted apart and added up per pair."""
         same = F.size(F.array_intersect("part_a", "part_b")).cast("long")
-
-        a, b = self.parts(pairs, range(1))
-        first = pairs.join(b.drop("fragment"), "b").join(a.drop("fragment"), "a")
-        first = first.select("a", "n_a", "b", "n_b", same.alias("same"), (F.size("part_a") + F.size("part_b")).alias("sizes"))
-        rest = F.floor((F.col("n_a") + F.col("n_b") - F.col("sizes")) / 2)
-        first = first.withColumn("high", F.col("same") + F.least(rest, F.least("n_a", "n_b") - F.col("same")))
-        first = first.withColumn("open", F.col("high") >= need).dropDuplicates(["a", "b"])  # ids that repeat give parts that do
-        first = written(first, "jaccard-first")
-
-        still = first.where("open").select("a", "b")
-        a, b = self.parts(still, range(1, FRAGMENTS))
-        more = still.join(b, "b").join(a, ["a", "fragment"])
-        more = more.groupBy("a", "b", "fragment").agg(F.max(same).alias("same"))
-        summed = more.groupBy("a", "b").agg(F.sum("same").alias("more"))
-        done = first.where("open").join(summed, ["a", "b"]).withColumn("same", F.col("same") + F.col("more")).withColumn("high", F.col("same"))
-        out = done.select("a", "n_a", "b", "n_b", F.col("same").alias("low"), "high")
-        return out.unionByName(first.where("NOT open").select("a", "n_a", "b", "n_b", F.col("same").alias("low"), "high"))
-
-    def links(self, checked: DataFrame) -> DataFrame:
-        union = F.col("n_a") + F.col("n_b") - F.col("low")
-        return checked.where((F.col("low") == F.col("high")) & (F.col("low") * 100 >= union * self.percent)).select("a", "b", "n_a", "n_b", F.col("low").alias("same"))
-
-    def star(self, tokens: DataFrame) -> DataFrame:
-        """For each token its document with the smallest id, against the others: as many pairs as rows at most."""
-        hubs = tokens.groupBy("token").agg(F.min(F.struct("_id", "n", "comp")).alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        hubs = written(hubs.select("token", F.col("hub._id").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.comp").alias("comp_a")), "jaccard-hubs")
-        pairs = tokens.join(hubs, "token").where((F.col("comp") != F.col("comp_a")) & self.fits(F.col("n"), F.col("n_a")))
-        return written(pairs.select("a", "n_a", F.col("_id").alias("b"), F.col("n").alias("n_b")).distinct(), "jaccard-star")
-
-    def rest(self, tokens: DataFrame, checked: DataFrame | None) -> DataFrame:
-        """All pairs of a token's documents that are in different components and can still link.
-
-        Jaccard distance is a metric: two documents whose distances to the token's hub differ by more than
-        a link's distance don't link.
+        each = [F.max(F.when(F.col("fragment") == k, same)).alias(f"s{k}") for k in range(FRAGMENTS)]  # ids that repeat give parts that do
+        summed = self.beside(pairs, parts).groupBy("a", "b", "n_a", "n_b").agg(*each)
+        total = sum((F.coalesce(f"s{k}", F.lit(0)) for k in range(FRAGMENTS)), F.lit(0))
+        linked = summed.withColumn("same", total).where(F.col("same") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("same")) * self.percent)
+        return written(linked.select("a", "b", "n_a", "n_b"), "jaccard-links")
+
+    def star(self, tokens: DataFrame, central: Column, fits: Column, sides: list[str]) -> DataFrame:
+        """For each token its most central row, against the rows of other components that it can link with;
+        of a document's pairs the one that most tokens have. No more pairs than documents."""
+        of_a = [f"{c}_a" for c in sides]
+        hubs = tokens.groupBy("token").agg(F.min_by(F.struct(*sides), central).alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+        hubs = hubs.select("token", *(F.col(f"hub.{c}").alias(d) for c, d in zip(sides, of_a, strict=True)))
+        other = tokens.select("token", *(F.col(c).alias(f"{c}_b") for c in sides))
+        met = other.join(written(hubs, "jaccard-hubs"), "token").where((F.col("comp_a") != F.col("comp_b")) & fits)
+        pairs = met.groupBy("_id_a", "_id_b", "n_a", "n_b").agg(F.count("*").alias("k"))
+        best = pairs.groupBy("_id_b").agg(F.max(F.struct("k", -F.col("n_a"), F.col("_id_a").alias("a"), "n_a", "n_b")).alias("x"))
+        return written(best.select("x.a", F.col("_id_b").alias("b"), "x.n_a", "x.n_b"), "jaccard-star")
+
+    def met(self, tokens: DataFrame, fits: Column, sides: list[str]) -> DataFrame:
+        """All pairs (a, b, n_a, n_b) of a token's rows that are in different components and can link."""
+        x, y = (tokens.select("token", *(F.col(c).alias(f"{c}_{k}") for c in sides)) for k in "ab")
+        pairs = x.join(y, "token").where((F.col("_id_a") < F.col("_id_b")) & (F.col("comp_a") != F.col("comp_b")) & fits)
+        return pairs.select(F.col("_id_a").alias("a"), F.col("_id_b").alias("b"), "n_a", "n_b").distinct()
+
+    def labelled(self, tokens: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Tokens with the component of their document, where they have more than one."""
+        tokens = tokens.drop("comp")
+        if labels is None:
+            return tokens.withColumn("comp", F.col("_id"))
+        mine = labels.select(F.col("node").alias("_id"), F.col("label"))
+        return tokens.join(mine, "_id", "left").withColumn("comp", F.coalesce("label", "_id")).drop("label")
+
+    def deltas(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """Pairs (a: a hub, b, n_a, n_b) with e, in how many shingles their sets differ, and the first of these:
+        those that the hub lacks before those that it has alone.
+
+        How two documents differ from the same hub tells how they differ from each other: if they link they
+        share so many of these differences that one of the first is shared.
         """
-        several = tokens.groupBy("token").agg(F.min("_id").alias("hub"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        left = tokens.join(written(several.select("token", "hub"), "jaccard-several"), "token").select("token", "_id", "n", "comp", "hub")
-        total = F.col("n_a") + F.col("n_b")
-        if checked is None:  # no star had a pair of fitting sizes
-            kind = self.kind
-            checked = self.spark.createDataFrame([], f"a {kind}, n_a long, b {kind}, n_b long, low long, high long")
-        seen = checked.select(
-            F.col("a").alias("hub"), F.col("b").alias("_id"), (1 - F.col("high") / (total - F.col("high"))).alias("near"), (1 - F.col("low") / (total - F.col("low"))).alias("far")
-        ).dropDuplicates(["hub", "_id"])
-        left = written(left, "jaccard-left").join(seen, ["hub", "_id"], "left")
-        left = written(left.select("token", "_id", "n", "comp", F.coalesce("near", F.lit(0.0)).alias("near"), F.coalesce("far", F.lit(1.0)).alias("far")), "jaccard-left")
-        reach = 1 - self.percent / 100 + 1e-9
-        x, y = left.toDF("token", "a", "n_a", "comp_a", "near_a", "far_a"), left.toDF("token", "b", "n_b", "comp_b", "near_b", "far_b")
-        pairs = x.join(y, "token").where(
-            (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & self.fits(F.col("n_a"), F.col("n_b"))
-            & (F.col("near_a") - F.col("far_b") <= reach) & (F.col("near_b") - F.col("far_a") <= reach)
-        )
-        pairs = pairs.select("a", "n_a", "b", "n_b").distinct()
-        return written(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-rest")
-
-    def run(self, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        new, gone = F.array_except("part_b", "part_a"), F.array_except("part_a", "part_b")
+        each = self.beside(pairs, parts).select("a", "b", "n_a", "n_b", new.alias("new"), gone.alias("gone"))
+        whole = each.groupBy("a", "b", "n_a", "n_b").agg(F.flatten(F.collect_list("new")).alias("new"), F.flatten(F.collect_list("gone")).alias("gone"))
+        mark = lambda k: lambda x: F.xxhash64(F.col("a"), F.lit(k), x)
+        every = F.concat(F.transform(F.array_sort("new"), mark(0)), F.transform(F.array_sort("gone"), mark(1)))
+        most = F.expr(f"n_b * {100 - self.percent} div {self.percent} + 1").cast("int")
+        return written(whole.select("a", "b", "n_a", "n_b", F.size(every).cast("long").alias("e"), F.slice(every, 1, most).alias("first")), "jaccard-deltas")
+
+    def crowded(self, left: DataFrame, parts: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """For tokens of very many rows: (links with those found, pairs that are still to be checked).
+
+        Rows are compared with the token's most central document, then by how they differ from it.
+        """
+        hubs = left.groupBy("token").agg(F.min_by(F.struct("_id", "n"), F.struct("pos", "_id")).alias("hub"))
+        pairs = left.join(written(hubs, "jaccard-hubs"), "token").select(F.col("hub._id").alias("a"), F.col("_id").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
+        deltas = self.deltas(written(pairs.where("a <> b").distinct(), "jaccard-crowd"), parts)
+        up, down = 100 + self.percent, 100 - self.percent
+        bound = down * (F.col("n_a") + F.col("n_b"))
+        linked = linked.unionByName(deltas.where(F.col("e") * up <= bound).select("a", "b", "n_a", "n_b"))
+        rows = deltas.select(F.posexplode("first").alias("pos", "token"), F.col("b").alias("_id"), F.col("n_b").alias("n"), "e")
+        sides, gap = ["_id", "n", "e", "pos", "comp"], F.col("e_b") - F.col("e_a")
+        fits = ((gap + 2 * F.col("pos_a")) * up <= bound) & ((2 * F.col("pos_b") - gap) * up <= bound)
+        rows = self.several(self.labelled(rows, components(linked)))
+        pairs = self.star(rows, F.struct("e", "_id"), fits, sides)
+        if not pairs.isEmpty():
+            linked = linked.unionByName(self.links(pairs, parts))
+            rows = self.several(self.labelled(rows, components(linked)))
+        return linked, self.met(rows, fits, sides)
+
+    def several(self, rows: DataFrame) -> DataFrame:
+        """Rows of tokens whose rows are in several components, with how many rows a token has."""
+        counts = rows.groupBy("token").agg(F.count("*").alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+        return written(rows.drop("rows").join(written(counts.select("token", "rows"), "jaccard-several"), "token"), "jaccard-left")
+
+    def run(self, rounds: int) -> tuple[DataFrame, DataFrame]:
         sets = written(self.rows.mapInArrow(_prefixes(self.width, self.percent, None), f"_id {self.kind}, n long, sig binary, prefix array<long>"), "jaccard-sets")
         classes = written(sets.where("n > 0").groupBy("sig").agg(F.min("_id").alias("rep")), "jaccard-classes")
         reps = classes.where("rep IS NOT NULL").select(F.col("rep").alias("_id"))
-        tokens = self.postings(sets, reps)
-        checked, linked, labels = None, None, None
-        for k in range(rounds + 1):
-            if labels is None:
-                now = tokens.withColumn("comp", F.col("_id"))
-            else:
-                now = tokens.join(labels.select(F.col("node").alias("_id"), "label"), "_id", "left").withColumn("comp", F.coalesce("label", "_id")).drop("label")
-            now = written(now.select("token", "_id", "n", "comp"), "jaccard-now")
-            pairs = self.star(now) if k < rounds else self.rest(now, checked)
-            if pairs.isEmpty() and k < rounds:
-                continue
-            found = written(self.overlaps(pairs), "jaccard-checked")
-            checked = found if checked is None else checked.unionByName(found)
-            new = self.links(found)
-            linked = new if linked is None else linked.unionByName(new)
-            labels = components(linked)
-        if linked is None:
-            linked = tokens.select(F.col("_id").alias("a"), F.col("_id").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.col("n").alias("same")).limit(0)
-            labels = tokens.select(F.col("_id").alias("node"), F.col("_id").alias("label")).limit(0)
-        return sets.select("_id", "n", "sig").join(classes, "sig", "left"), labels, linked
+        left = self.several(self.labelled(self.postings(sets, reps), None))
+        parts = written(self.of(left.select("_id").distinct()).mapInArrow(_fragments(self.width), f"_id {self.kind}, fragment int, part array<long>"), "jaccard-parts")
+        sides, fits = ["_id", "n", "pos", "hi", "comp"], (F.col("n_a") <= F.col("hi_b")) & (F.col("n_b") <= F.col("hi_a"))
+        linked = left.select(F.col("_id").alias("a"), F.col("_id").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b")).limit(0)
+        for _ in range(rounds):
+            pairs = self.star(left, F.struct("pos", "_id"), fits, sides)
+            new = self.links(pairs, parts)
+            if new.isEmpty():
+                break
+            linked = linked.unionByName(new)
+            left = self.several(self.labelled(left, components(linked)))
+        pairs = self.met(left.where(F.col("rows") <= CROWD), fits, sides)
+        many = left.where(F.col("rows") > CROWD)
+        if not many.isEmpty():
+            linked, more = self.crowded(many, parts, linked)
+            pairs = pairs.unionByName(more).distinct()
+        linked = linked.unionByName(self.links(written(pairs, "jaccard-rest"), parts))
+        return sets.select("_id", "n", "sig").join(classes, "sig", "left"), components(linked)
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hot_docs: int = 32, filter_bits: int = 1 << 26, rounds: int = 1
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hot_docs: int = 32, filter_bits: int = 1 << 26, rounds: int = 2
 ) -> DataFrame:
     """One row per input row: id, n_shingles, class_id, component_id.
 
@@ -256,10 +280,12 @@ def near_duplicates(
 
     Equal sets become one class first. Of classes that are alike, one of the first shingles (by the
     global order) is shared, so only classes that meet there are compared, by fragments of the order
-    whose partial overlaps are added up per pair. Groups of very many near copies aren't compared
-    all with all: each shingle's smallest document is compared with the others (`rounds` times, with
-    components merged in between), then pairs still in different components that distances to that
-    document don't rule out. No pair that could link two components is left out.
+    whose partial overlaps are added up per pair; a shared shingle that stands too far back in either
+    set to leave room for a link (by the sets' sizes) doesn't count. Groups of very many near copies
+    aren't compared all with all: first each shingle's most central document is compared with the others,
+    with components merged (`rounds` times at most); where more than CROWD documents in several components
+    are still left of a shingle, they meet by their differences from its central document, as links share
+    most of these; what is left then is compared. No pair that could link two components is left out.
 
     Only prefix shingles are shuffled, and of those only ones that a filter of `filter_bits` bits says
     occur twice; texts are never shuffled. Shingles are told apart by 64-bit hashes, sets by 128-bit
@@ -267,7 +293,7 @@ def near_duplicates(
     Rows that repeat an id and a text are in one class; ids should be unique otherwise. Rows with a null
     id get their class's ids, null if it has none. An empty table gives no rows.
     """
-    members, labels, _ = Join(docs, id_col, text_col, width, percent, hot_docs, filter_bits).run(rounds)
+    members, labels = Join(docs, id_col, text_col, width, percent, hot_docs, filter_bits).run(rounds)
     members = written(members, "jaccard-members")
     out = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     own = F.coalesce("rep", "_id")
