@@ -20,7 +20,7 @@ from cuelake.staging import written
 #: The order's fragments are ranges of shingle hashes.
 FRAGMENTS = 4
 HOT_BITS = 1 << 26
-#: Up to so many rows of a token are compared with each other at once.
+#: Tokens with more rows of which each may be the smaller one of a pair go by differences from a hub.
 CROWD = 16
 
 
@@ -50,8 +50,8 @@ def _ordered(s: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
     return s if hot is None else s[np.argsort(_hot(s, hot), kind="stable")]
 
 
-def _with_hot(shared):
-    """Ids of the prefixes that have a shingle of the hot filter."""
+def _by_hot(shared, has: bool):
+    """The rows whose prefix has a shingle of the hot filter, or the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +61,7 @@ def _with_hot(shared):
             at = prefix.offsets.to_numpy().astype(np.int64)
             marks = _hot(prefix.values.to_numpy()[at[0] : at[-1]].view(np.uint64), shared.value)
             upto = np.concatenate(([0], np.cumsum(marks, dtype=np.int64)))[at - at[0]]
-            yield pa.RecordBatch.from_pydict({"_id": batch.column("_id").filter(pa.array(np.diff(upto) > 0))})
+            yield batch.filter(pa.array((np.diff(upto) > 0) == has))
 
     return run
 
@@ -138,44 +138,47 @@ class Join:
         Common are those that several have of a few documents picked for each hot prefix shingle: near
         copies have most shingles of any of their group, and what a document has alone then stands in front,
         where it takes up the place that a link leaves for differences. The order is a function of the shingle, so
-        any choice gives right results; it is made twice, for what moves up may be hot as well. The same
-        filter that orders, collisions and all, tells whose prefix changes: all that have a shingle in it."""
+        any choice gives right results. The same filter that orders, collisions and all, tells whose prefix changes: all that have a shingle in it."""
         prefixes = f"_id {self.kind}, n long, sig binary, prefix array<long>"
         current = sets.join(reps.select("_id"), "_id").select("_id", "n", "prefix")
         current = written(current, "jaccard-prefixes")
-        common = None
-        for _ in range(2):
-            tokens = self.repeated(current)
-            often = tokens.where(F.col("df") > self.hot_docs)
-            often = often if common is None else often.join(common, "token", "left_anti")
-            some = [f("_id", F.xxhash64("_id", F.lit(k))) for k in (0, 1) for f in (F.min_by, F.max_by)]
-            picked = often.groupBy("token").agg(F.array(F.min_by("_id", F.struct("n", "_id")), *some).alias("ids"))
-            picked = written(picked.select(F.explode("ids").alias("_id")).distinct(), "jaccard-picked")
-            if picked.isEmpty():
-                return tokens
-            sets_ = self.of(picked).join(picked, "_id", "left_semi").mapInArrow(_fragments(self.width), f"_id {self.kind}, fragment int, part array<long>")
-            more = sets_.select(F.explode("part").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-            common = written((more if common is None else more.union(common)).distinct(), "jaccard-common")
-            shared = self.spark.sparkContext.broadcast(_packed_bits(bitmap_of(common, F.col("token"), HOT_BITS)))
-            moved = current.select("_id", "prefix").mapInArrow(_with_hot(shared), f"_id {self.kind}")
-            moved = written(moved.distinct(), "jaccard-moved")
-            new = self.of(moved).mapInArrow(_prefixes(self.width, self.percent, shared), prefixes)
-            new = new.join(moved, "_id", "left_semi").select("_id", "n", "prefix")
-            current = written(current.join(moved, "_id", "left_anti").unionByName(new), "jaccard-prefixes")
-        return self.repeated(current)
-
-    def beside(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        """Pairs (a, b, ...) with the parts of both sets, a row for each fragment of the order."""
+        tokens = self.repeated(current)
+        some = [f("_id", F.xxhash64("_id", F.lit(k))) for k in (0, 1) for f in (F.min_by, F.max_by)]
+        often = tokens.where(F.col("df") > self.hot_docs).groupBy("token")
+        picked = often.agg(F.array(F.min_by("_id", F.struct("n", "_id")), *some).alias("ids"))
+        picked = written(picked.select(F.explode("ids").alias("_id")).distinct(), "jaccard-picked")
+        if picked.isEmpty():
+            return tokens
+        sets_ = self.of(picked).join(picked, "_id", "left_semi").mapInArrow(_fragments(self.width), f"_id {self.kind}, fragment int, part array<long>")
+        common = sets_.select(F.explode("part").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+        shared = self.spark.sparkContext.broadcast(_packed_bits(bitmap_of(common, F.col("token"), HOT_BITS)))
+        own = f"_id {self.kind}, n long, prefix array<long>"
+        moved = written(current.mapInArrow(_by_hot(shared, True), own).select("_id").distinct(), "jaccard-moved")
+        new = self.of(moved).mapInArrow(_prefixes(self.width, self.percent, shared), prefixes)
+        new = written(new.join(moved, "_id", "left_semi").select("_id", "n", "prefix"), "jaccard-moved-prefixes")
+        return self.repeated(current.mapInArrow(_by_hot(shared, False), own).unionByName(new))
+
+    def beside(self, pairs: DataFrame, parts: DataFrame, wanted: Column) -> DataFrame:
+        """Pairs (a, b, ...) with the parts of both sets, a row for each of the wanted fragments of the order."""
+        parts = parts.where(wanted)
         return pairs.join(parts.toDF("b", "fragment", "part_b"), "b").join(parts.toDF("a", "fragment", "part_a"), ["a", "fragment"])
 
     def links(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        """Pairs (a, b, n_a, n_b) that link: overlaps of each fragment are counted apart and added up per pair."""
+        """Pairs (a, b, n_a, n_b) that link.
+
+        Partial overlaps of each fragment of the order are counted apart and added up per pair. Sets that
+        are alike differ in few shingles; what differs in the first fragment alone can be too much.
+        """
         same = F.size(F.array_intersect("part_a", "part_b")).cast("long")
-        each = [F.max(F.when(F.col("fragment") == k, same)).alias(f"s{k}") for k in range(FRAGMENTS)]  # ids that repeat give parts that do
-        summed = self.beside(pairs, parts).groupBy("a", "b", "n_a", "n_b").agg(*each)
-        total = sum((F.coalesce(f"s{k}", F.lit(0)) for k in range(FRAGMENTS)), F.lit(0))
-        linked = summed.withColumn("same", total).where(F.col("same") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("same")) * self.percent)
-        return written(linked.select("a", "b", "n_a", "n_b"), "jaccard-links")
+        total = F.col("n_a") + F.col("n_b")
+        first = self.beside(pairs, parts, F.col("fragment") == 0).select("a", "b", "n_a", "n_b", same.alias("first"), F.size("part_a").alias("p"), F.size("part_b").alias("q"))
+        most = F.col("first") + F.least(F.col("n_a") - F.col("p"), F.col("n_b") - F.col("q"))
+        enough = lambda n: n * 100 >= (total - n) * self.percent
+        still = written(first.where(enough(most)).select("a", "b", "n_a", "n_b", "first").distinct(), "jaccard-open")
+        each = [F.max(F.when(F.col("fragment") == k, same)).alias(f"s{k}") for k in range(1, FRAGMENTS)]  # ids that repeat give parts that do
+        summed = self.beside(still, parts, F.col("fragment") > 0).groupBy("a", "b", "n_a", "n_b", "first").agg(*each)
+        whole = sum((F.coalesce(f"s{k}", F.lit(0)) for k in range(1, FRAGMENTS)), F.col("first"))
+        return written(summed.where(enough(whole)).select("a", "b", "n_a", "n_b"), "jaccard-links")
 
     def star(self, tokens: DataFrame, central: Column, fits: Column, sides: list[str]) -> DataFrame:
         """For each token its most central row, against the rows of other components that it can link with;
@@ -211,21 +214,26 @@ class Join:
         share so many of these differences that one of the first is shared.
         """
         new, gone = F.array_except("part_b", "part_a"), F.array_except("part_a", "part_b")
-        each = self.beside(pairs, parts).select("a", "b", "n_a", "n_b", new.alias("new"), gone.alias("gone"))
+        each = self.beside(pairs, parts, F.lit(True)).select("a", "b", "n_a", "n_b", new.alias("new"), gone.alias("gone"))
         whole = each.groupBy("a", "b", "n_a", "n_b").agg(F.flatten(F.collect_list("new")).alias("new"), F.flatten(F.collect_list("gone")).alias("gone"))
         mark = lambda k: lambda x: F.xxhash64(F.col("a"), F.lit(k), x)
         every = F.concat(F.transform(F.array_sort("new"), mark(0)), F.transform(F.array_sort("gone"), mark(1)))
         most = F.expr(f"n_b * {100 - self.percent} div {self.percent} + 1").cast("int")
         return written(whole.select("a", "b", "n_a", "n_b", F.size(every).cast("long").alias("e"), F.slice(every, 1, most).alias("first")), "jaccard-deltas")
 
-    def crowded(self, left: DataFrame, parts: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """For tokens of very many rows: (links with those found, pairs that are still to be checked).
+    def hub_pairs(self, left: DataFrame) -> DataFrame:
+        """Each token's most central document (a) with all others (b)."""
+        hubs = left.groupBy("token").agg(F.min_by(F.struct("_id", "n"), F.struct("pos", "_id")).alias("hub"))
+        pairs = left.join(written(hubs, "jaccard-hubs"), "token")
+        pairs = pairs.select(F.col("hub._id").alias("a"), F.col("_id").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
+        return pairs.where("a <> b").distinct()
+
+    def crowded(self, crowd: DataFrame, parts: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """For hubs and their documents: (links with those found, pairs that are still to be checked).
 
-        Rows are compared with the token's most central document, then by how they differ from it.
+        Documents that differ from the hub in the same way are compared, first stars of them.
         """
-        hubs = left.groupBy("token").agg(F.min_by(F.struct("_id", "n"), F.struct("pos", "_id")).alias("hub"))
-        pairs = left.join(written(hubs, "jaccard-hubs"), "token").select(F.col("hub._id").alias("a"), F.col("_id").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b"))
-        deltas = self.deltas(written(pairs.where("a <> b").distinct(), "jaccard-crowd"), parts)
+        deltas = self.deltas(crowd, parts)
         up, down = 100 + self.percent, 100 - self.percent
         bound = down * (F.col("n_a") + F.col("n_b"))
         linked = linked.unionByName(deltas.where(F.col("e") * up <= bound).select("a", "b", "n_a", "n_b"))
@@ -240,36 +248,43 @@ class Join:
         return linked, self.met(rows, fits, sides)
 
     def several(self, rows: DataFrame) -> DataFrame:
-        """Rows of tokens whose rows are in several components, with how many rows a token has."""
-        counts = rows.groupBy("token").agg(F.count("*").alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        return written(rows.drop("rows").join(written(counts.select("token", "rows"), "jaccard-several"), "token"), "jaccard-left")
+        """Rows of tokens whose rows are in several components."""
+        counts = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+        return written(rows.join(written(counts.select("token"), "jaccard-several"), "token"), "jaccard-left")
+
+    def parts(self, pairs: DataFrame) -> DataFrame:
+        """Fragments of the sets that pairs (a, b) need."""
+        ids = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
+        found = self.of(ids).mapInArrow(_fragments(self.width), f"_id {self.kind}, fragment int, part array<long>")
+        return written(found.join(written(ids, "jaccard-needed"), "_id", "left_semi"), "jaccard-parts")
 
-    def run(self, rounds: int) -> tuple[DataFrame, DataFrame]:
+    def run(self) -> tuple[DataFrame, DataFrame]:
         sets = written(self.rows.mapInArrow(_prefixes(self.width, self.percent, None), f"_id {self.kind}, n long, sig binary, prefix array<long>"), "jaccard-sets")
         classes = written(sets.where("n > 0").groupBy("sig").agg(F.min("_id").alias("rep")), "jaccard-classes")
         reps = classes.where("rep IS NOT NULL").select(F.col("rep").alias("_id"))
         left = self.several(self.labelled(self.postings(sets, reps), None))
-        parts = written(self.of(left.select("_id").distinct()).mapInArrow(_fragments(self.width), f"_id {self.kind}, fragment int, part array<long>"), "jaccard-parts")
         sides, fits = ["_id", "n", "pos", "hi", "comp"], (F.col("n_a") <= F.col("hi_b")) & (F.col("n_b") <= F.col("hi_a"))
-        linked = left.select(F.col("_id").alias("a"), F.col("_id").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b")).limit(0)
-        for _ in range(rounds):
-            pairs = self.star(left, F.struct("pos", "_id"), fits, sides)
-            new = self.links(pairs, parts)
-            if new.isEmpty():
-                break
-            linked = linked.unionByName(new)
-            left = self.several(self.labelled(left, components(linked)))
-        pairs = self.met(left.where(F.col("rows") <= CROWD), fits, sides)
-        many = left.where(F.col("rows") > CROWD)
-        if not many.isEmpty():
-            linked, more = self.crowded(many, parts, linked)
-            pairs = pairs.unionByName(more).distinct()
-        linked = linked.unionByName(self.links(written(pairs, "jaccard-rest"), parts))
+        seen = self.star(left, F.struct("pos", "_id"), fits, sides)
+        linked = self.links(seen, self.parts(seen))
+        left = self.several(self.labelled(left, components(linked)))
+
+        # of two rows that fit, the smaller one fits its own size, so few such rows mean few pairs
+        strong = left.groupBy("token").agg(F.count_if(F.col("hi") >= F.col("n")).alias("strong")).where(F.col("strong") > CROWD).select("token")
+        strong = written(strong, "jaccard-strong")
+        seen = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = self.met(left.join(strong, "token", "left_anti"), fits, sides).join(seen, ["a", "b"], "left_anti")
+        pairs = written(pairs, "jaccard-rest")
+        crowd = written(self.hub_pairs(left.join(strong, "token", "left_semi")), "jaccard-crowd")
+        parts = self.parts(pairs.unionByName(crowd))
+        if not crowd.isEmpty():
+            linked, more = self.crowded(crowd, parts, linked)
+            pairs = written(pairs.unionByName(more).distinct(), "jaccard-rest")
+        linked = linked.unionByName(self.links(pairs, parts))
         return sets.select("_id", "n", "sig").join(classes, "sig", "left"), components(linked)
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hot_docs: int = 32, filter_bits: int = 1 << 26, rounds: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hot_docs: int = 16, filter_bits: int = 1 << 26
 ) -> DataFrame:
     """One row per input row: id, n_shingles, class_id, component_id.
 
@@ -282,9 +297,9 @@ def near_duplicates(
     global order) is shared, so only classes that meet there are compared, by fragments of the order
     whose partial overlaps are added up per pair; a shared shingle that stands too far back in either
     set to leave room for a link (by the sets' sizes) doesn't count. Groups of very many near copies
-    aren't compared all with all: first each shingle's most central document is compared with the others,
-    with components merged (`rounds` times at most); where more than CROWD documents in several components
-    are still left of a shingle, they meet by their differences from its central document, as links share
+    aren't compared all with all: first each shingle's most central document is compared with the others
+    and components are merged; where more than CROWD documents are still left of a shingle that could
+    link with a larger one, they meet by their differences from its central document, as links share
     most of these; what is left then is compared. No pair that could link two components is left out.
 
     Only prefix shingles are shuffled, and of those only ones that a filter of `filter_bits` bits says
@@ -293,7 +308,7 @@ def near_duplicates(
     Rows that repeat an id and a text are in one class; ids should be unique otherwise. Rows with a null
     id get their class's ids, null if it has none. An empty table gives no rows.
     """
-    members, labels = Join(docs, id_col, text_col, width, percent, hot_docs, filter_bits).run(rounds)
+    members, labels = Join(docs, id_col, text_col, width, percent, hot_docs, filter_bits).run()
     members = written(members, "jaccard-members")
     out = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     own = F.coalesce("rep", "_id")
