@@ -7,6 +7,8 @@ Contexts are packed into 64-bit numbers, the latest byte lowest, so depth is 7 a
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -135,8 +137,16 @@ def levels_of(codes: np.ndarray, counts: np.ndarray, depth: int, least: int) ->
     return out
 
 
+def _trimmed() -> None:
+    """Gives what the worker's earlier tasks have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches cut so that each has about `most` bytes of text, or one row."""
+    """Record batches cut so that each has about `most` bytes of text, or one row. Called once a task."""
+    _trimmed()
     for batch in batches:
         if not batch.num_rows:
             continue

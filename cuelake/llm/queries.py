@@ -17,7 +17,7 @@ from cuelake.llm.line_dedup import line_dedup
 from cuelake.llm.pii import sanitise
 from cuelake.llm.quality import quality_score
 from cuelake.llm.suffix_tree import lm_score
-from cuelake.llm.token_output import crc32_of, read_tokens, token_folder, write_tokens
+from cuelake.llm.token_output import read_tokens, token_folder, write_tokens
 from cuelake.staging import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +47,7 @@ def op4_token_output(spark: SparkSession, d: str) -> DataFrame:
     path = token_folder(spark)
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         write_tokens(table(spark, d, "documents"), path, f.read(), end=2)
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", crc32_of(F.col("ids")).alias("ids_crc32"))
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op5_jaccard_join(spark: SparkSession, d: str) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.llm.contexts import small_batches
@@ -19,8 +19,11 @@ from cuelake.llm.words import ranges
 from cuelake.staging import shared_dir, written
 
 LANES, EVERY = 1024, 128
-#: Fixed value: how tokens of a vocabulary with word ends are marked.
+#: How tokens of a vocabulary with word ends are marked, and the steps of tokenizers that
+#: lower-case, drop white space and then merge each word, number and run of marks apart.
 WORD_END = "</w>"
+NORMALISED = ["NFC", "Replace", "Lowercase"]
+CUT_AT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BLOCK_IDS = 1 << 18
 BLOCKS = (
     "shard int, block int, start long, n_ids long, doc_ids array<{kind}>, lengths array<long>, lanes int, every int, "
@@ -28,18 +31,32 @@ BLOCKS = (
 )
 
 
+def merges_words(tokenizer: str) -> bool:
+    """Whether a tokenizer (its JSON) lower-cases, drops white space and merges nothing across it."""
+    given = json.loads(tokenizer)
+    steps = lambda x, many: (x or {}).get(many) or [x or {}]
+    before, cuts = steps(given.get("normalizer"), "normalizers"), steps(given.get("pre_tokenizer"), "pretokenizers")
+    return (
+        [x.get("type") for x in before] == NORMALISED and [x.get("type") for x in cuts] == ["Split", "ByteLevel"]
+        and (before[1]["pattern"], before[1]["content"]) == ({"Regex": r"\s+"}, " ") and cuts[0]["pattern"] == {"Regex": CUT_AT} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+        and not cuts[1]["add_prefix_space"] and given["model"].get("end_of_word_suffix") == WORD_END and all(t["special"] and "<|" in t["content"] for t in given["added_tokens"])
+    )
+
+
 class PieceIds:
     """Ids of texts, made from those of their pieces between ASCII white space, each encoded once while held.
 
     The tokenizers of word vocabularies drop white space before merging, so a text's ids are those of
-    its pieces in order; that is what makes one dictionary for all texts of a task possible.
+    its pieces in order; that is what makes one dictionary for all texts of a task possible. A tokenizer
+    whose steps are others than `merges_words` knows gets whole texts.
     """
 
-    def __init__(self, tokenizer: str, most: int = 600_000, chunk: int = 10_000):
+    def __init__(self, tokenizer: str, most: int = 250_000, chunk: int = 10_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.chunk = Tokenizer.from_str(tokenizer), most, chunk
+        self.by_words = merges_words(tokenizer)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that end a word
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
@@ -48,6 +65,17 @@ class PieceIds:
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.hits = np.zeros(0, bool)
+
+    def _make_room(self) -> None:
+        """Holds on to pieces that a later batch had again, if these are few; most pieces never are."""
+        kept = np.flatnonzero(self.hits)
+        if len(kept) > self.most // 2:
+            return self.clear()
+        names = np.array(list(self.place), object)[kept]
+        self.flat, self.lengths = self.flat[ranges(self.starts[kept], self.lengths[kept])], self.lengths[kept]
+        self.starts, self.hits = np.cumsum(self.lengths) - self.lengths, np.zeros(len(kept), bool)
+        self.place = dict(zip(names.tolist(), range(len(kept)), strict=True))
 
     def _encoded(self, pieces: list[str], simple: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of pieces and how many each has. The first `simple` ones are single words, which are encoded
@@ -70,7 +98,8 @@ class PieceIds:
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         if len(self.place) > self.most:
-            self.clear()
+            self._make_room()
+        before = len(self.place)
         new = [p for p in pieces if p not in self.place]
         if new:
             simple = pc.match_substring_regex(pa.array(new), r"^\p{L}+$").to_numpy(zero_copy_only=False)
@@ -85,11 +114,17 @@ class PieceIds:
             self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
             self.lengths = np.concatenate((self.lengths, lengths))
             self.flat = np.concatenate(parts)
-        return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+            self.hits = np.concatenate((self.hits, np.zeros(len(new), bool)))
+        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        self.hits[at[at < before]] = True
+        return at
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, `end` after each, and how many each text has."""
         texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            ids, counts = self._one_by_one(texts.to_pylist())
+            return np.insert(ids, np.cumsum(counts), end), counts + 1
         # lower-casing and setting a lone mark apart change no id, but make more pieces alike
         easy = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])(\s)", r"\1 \2\3")
         texts = pc.if_else(pc.match_substring(texts, "<|"), texts, easy)
@@ -235,11 +270,6 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     return out.withColumnRenamed("_id", id_col)
 
 
-def crc32_of(data: Column) -> Column:
-    """CRC-32 of binary values."""
-    return F.pandas_udf(lambda x: x.map(zlib.crc32), "long")(data)
-
-
 def token_folder(spark: SparkSession) -> str:
     import uuid
 

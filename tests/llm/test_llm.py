@@ -30,7 +30,7 @@ from cuelake.llm.pii import sanitise
 from cuelake.llm.quality import isotonic, quality_score
 from cuelake.llm.rans import Table
 from cuelake.llm.suffix_tree import lm_score, smoothed
-from cuelake.llm.token_output import read_tokens, token_folder, write_tokens
+from cuelake.llm.token_output import PieceIds, read_tokens, token_folder, write_tokens
 from cuelake.llm.words import shingles, words_of
 
 from ..conftest import DATA
@@ -269,6 +269,30 @@ def test_token_output(spark, docs):
     assert read_tokens(spark, path).count() == 0
 
 
+def test_token_output_query(spark, tmp_path, docs):
+    rows = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer, at = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
+    got = {r["doc_id"]: tuple(r)[1:] for r in q.op4_token_output(spark, str(tmp_path)).collect()}
+    for d, t in sorted(rows_of(rows)):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        assert got[d] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_pieces_are_used_only_where_the_tokenizer_merges_words():
+    texts = ["It's  A Test.", "a b", "Ünï 12 ab cd. ab", None, "x" * 50, "<|endoftext|> It's"]
+    for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        with open(public_tokenizers.path(name), encoding="utf-8") as f:
+            raw = f.read()
+        tokenizer, pieces = Tokenizer.from_str(raw), PieceIds(raw, most=4)
+        assert pieces.by_words == by_words
+        for _ in range(3):  # pieces are dropped and made again
+            ids, counts = pieces.encode(pa.array(texts), 2)
+            assert ids.tolist() == [i for t in texts for i in [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]]
+            assert counts.sum() == len(ids)
+
+
 def test_lm_score(docs):
     train_on = F.col("doc_id") % 3 > 0
     c = Counter()
