@@ -31,9 +31,12 @@ WITH RECURSIVE step(round, piece, pos, nxt, token, other) AS (
 SELECT piece, token FROM step QUALIFY round = max(round) OVER (PARTITION BY piece) ORDER BY piece, pos
 """
 #: For long pieces, where keeping every round would take too much memory: rows are updated by key, and
-#: only changes are kept. Each round takes the lowest rank of each piece and contracts its leftmost pair - or all pairs of that rank, leftmost
-#: first where they overlap, when no merge with the new token ranks lower than itself, as then one
-#: at a time would come to the same. Rows that a contraction takes away get token -1.
+#: only changes are kept. A pair is contracted as soon as no other within {reach} bytes ranks lower: what
+#: merges before it can only come near it as one growing token, and no token that the piece has is half as long as {reach}. So a
+#: round contracts pairs all along a piece. Of pairs of the same rank that overlap one after the other
+#: (a run) every second one is, once the whole run may. Where a merge with the new token ranks lower than
+#: that token itself (lone), only the first of its rank nearby is. Rows that a contraction takes away get
+#: token -1.
 ENCODE_LONG = """
 WITH RECURSIVE step(piece, pos, nxt, token) USING KEY (piece, pos) AS (
     SELECT piece, pos, nxt, token FROM bytes_of_pieces
@@ -41,18 +44,20 @@ WITH RECURSIVE step(piece, pos, nxt, token) USING KEY (piece, pos) AS (
     (WITH now AS (SELECT r.* FROM recurring.step r SEMI JOIN step s ON s.piece = r.piece WHERE r.token >= 0),
      pairs AS (SELECT a.piece, a.pos, b.pos AS gone, b.nxt AS after, m.rank
                FROM now a JOIN now b ON b.piece = a.piece AND b.pos = a.nxt JOIN merges m ON m.lhs = a.token AND m.rhs = b.token),
-     lowest AS (SELECT piece, min(rank) AS rank FROM pairs GROUP BY piece),
-     hits AS (SELECT p.*, row_number() OVER w AS k, coalesce(lag(p.gone) OVER w = p.pos, false) AS chained
-              FROM pairs p JOIN lowest l ON l.piece = p.piece AND l.rank = p.rank WINDOW w AS (PARTITION BY p.piece ORDER BY p.pos)),
-     heads AS (SELECT *, max(CASE WHEN chained THEN 0 ELSE k END) OVER (PARTITION BY piece ORDER BY pos) AS head FROM hits),
-     chosen AS (SELECT piece, pos, gone, after, rank FROM heads WHERE (k - head) % 2 = 0 AND (k = 1 OR rank NOT IN (SELECT token FROM lone)))
+     near AS (SELECT *, min(rank) OVER (PARTITION BY piece ORDER BY pos RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS low,
+                     coalesce(lag(gone) OVER w = pos AND lag(rank) OVER w = rank, false) AS chained,
+                     coalesce(pos - lag(pos) OVER (PARTITION BY piece, rank ORDER BY pos) > {reach}, true) AS alone
+              FROM pairs WINDOW w AS (PARTITION BY piece ORDER BY pos)),
+     runs AS (SELECT *, sum(CASE WHEN chained THEN 0 ELSE 1 END) OVER (PARTITION BY piece ORDER BY pos) AS run FROM near),
+     ready AS (SELECT *, row_number() OVER (PARTITION BY piece, run ORDER BY pos) AS k, min(low) OVER (PARTITION BY piece, run) AS lowest FROM runs),
+     chosen AS (SELECT piece, pos, gone, after, rank FROM ready WHERE lowest = rank AND k % 2 = 1 AND (alone OR rank NOT IN (SELECT token FROM lone)))
      SELECT s.piece, s.pos, coalesce(c.after, s.nxt), CASE WHEN g.gone IS NOT NULL THEN -1 ELSE coalesce(c.rank, s.token) END
      FROM now s LEFT JOIN chosen c ON c.piece = s.piece AND c.pos = s.pos LEFT JOIN chosen g ON g.piece = s.piece AND g.gone = s.pos
      WHERE c.pos IS NOT NULL OR g.gone IS NOT NULL)
 )
 SELECT piece, token FROM step WHERE token >= 0 ORDER BY piece, pos
 """
-LONG = 48
+LONG, SHORT = 48, 12
 #: A space after other white space. Without one, a text can be cut before each of its spaces, as no
 #: piece goes on across it: pieces hold white space only, or one space and then none.
 SPACED = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
@@ -69,6 +74,7 @@ class Bpe:
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.find, self.most, self.chunk = regex.compile(pattern).findall, most, chunk
+        self.rare = sorted((t for t in self.ranks if len(t) > SHORT), key=len, reverse=True)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         rows = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
@@ -95,7 +101,11 @@ class Bpe:
         sizes = np.array([len(d) for d in data], np.int64)
         counts = np.ones(len(pieces), np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for query, rest in ((ENCODE, np.flatnonzero((whole < 0) & (sizes <= LONG))), (ENCODE_LONG, np.flatnonzero((whole < 0) & (sizes > LONG)))):
+        groups = {ENCODE: np.flatnonzero((whole < 0) & (sizes <= LONG))}
+        for i in np.flatnonzero((whole < 0) & (sizes > LONG)).tolist():  # pieces that have no very long token reach less far
+            longest = next((len(t) for t in self.rare if t in data[i]), SHORT)
+            groups.setdefault(ENCODE_LONG.format(reach=2 * longest + 1), []).append(i)
+        for query, rest in ((k, np.array(v, np.int64)) for k, v in groups.items()):
             for a in range(0, len(rest), self.chunk):
                 some = rest[a : a + self.chunk]
                 pos = ranges(np.zeros(len(some), np.int64), sizes[some]).astype(np.int32)
