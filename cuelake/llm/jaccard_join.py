@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from cuelake.llm.bitmap import bitmap_of, marked
 from cuelake.llm.components import components
 from cuelake.llm.contexts import small_batches
-from cuelake.llm.line_dedup import repeat_filter, suspected
-from cuelake.llm.words import shingles, split_by, words_of
+from cuelake.llm.line_dedup import BLOOM_SCHEMA, fill, may_repeat, merged_filter
+from cuelake.llm.words import ranges, shingles, split_by, words_of
 from cuelake.staging import written
 
 #: The order's fragments are ranges of shingle hashes.
@@ -50,26 +51,46 @@ def _ordered(s: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
     return s if hot is None else s[np.argsort(_hot(s, hot), kind="stable")]
 
 
-def _by_hot(shared, has: bool):
+def _with_hot(batches: Iterator[pa.RecordBatch], shared, has: bool) -> Iterator[pa.RecordBatch]:
     """The rows whose prefix has a shingle of the hot filter, or the others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+    for batch in batches:
+        if batch.num_rows:
             prefix = batch.column("prefix")
             at = prefix.offsets.to_numpy().astype(np.int64)
             marks = _hot(prefix.values.to_numpy()[at[0] : at[-1]].view(np.uint64), shared.value)
             upto = np.concatenate(([0], np.cumsum(marks, dtype=np.int64)))[at - at[0]]
             yield batch.filter(pa.array((np.diff(upto) > 0) == has))
 
+
+def _ids_with_hot(shared):
+    return lambda batches: (batch.select(["_id"]) for batch in _with_hot(batches, shared, True))
+
+
+def _fill_with(bits: int, but_hot):
+    """Filters of the shingles of prefixes, those with a hot shingle left out if a hot filter is given."""
+    return lambda batches: fill(bits)(pa.RecordBatch.from_arrays([b.column("prefix").flatten()], ["token"]) for b in (_with_hot(batches, but_hot, False) if but_hot else batches))
+
+
+def _tokens(bloom, bits: int, but_hot):
+    """Prefixes to rows (pos, token, _id, n) of shingles that may repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _with_hot(batches, but_hot, False) if but_hot else batches:
+            prefix = batch.column("prefix")
+            token = prefix.flatten()
+            lengths = np.diff(prefix.offsets.to_numpy()).astype(np.int64)
+            kept = pa.array(np.flatnonzero(may_repeat(bloom.value, token.to_numpy(zero_copy_only=False), bits)))
+            owner = pa.array(np.repeat(np.arange(len(lengths)), lengths)).take(kept)
+            pos = pa.array(ranges(np.zeros(len(lengths), np.int64), lengths).astype(np.int32)).take(kept)
+            yield pa.RecordBatch.from_pydict({"pos": pos, "token": token.take(kept), "_id": batch.column("_id").take(owner), "n": batch.column("n").take(owner)})
+
     return run
 
 
 def _prefixes(width: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value if shared else None
-        for batch in small_batches(batches, "_text"):
+        for batch in small_batches(batches, "_text", 2 << 20):
             sets = _sets(batch.column("_text"), width)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -87,7 +108,7 @@ def _fragments(width: int):
     """Whole sets, cut into the fragments of the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "_text"):
+        for batch in small_batches(batches, "_text", 2 << 20):
             sets = _sets(batch.column("_text"), width)
             cuts = [[0, *np.searchsorted(s, np.array([k << 62 for k in range(1, FRAGMENTS)], np.uint64)).tolist(), len(s)] for s in sets]
             ids = batch.column("_id").take(pa.array(np.repeat(np.arange(len(sets)), FRAGMENTS)))
@@ -121,16 +142,19 @@ class Join:
         key = F.xxhash64("_id")
         return marked(self.rows, key, bitmap_of(ids, key, HOT_BITS), HOT_BITS).where("_marked").select("_id", "_text")
 
-    def repeated(self, current: DataFrame) -> DataFrame:
+    def repeated(self, prefixes: DataFrame, moved: DataFrame | None = None, hot=None) -> DataFrame:
         """Rows of tokens that two documents have; others are dropped beside the scan, nearly all. So are rows
-        whose place is too far back for even the smallest set that has the token."""
-        tokens = current.select(F.posexplode("prefix").alias("pos", "token"), "_id", "n")
-        bitmap = self.spark.sparkContext.broadcast(repeat_filter(tokens.select("token"), self.bits))
-        likely = written(tokens.where(suspected(bitmap, self.bits)("token")), "jaccard-likely")
+        whose place is too far back for even the smallest set that has the token. Prefixes with a shingle of
+        the hot filter give way to those of `moved`."""
+        sources = [(prefixes, hot)] + ([(moved, None)] if moved is not None else [])
+        filters = [rows.mapInArrow(_fill_with(self.bits, but), BLOOM_SCHEMA) for rows, but in sources]
+        bloom = self.spark.sparkContext.broadcast(merged_filter(reduce(DataFrame.unionByName, filters), self.bits))
+        found = [rows.mapInArrow(_tokens(bloom, self.bits, but), f"pos int, token long, _id {self.kind}, n long") for rows, but in sources]
+        likely = written(reduce(DataFrame.unionByName, found), "jaccard-likely")
         counts = likely.groupBy("token").agg(F.count("*").alias("df"), F.min("n").alias("least")).where("df > 1")
         hi = F.expr(f"(n - pos) * {100 + self.percent} div {self.percent} - n")
-        found = likely.join(written(counts, "jaccard-counts"), "token").withColumn("hi", hi).where("hi >= least")
-        return written(found.select("token", "_id", "n", "pos", "hi", "df"), "jaccard-tokens")
+        kept = likely.join(written(counts, "jaccard-counts"), "token").withColumn("hi", hi).where("hi >= least")
+        return written(kept.select("token", "_id", "n", "pos", "hi", "df"), "jaccard-tokens")
 
     def postings(self, sets: DataFrame, reps: DataFrame) -> DataFrame:
         """Prefix shingles that several classes share, under an order in which common shingles come last.
@@ -152,11 +176,10 @@ class Join:
         sets_ = self.of(picked).join(picked, "_id", "left_semi").mapInArrow(_fragments(self.width), f"_id {self.kind}, fragment int, part array<long>")
         common = sets_.select(F.explode("part").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
         shared = self.spark.sparkContext.broadcast(_packed_bits(bitmap_of(common, F.col("token"), HOT_BITS)))
-        own = f"_id {self.kind}, n long, prefix array<long>"
-        moved = written(current.mapInArrow(_by_hot(shared, True), own).select("_id").distinct(), "jaccard-moved")
+        moved = written(current.mapInArrow(_ids_with_hot(shared), f"_id {self.kind}").distinct(), "jaccard-moved")
         new = self.of(moved).mapInArrow(_prefixes(self.width, self.percent, shared), prefixes)
         new = written(new.join(moved, "_id", "left_semi").select("_id", "n", "prefix"), "jaccard-moved-prefixes")
-        return self.repeated(current.mapInArrow(_by_hot(shared, False), own).unionByName(new))
+        return self.repeated(current, new, shared)
 
     def beside(self, pairs: DataFrame, parts: DataFrame, wanted: Column) -> DataFrame:
         """Pairs (a, b, ...) with the parts of both sets, a row for each of the wanted fragments of the order."""

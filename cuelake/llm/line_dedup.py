@@ -57,7 +57,7 @@ def _bloom_rows(filters: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterat
         yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "once": [_packed(once)], "twice": [_packed(twice)]})
 
 
-def _fill(bits: int):
+def fill(bits: int):
     """Per task: bits of hashes seen once and of those seen twice, as one row per slice that is not empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,12 +91,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeat_filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """The filter of hashes that may occur twice, packed: bits / 8 bytes whatever the input.
+    """The filter of hashes that may occur twice, packed: bits / 8 bytes whatever the input."""
+    return merged_filter(hashes.mapInArrow(fill(bits), BLOOM_SCHEMA), bits)
+
+
+def merged_filter(filters: DataFrame, bits: int) -> np.ndarray:
+    """The filter of what tasks have seen twice, or two of them once.
 
     Bloom filters of the tasks travel as slices, so merging is spread over the cluster and each
     merging task holds its slices only; the merged filter is the only thing sent to the driver.
     """
-    merged = hashes.mapInArrow(_fill(bits), BLOOM_SCHEMA).repartition("slice").mapInArrow(_merge, BLOOM_SCHEMA)
+    merged = filters.repartition("slice").mapInArrow(_merge, BLOOM_SCHEMA)
     full = np.zeros((bits // SLICE_BITS, SLICE_BITS // 8), np.uint8)
     for row in merged.select("slice", "twice").toLocalIterator():
         full[row["slice"]] = np.packbits(_unpacked(bytes(row["twice"])))
@@ -106,13 +111,12 @@ def repeat_filter(hashes: DataFrame, bits: int) -> np.ndarray:
 def suspected(shared: Broadcast, bits: int):
     """A function of a column of hashes: whether the broadcast filter says that they may repeat."""
 
-    @F.pandas_udf("boolean")
-    def may_repeat(hashes: pd.Series) -> pd.Series:
-        bitmap = shared.value
-        a, b = _places(hashes.to_numpy(), bits)
-        return pd.Series(((bitmap[a >> 3] >> (7 - (a & 7))) & (bitmap[b >> 3] >> (7 - (b & 7))) & 1).astype(bool))
+    return F.pandas_udf(lambda hashes: pd.Series(may_repeat(shared.value, hashes.to_numpy(), bits)), "boolean")
+
 
-    return may_repeat
+def may_repeat(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    a, b = _places(hashes, bits)
+    return (_bits_at(bitmap, a) & _bits_at(bitmap, b)).astype(bool)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, filter_bits: int = 1 << 26) -> DataFrame:
@@ -125,8 +129,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(repeat_filter(keys.select("_rough"), filter_bits))
 
-    may_repeat = suspected(shared, filter_bits)
-    suspects = keys.where(may_repeat("_rough")).withColumn("_key", line_key(F.col("_line")))
+    suspects = keys.where(suspected(shared, filter_bits)("_rough")).withColumn("_key", line_key(F.col("_line")))
     suspects = suspects.select("_id", F.xxhash64("_key").alias("_hash"), F.unhex(F.sha2("_key", 256)).alias("_sha")).distinct()
     suspects = written(suspects, "lines-suspects")
     confirmed = suspects.groupBy("_sha").agg(F.count("*").alias("n"), F.max("_id").alias("_keep")).where(F.col("n") >= min_docs)

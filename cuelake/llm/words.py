@@ -66,8 +66,9 @@ def words_of(texts: pa.Array) -> Words:
     counts = np.diff(np.searchsorted(begins, at))
     if not len(begins):
         return Words(counts, np.zeros(0, np.uint64), begins, ends, data)
-    place = np.cumsum(first, dtype=np.int64) - 1
-    place = np.arange(len(data), dtype=np.int64) - begins[np.maximum(place, 0)]
+    narrow = np.int32 if len(data) < 1 << 31 else np.int64
+    place = np.cumsum(first, dtype=narrow)
+    place = np.arange(len(data), dtype=narrow) - np.concatenate(([0], begins)).astype(narrow)[place]
     place[~solid] = 0
     factors = mixed(np.arange(1, int(place.max()) + 2, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
     spread = _BYTE[data] * factors[place]
