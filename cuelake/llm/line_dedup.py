@@ -11,11 +11,14 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.llm.bitmap import bitmap_of, marked
 from cuelake.staging import written
 
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BITS = 1 << 16
+#: Of the bitmap that tells, beside the scan, which documents lose lines.
+ID_BITS = 1 << 23
 BLOOM_SCHEMA = "slice int, once binary, twice binary"
 
 
@@ -145,15 +148,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all their lines except in the document with the largest id. A first pass sets Bloom filters of
     once-seen and twice-seen keys; a second shuffles only keys that may repeat, as SHA-256, to count
     their documents exactly. A key of a third of all documents is counted by (key, document), then by
-    key with partial sums. Bounds: `filter_bits` / 8 bytes are broadcast, one document's dropped
+    key with partial sums. Texts stay where they are but for those that lose lines, which meet their
+    keys by id. Bounds: `filter_bits` / 8 bytes are broadcast, one document's dropped
     keys are gathered at a time. More bits mean fewer false suspects, never another result.
 
     Null or empty text is one empty line. Rows that share an id count as one document. A null id
     counts as one document, never the largest. An empty table gives no rows.
     """
     drops = repeated_lines(docs, id_col, text_col, min_chars, min_docs, filter_bits).withColumnRenamed(id_col, "_id")
+    drops = written(drops, "lines-drops")
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    joined = rows.join(drops, F.col("_doc").eqNullSafe(F.col("_id")), "left")
+    rows = marked(rows, F.xxhash64("_doc"), bitmap_of(drops, F.xxhash64("_id"), ID_BITS), ID_BITS)
+    losing = rows.where("_marked").join(drops, F.col("_doc").eqNullSafe(F.col("_id")), "left").drop("_marked", "_id")
+    joined = losing.unionByName(rows.where("NOT _marked").drop("_marked").withColumn("drop_keys", F.lit(None).cast("array<long>")))
     lines = lines_of(F.col("_text"))
 
     def stays(line: Column) -> Column:
