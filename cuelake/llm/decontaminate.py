@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,31 +19,68 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-class Sketches:
-    """Items by their distinct shingle hashes, each with the sketch that its size calls for.
+@dataclass
+class Partition:
+    """Items of like size (2 ** k to 2 ** (k + 1) - 1 distinct shingles) with their MinHash sketches.
 
-    An item of n shingles is held if `needed` of them are there, so one of any n - needed + 1 is: its
-    sketch is that many smallest hashes (a bottom-k MinHash whose k follows the item's size).
+    A document that holds an item lacks n - `needed` of its n shingles at most, so of the item's smallest
+    2 * (n - needed) + 1 hashes, its sketch, it has all but that many: `least`. `limit` is the largest hash
+    of the partition's sketches; a document's sketch for the partition is its hashes up to there, however
+    many these are. So no item is lost, and the larger a partition's items are, the fewer hashes it takes.
     """
 
+    items: np.ndarray
+    least: np.ndarray
+    limit: np.uint64
+    keys: np.ndarray
+    first: np.ndarray
+    times: np.ndarray
+    owner: np.ndarray
+
+    @classmethod
+    def of(cls, items: np.ndarray, sets: list[np.ndarray], percent: int) -> Partition:
+        spare = [len(sets[i]) - needed(len(sets[i]), percent) for i in items.tolist()]
+        sketches = [sets[i][: 2 * k + 1] for i, k in zip(items.tolist(), spare, strict=True)]
+        flat, owner = np.concatenate(sketches), np.repeat(np.arange(len(items)), [len(s) for s in sketches])
+        order = np.argsort(flat, kind="stable")
+        keys, first, times = np.unique(flat[order], return_index=True, return_counts=True)
+        least = np.array([len(s) - k for s, k in zip(sketches, spare, strict=True)])
+        return cls(items, least, keys[-1], keys, first, times, owner[order])
+
+    def candidates(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents (places in the batch) and items whose sketches share enough hashes."""
+        sketch = hashes <= self.limit
+        key = found_in(self.keys, hashes[sketch])
+        hit = key >= 0
+        docs, key = np.divmod(np.unique(owner[sketch][hit] * len(self.keys) + key[hit]), len(self.keys))
+        items = self.owner[ranges(self.first[key], self.times[key])]
+        pairs, shared = np.unique(np.repeat(docs, self.times[key]) * len(self.items) + items, return_counts=True)
+        docs, items = np.divmod(pairs, len(self.items))
+        enough = shared >= self.least[items]
+        return docs[enough], self.items[items[enough]]
+
+
+class Index:
+    """Items by their distinct shingle hashes, in partitions by size."""
+
     def __init__(self, texts: list[str], width: int, percent: int):
-        words = words_of(pa.array(texts, pa.string()))
-        hashes, lengths = shingles(words, width)
+        self.words, self.width = words_of(pa.array(texts, pa.string())), width
+        hashes, lengths = shingles(self.words, width)
         self.sets = [np.unique(hashes[a:b]) for a, b in split_by(lengths)]
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
-        self.need = np.array([needed(len(s), percent) for s in self.sets], np.int64)
-        owner = np.repeat(np.arange(len(self.sets)), self.sizes)
-        flat = np.concatenate([*self.sets, np.zeros(0, np.uint64)])
-        order = np.argsort(flat, kind="stable")
-        self.all, first, self.times = np.unique(flat[order], return_index=True, return_counts=True)
-        self.first, self.owner = first, owner[order]
-        self.sketch = np.unique(np.concatenate([*(s[: len(s) - n + 1] for s, n in zip(self.sets, self.need, strict=True) if len(s)), np.zeros(0, np.uint64)]))
-        self.exact = [exact_shingles(words, k, width) for k in range(len(texts))]
+        self.need = np.array([needed(n, percent) for n in self.sizes.tolist()], np.int64)
+        classes = np.frexp(self.sizes)[1]
+        self.partitions = [Partition.of(np.flatnonzero(classes == c), self.sets, percent) for c in np.unique(classes[self.sizes > 0]).tolist()]
+        self.held: dict[int, set[bytes]] = {}
+
+    def exact(self, item: int) -> set[bytes]:
+        if item not in self.held:
+            self.held[item] = exact_shingles(self.words, item, self.width)
+        return self.held[item]
 
 
 def exact_shingles(words: Words, k: int, width: int) -> set[bytes]:
-    a = int(words.counts[:k].sum())
-    own = words.take(np.arange(a, a + int(words.counts[k])))
+    own = words.of(k)
     return {b" ".join(own[i : i + width]) for i in range(len(own) - width + 1)}
 
 
@@ -58,26 +96,27 @@ def _search(model, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
         if "ready" not in held:
-            held["ready"] = Sketches(held["texts"], width, percent)
-        items, sketches = held["items"], held["ready"]
+            held["ready"] = Index(held["texts"], width, percent)
+        items, index = held["items"], held["ready"]
         for batch in small_batches(batches, "_text"):
             words = words_of(batch.column("_text"))
             hashes, lengths = shingles(words, width)
-            probed = found_in(sketches.sketch, hashes) >= 0
+            ends = np.cumsum(lengths)
             owner = np.repeat(np.arange(len(lengths)), lengths)
+            found: dict[int, list[int]] = {}
+            for p in index.partitions:
+                for k, i in zip(*(x.tolist() for x in p.candidates(hashes, owner)), strict=True):
+                    found.setdefault(k, []).append(i)
             docs, which, shared = [], [], []
-            for k in np.unique(owner[probed]).tolist():
-                a = int(lengths[:k].sum())
-                hit = found_in(sketches.all, np.unique(hashes[a : a + lengths[k]]))
-                hit = hit[hit >= 0]
-                n = np.bincount(sketches.owner[ranges(sketches.first[hit], sketches.times[hit])], minlength=len(items))
-                likely = np.flatnonzero((n >= sketches.need) & (n > 0)).tolist()
+            for k, likely in sorted(found.items()):
+                all_ = np.unique(hashes[ends[k] - lengths[k] : ends[k]])
+                likely = [i for i in likely if (found_in(all_, index.sets[i]) >= 0).sum() >= index.need[i]]
                 own = exact_shingles(words, k, width) if likely else set()
                 for i in likely:
-                    if (same := len(own & sketches.exact[i])) >= sketches.need[i]:
+                    if (same := len(own & index.exact(i))) >= index.need[i]:
                         docs.append(k), which.append(i), shared.append(same)
             if docs:
-                sizes = sketches.sizes[which]
+                sizes = index.sizes[which]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "_id": batch.column("_id").take(pa.array(docs)),
@@ -97,10 +136,11 @@ def contained_items(
     """One row per (document, item) where the document holds `percent` of the item's distinct shingles:
     id, item_id, n_shingles (of the item), n_shared, containment.
 
-    Sketches are of the items, by size, and meet every shingle of every whole document: a document
-    thousands of words long would lose a short item's hashes in a sketch of its own, so this side is
-    not sketched and no item is missed. Documents with a sketch hash are compared with the items by
-    all hashes, and what passes by the shingles' words. Documents are scanned once for each block of
+    Items are partitioned by size, and both sides have MinHash sketches for each partition: of an item its
+    smallest hashes, of a document all its hashes up to the partition's limit (a sketch of a fixed size
+    would lose a short item in a document thousands of words long). Sketches must share as many hashes as
+    an item that is contained can't but share, so none is missed; what does is verified by all hashes, then
+    by the shingles' words. Documents are scanned once for each block of
     `block_chars` characters of items (at least one item), which bounds what is broadcast however
     large the benchmark; nothing is shuffled, so copies and hot sources cost what other rows cost.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +48,19 @@ class Words:
     ends: np.ndarray
     lowered: np.ndarray
 
-    def take(self, at: np.ndarray) -> list[bytes]:
-        data = self.lowered.tobytes()
-        return [data[a:b] for a, b in zip(self.begins[at].tolist(), self.ends[at].tolist(), strict=True)]
+    @cached_property
+    def first(self) -> np.ndarray:
+        """The place of each text's first word."""
+        return np.cumsum(self.counts) - self.counts
+
+    def of(self, k: int) -> list[bytes]:
+        """The words of one text."""
+        own = slice(self.first[k], self.first[k] + self.counts[k])
+        begins, ends = self.begins[own], self.ends[own]
+        if not len(begins):
+            return []
+        data = self.lowered[begins[0] : ends[-1]].tobytes()
+        return [data[a:b] for a, b in zip((begins - begins[0]).tolist(), (ends - begins[0]).tolist(), strict=True)]
 
 
 def words_of(texts: pa.Array) -> Words:
