@@ -150,7 +150,8 @@ def _zeros_in_numbers(lines: Column) -> Column:
     return run(lines)
 
 
-#: Words whose capital i is a misreading inside a sentence.
+#: Fixed values of the repairs: words whose capital i is a misreading inside a sentence, characters that are
+#: misread zeros, and what stands for a bar, a struck-out zero beside a hyphen, a doubled capital and a quoted Yes.
 MISREAD = ["Is", "It", "It's", "Its", "In", "If", "Into"]
 
 

@@ -126,8 +126,12 @@ def _transcript(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("ep", number.cast("long").alias("ord"), named.alias("line"))
 
 
+#: Numbered lines are headings.
+HEADINGS = r"^[0-9]+\.\s"
+
+
 def spoken(spark: SparkSession, d: str) -> DataFrame:
-    return transcript.spoken_lines(_transcript(spark, d))
+    return transcript.spoken_lines(_transcript(spark, d), HEADINGS)
 
 
 def caption_words(spark: SparkSession, d: str) -> DataFrame:
@@ -137,8 +141,9 @@ def caption_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def word_keys(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("w")).select(tx.word_key(F.col("w")).alias("word"))
-    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    words = table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("k"))
+    keys = words.select(tx.word_key(F.col("w")).alias("word"), "k").where("word <> ''")  # each word is looked up once
+    return keys.groupBy("word").agg(F.sum("k").alias("n"))
 
 
 def chunked(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +228,28 @@ _LINES = EV + """, lines AS (SELECT ep, row_number() OVER (PARTITION BY ep ORDER
 _MS = "CAST(round_even(start / 40 * 1000.0, 0) AS BIGINT)"
 _S = "CAST(floor(start / 40) AS BIGINT)"
 
+_PACK = lambda parts, rule: f"list_reduce({parts}, lambda a, x: a || CASE WHEN {rule} THEN ' ' ELSE chr(10) END || x)"
+_LAST = "split_part(a, chr(10), -1)"
+
 SQL = {
+    "f6_chunks": f"""
+        WITH c AS (SELECT conv_id AS ep, turn AS ord, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations),
+        s AS (SELECT ep, ord, string_split(regexp_replace(t, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM c),
+        w AS (SELECT ep, ord, list_transform(ss, lambda s: {{'s': s, 'cl': string_split(regexp_replace(s, '([,;]) ', '\\1' || chr(1), 'g'), chr(1)),
+                     'w': string_split({_PACK("string_split(s, ' ')", f"length({_LAST}) + length(x) < 48")}, chr(10))}}) AS ws FROM s),
+        p AS (SELECT ep, ord, flatten(list_transform(ws, lambda v: CASE WHEN length(v.s) <= 80 THEN [v.s] WHEN len(list_filter(v.cl, lambda y: length(y) > 80)) = 0 THEN v.cl ELSE v.w END)) AS parts FROM w),
+        r AS (SELECT ep, ord, list_filter(string_split({_PACK("parts", f"length({_LAST}) + length(x) < 80 AND NOT regexp_matches({_LAST}, '[?!]$')")}, chr(10)), lambda y: y <> '') AS pieces FROM p)
+        SELECT ep, ord, CAST(unnest(range(len(pieces))) AS INT) AS piece, unnest(pieces) AS text FROM r""",
+    "w7_spoken_lines": r"""
+        WITH s AS (SELECT conv_id AS ep, turn, role, string_split(text, chr(10)) AS ls FROM conversations),
+        u AS (SELECT ep, turn, role, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM s),
+        t AS (SELECT ep, turn * 1000 + pos AS ord, CASE WHEN pos = 0 THEN upper(role) || ': ' ELSE '' END || CASE (turn * 1000 + pos + ep) % 9 WHEN 7 THEN '(' || line WHEN 2 THEN line || ' sighs)' ELSE line END AS line FROM u),
+        m AS (SELECT ep, ord, trim(line) AS line, CASE WHEN starts_with(trim(line), '(') AND NOT contains(line, ')') THEN 1 WHEN contains(line, ')') THEN 0 END AS event FROM t),
+        i AS (SELECT *, coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY ep ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM m),
+        k AS (SELECT ep, ord, trim(regexp_replace(line, '\([^)]*\)\.?', '', 'g')) AS bare FROM i WHERE inside = 0 AND line <> '' AND coalesce(event, 0) <> 1 AND NOT regexp_matches(line, '^[0-9]+\.\s')),
+        n AS (SELECT ep, ord, bare, nullif(regexp_extract(bare, '^((?:[0-9]+(?:st|nd|rd|th) )?[A-Z][A-Z0-9 '']*):\s*(.*)$', 1), '') AS name, regexp_extract(bare, '^((?:[0-9]+(?:st|nd|rd|th) )?[A-Z][A-Z0-9 '']*):\s*(.*)$', 2) AS rest FROM k),
+        o AS (SELECT ep, ord, last_value(name IGNORE NULLS) OVER (PARTITION BY ep ORDER BY ord) AS speaker, trim(regexp_replace(CASE WHEN name IS NULL THEN bare ELSE rest END, '\s+', ' ', 'g')) AS text FROM n)
+        SELECT ep, ord, speaker, text FROM o WHERE text <> '' AND speaker IS NOT NULL""".replace("\\\\", "\\"),
     "j1_visible_text": EV + """
         , spans AS (SELECT DISTINCT ep, start, "end", (start + "end") / 2 AS mid FROM ev),
         hits AS (SELECT s.ep, s.start, s."end", e.text, min(e.ord) AS first

@@ -68,16 +68,20 @@ def test_tidy_runs(spark):
     assert [tuple(x) for x in df.select(tx.tidy_runs(F.col("r"))).first()[0]] == [("a b", "W"), (" c", "Y")]
 
 
-def test_chunks():
-    assert transcript.chunks("One. Two? Three.") == ["One. Two?", "Three."]
-    long = "word " * 40
-    assert all(len(c) <= 80 for c in transcript.chunks(long)) and " ".join(transcript.chunks(long)).split() == long.split()
+def test_chunks(spark):
+    long, clauses = "word " * 40, "one clause that is some thirty, " * 4
+    df = spark.createDataFrame([("One. Two? Three.",), (long,), (clauses,), ("",), (None,), ("x" * 100 + " y",)], "t string")
+    got = [r["p"] for r in df.select("t", transcript.chunks(F.col("t")).alias("p")).collect()]
+    assert got[0] == ["One. Two?", "Three."]
+    assert [len(x) for x in got[1]] == [44, 44, 44, 64] and " ".join(got[1]).split() == long.split()
+    assert got[2] == ["one clause that is some thirty, one clause that is some thirty,"] * 2
+    assert got[3:] == [[], None, ["x" * 100, "y"]]
 
 
 def test_spoken_lines(spark):
     text = ["(He", "walks in)", "ANN: Hello (waves) there.", "", "still Ann", "(door) BOB: Hi", "2. Scene", "C"]
     df = spark.createDataFrame([("e", i, t) for i, t in enumerate(text)], "ep string, ord long, line string")
-    assert [(r["speaker"], r["text"]) for r in transcript.spoken_lines(df).orderBy("ord").collect()] == [("ANN", "Hello there."), ("ANN", "still Ann"), ("BOB", "Hi"), ("BOB", "C")]
+    assert [(r["speaker"], r["text"]) for r in transcript.spoken_lines(df, r"^[0-9]+\.\s").orderBy("ord").collect()] == [("ANN", "Hello there."), ("ANN", "still Ann"), ("BOB", "Hi"), ("BOB", "C")]
 
 
 def test_filled_gaps_equal_a_loop(spark):
