@@ -131,7 +131,7 @@ class Join:
     document, the size of its set, its place in the order, and the largest set that can still link with
     this one if this is the first shingle they share."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, hot_docs: int, filter_bits: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, hot_docs: int, filter_bits: int | None):
         self.rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         self.kind = dict(self.rows.dtypes)["_id"]
         self.width, self.percent, self.hot_docs, self.bits = width, percent, hot_docs, filter_bits
@@ -147,6 +147,9 @@ class Join:
         whose place is too far back for even the smallest set that has the token. Prefixes with a shingle of
         the hot filter give way to those of `moved`."""
         sources = [(prefixes, hot)] + ([(moved, None)] if moved is not None else [])
+        if not self.bits:
+            total = prefixes.agg(F.coalesce(F.sum(F.size("prefix").cast("long")), F.lit(0))).first()[0]
+            self.bits = 1 << min(28, max(22, (16 * total).bit_length()))
         filters = [rows.mapInArrow(_fill_with(self.bits, but), BLOOM_SCHEMA) for rows, but in sources]
         bloom = self.spark.sparkContext.broadcast(merged_filter(reduce(DataFrame.unionByName, filters), self.bits))
         found = [rows.mapInArrow(_tokens(bloom, self.bits, but), f"pos int, token long, _id {self.kind}, n long") for rows, but in sources]
@@ -154,7 +157,7 @@ class Join:
         counts = likely.groupBy("token").agg(F.count("*").alias("df"), F.min("n").alias("least")).where("df > 1")
         hi = F.expr(f"(n - pos) * {100 + self.percent} div {self.percent} - n")
         kept = likely.join(written(counts, "jaccard-counts"), "token").withColumn("hi", hi).where("hi >= least")
-        return written(kept.select("token", "_id", "n", "pos", "hi", "df"), "jaccard-tokens")
+        return written(kept.select("token", "_id", "n", "pos", "hi", "df", "least"), "jaccard-tokens")
 
     def postings(self, sets: DataFrame, reps: DataFrame) -> DataFrame:
         """Prefix shingles that several classes share, under an order in which common shingles come last.
@@ -167,9 +170,9 @@ class Join:
         current = sets.join(reps.select("_id"), "_id").select("_id", "n", "prefix")
         current = written(current, "jaccard-prefixes")
         tokens = self.repeated(current)
-        some = [f("_id", F.xxhash64("_id", F.lit(k))) for k in (0, 1) for f in (F.min_by, F.max_by)]
         often = tokens.where(F.col("df") > self.hot_docs).groupBy("token")
-        picked = often.agg(F.array(F.min_by("_id", F.struct("n", "_id")), *some).alias("ids"))
+        some = [F.min_by("_id", F.struct(F.col("n") > 3 * F.col("least"), F.xxhash64("_id", F.lit(k)))) for k in range(5)]  # no very long ones
+        picked = often.agg(F.array(*some).alias("ids"))
         picked = written(picked.select(F.explode("ids").alias("_id")).distinct(), "jaccard-picked")
         if picked.isEmpty():
             return tokens
@@ -183,7 +186,8 @@ class Join:
 
     def beside(self, pairs: DataFrame, parts: DataFrame, wanted: Column) -> DataFrame:
         """Pairs (a, b, ...) with the parts of both sets, a row for each of the wanted fragments of the order."""
-        parts = parts.where(wanted)
+        key = F.xxhash64("_id")
+        parts = marked(parts.where(wanted), key, bitmap_of(self.ids(pairs), key, HOT_BITS), HOT_BITS).where("_marked").drop("_marked")
         return pairs.join(parts.toDF("b", "fragment", "part_b"), "b").join(parts.toDF("a", "fragment", "part_a"), ["a", "fragment"])
 
     def links(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -276,10 +280,11 @@ class Join:
         return written(rows.join(written(counts.select("token"), "jaccard-several"), "token"), "jaccard-left")
 
     def parts(self, pairs: DataFrame) -> DataFrame:
-        """Fragments of the sets that pairs (a, b) need."""
-        ids = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
-        found = self.of(ids).mapInArrow(_fragments(self.width), f"_id {self.kind}, fragment int, part array<long>")
-        return written(found.join(written(ids, "jaccard-needed"), "_id", "left_semi"), "jaccard-parts")
+        """Fragments of the sets that pairs (a, b) need, and of few others."""
+        return written(self.of(self.ids(pairs)).mapInArrow(_fragments(self.width), f"_id {self.kind}, fragment int, part array<long>"), "jaccard-parts")
+
+    def ids(self, pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         sets = written(self.rows.mapInArrow(_prefixes(self.width, self.percent, None), f"_id {self.kind}, n long, sig binary, prefix array<long>"), "jaccard-sets")
@@ -307,7 +312,7 @@ class Join:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hot_docs: int = 16, filter_bits: int = 1 << 26
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, hot_docs: int = 16, filter_bits: int | None = None
 ) -> DataFrame:
     """One row per input row: id, n_shingles, class_id, component_id.
 
@@ -326,7 +331,7 @@ def near_duplicates(
     most of these; what is left then is compared. No pair that could link two components is left out.
 
     Only prefix shingles are shuffled, and of those only ones that a filter of `filter_bits` bits says
-    occur twice; texts are never shuffled. Shingles are told apart by 64-bit hashes, sets by 128-bit
+    occur twice (by default some 16 for each, 2 ** 28 at most, which is what is broadcast); texts are never shuffled. Shingles are told apart by 64-bit hashes, sets by 128-bit
     ones. Null or empty texts, and those without words, have no shingle, class and component themselves.
     Rows that repeat an id and a text are in one class; ids should be unique otherwise. Rows with a null
     id get their class's ids, null if it has none. An empty table gives no rows.
