@@ -77,8 +77,7 @@ def browse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def to_do(spark: SparkSession, d: str) -> DataFrame:
-    """Shots without a finished step."""
-    return _shots(spark, d).join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").select("path")
+    return shots.not_yet(_shots(spark, d), table(spark, d, "labels"), "doc_id").select("path")
 
 
 def run_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -191,10 +190,8 @@ def tagged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def titles_absent(spark: SparkSession, d: str) -> DataFrame:
-    """Titles of a list that no shot has."""
-    listed = table(spark, d, "part").select(F.col("p_name").alias("title")).distinct()
-    used = table(spark, d, "part").where(F.col("p_size") > 5).select(F.col("p_name").alias("title"))
-    return listed.join(used, "title", "left_anti")
+    p = table(spark, d, "part").select(F.concat_ws(" ", "p_name", (F.col("p_partkey") % 50).cast("string")).alias("title"), "p_partkey")
+    return shots.titles_absent(p, p.where(F.col("p_partkey") % 4 > 0))
 
 
 def unused_images(spark: SparkSession, d: str) -> DataFrame:
@@ -271,7 +268,8 @@ def dialogue(spark: SparkSession, d: str) -> DataFrame:
 
 def numbered(spark: SparkSession, d: str) -> DataFrame:
     o = _orders(spark, d)
-    return catalogue.numbered(o, "dir", ["path", "start", "price"], F.col("path") % 4 != 0).select("dir", "path", "number")
+    o = o.withColumn("part", F.when(F.col("path") % 4 != 0, "1").otherwise("1-2"))
+    return catalogue.numbered(o, ["dir"], "title", "part", ["path", "start", "price"]).where("part = '1'").select("dir", "path", F.col("first").alias("number"))
 
 
 def numbered_on(spark: SparkSession, d: str) -> DataFrame:
@@ -377,7 +375,7 @@ SQL = {
     "t1_next_to_post": ORDERS + "SELECT path, post_count FROM o WHERE NOT skip ORDER BY post_count, md5('11|' || path), path LIMIT 50",
     "a2_posting_stats": ORDERS + "SELECT count(*) AS shots, count(*) FILTER (post_count > 0) AS posted, min(post_count) FILTER (NOT skip) AS least_posted, count(*) FILTER (skip) AS skipped, max(last_posted) AS latest FROM o",
     "m3_tagged": ORDERS + "SELECT path, title, CASE WHEN title LIKE '5%' THEN NULL WHEN title[1] <= '2' THEN 'urgent' ELSE 'later' END AS tag FROM o",
-    "j14_titles_absent": "SELECT DISTINCT p_name AS title FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size > 5)",
+    "j14_titles_absent": "WITH t AS (SELECT p_name || ' ' || p_partkey % 50 AS title, p_partkey AS k FROM part) SELECT DISTINCT title FROM t WHERE title NOT IN (SELECT title FROM t WHERE k % 4 > 0)",
     "j10_unused_images": SHOTS + "SELECT dir, count(*) AS images, CAST(7 * count(*) AS BIGINT) AS bytes FROM shots WHERE doc_id % 5 <> 0 GROUP BY dir",
     "p13_post_text": "SELECT conv_id, turn, trim(role || ' said (' || turn || '):' || chr(10) || text, ' ' || chr(9) || chr(10) || chr(13)) AS post FROM conversations",
     "p14_folder_names": """SELECT page_id, lpad(CAST(page_id % 100 AS VARCHAR), 2, '0') || ' - ' || regexp_replace(url, '[/\\\\:*?"<>|]', '-', 'g') AS folder FROM pages""",

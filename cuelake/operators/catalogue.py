@@ -67,10 +67,52 @@ def dialogue_track(subs: Column) -> Column:
     return F.try_element_at(F.filter(subs, lambda s: ~F.contains(F.lower(F.coalesce(s["title"], F.lit(""))), F.lit("info"))), F.lit(1))["idx"]
 
 
-def numbered(rows: DataFrame, group: str, order: list[str], single: Column) -> DataFrame:
-    """Numbers within a group in order, counting rows of a single part only."""
-    number = F.row_number().over(W.partitionBy(group).orderBy(*order)).cast("long")
-    return rows.where(single).withColumn("number", number)
+def numbered(rows: DataFrame, season: list[str], serial: str, part: str, order: list[str]) -> DataFrame:
+    """Rows with `first` and `last`, their numbers within the season in order, where only rows of a single part count.
+
+    A row whose part is a range (`lo-hi`) has the numbers of its end parts of the same serial; of parts that
+    stand twice, the later row's. Null where an end part isn't there, or part is neither a number nor a range.
+    """
+    single = F.col(part).rlike("^[0-9]+$")
+    number = F.sum(single.cast("int")).over(W.partitionBy(*season).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)).cast("long")
+    counted = rows.withColumn("_n", F.when(single, number))
+    ends = [F.regexp_extract(part, r"^([0-9]+)-([0-9]+)$", k).try_cast("int") for k in (1, 2)]
+    ranges = counted.where(~single).withColumns({"_lo": ends[0], "_hi": ends[1]})
+    known = counted.where(single).groupBy(*season, serial, F.col(part).cast("int").alias("_p")).agg(F.max("_n").alias("_e"))
+    lo, hi = (known.withColumnsRenamed({"_p": f"_{k}", "_e": name}) for k, name in (("lo", "first"), ("hi", "last")))
+    of_ranges = ranges.join(lo, [*season, serial, "_lo"], "left").join(hi, [*season, serial, "_hi"], "left")
+    columns = [*rows.columns, "first", "last"]
+    return counted.where(single).withColumns({"first": F.col("_n"), "last": F.col("_n")}).select(*columns).unionByName(of_ranges.select(*columns))
+
+
+def with_ordinals(episodes: DataFrame, season: str, order: list[str], regular: Column) -> DataFrame:
+    """The ordinal of regular episodes within their season; null for specials, which don't count."""
+    count = F.sum(regular.cast("int")).over(W.partitionBy(season).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return episodes.withColumn("ordinal", F.when(regular, count).cast("long"))
+
+
+def gated(frames: DataFrame, failed: Column, share: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Episodes (ep, frames, failed) that are kept, and those of which more than a `share`-th of the frames, rounded down, failed."""
+    counts = frames.groupBy("ep").agg(F.count("*").alias("frames"), F.count_if(failed).alias("failed"))
+    bad = F.col("failed") > F.floor(F.col("frames") / share)
+    return counts.where(~bad), counts.where(bad)
+
+
+def seq_ratio(a: Column, b: Column) -> Column:
+    """V1: how alike two arrays are, 2 x matches of all elements; 1 for two empty ones, null for a null."""
+
+    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, list(x), list(y), autojunk=False).ratio() for x, y in zip(xs, ys, strict=True)], dtype="float64")
+
+    return F.pandas_udf(run, "double")(a, b)
+
+
+def multi_part_row(rows: DataFrame, files: DataFrame, serial: str, part: str) -> DataFrame:
+    """The rows and one more for a file of several parts (part as `1-7`), if files (serial, label, tracks) have one of the serial: its best by rank."""
+    best = files.where(F.col("serial") == serial).groupBy("serial").agg(F.min_by(F.struct("label", "tracks"), "rank").alias("f"))
+    has = F.when(F.size("f.tracks") > 0, "yes").otherwise("no")
+    more = best.select("serial", F.lit(part).alias("part"), F.col("f.label").alias("version"), has.alias("has_subs"), F.array_join("f.tracks", "; ").alias("subtitle_tracks"))
+    return rows.withColumn("part", F.col("part").cast("string")).unionByName(more, allowMissingColumns=True)
 
 
 def numbered_on(rows: DataFrame, group: list[str], order: str) -> DataFrame:
@@ -110,11 +152,8 @@ def fuzzy_matched(folders: DataFrame, serials: DataFrame, least: float = 0.6) ->
 
     folders: season, folder, words; serials: season, serial, words (arrays of words)."""
 
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, list(x), list(y), autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
     pairs = folders.select("season", "folder", "words").distinct().join(serials.select("season", "serial", F.col("words").alias("_w")).distinct(), "season")
-    scored = pairs.withColumn("ratio", F.pandas_udf(ratio, "double")("words", "_w"))
+    scored = pairs.withColumn("ratio", seq_ratio(F.col("words"), F.col("_w")))
     k = F.row_number().over(W.partitionBy("season", "folder").orderBy(F.desc("ratio"), "serial"))
     return scored.withColumn("_k", k).where((F.col("_k") == 1) & (F.col("ratio") >= least)).select("season", "folder", "serial", "ratio")
 
@@ -188,7 +227,7 @@ def catalogue_rows(episodes: DataFrame, files: DataFrame, notes: DataFrame) -> D
     gathered = files.groupBy("episode").agg(rows.alias("_f"))
     own = notes.where("part IS NOT NULL").select("serial", "part", F.col("note").alias("_own"))
     general = notes.where("part IS NULL").select("serial", F.col("note").alias("_general"))
-    j = episodes.join(gathered, "episode", "left").join(F.broadcast(own), ["serial", "part"], "left").join(F.broadcast(general), "serial", "left")
+    j = episodes.join(gathered, "episode", "left").join(own, ["serial", "part"], "left").join(general, "serial", "left")
     best = F.get("_f", F.lit(0))
     has = F.when(F.col("_f").isNull(), "").when(F.size(best["tracks"]) > 0, "yes").otherwise("no")
     others = F.array_join(F.transform(F.filter("_f", lambda f: f["rank"] > best["rank"]), lambda f: f["label"]), "; ")

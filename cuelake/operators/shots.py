@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -117,3 +119,117 @@ def cards(shots: DataFrame, faces: DataFrame, tags: DataFrame, key: str = "path"
     f = faces.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("face", "person"))).alias("faces"))
     t = tags.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "prob")))).alias("tags"))
     return shots.join(f, key, "left").join(t, key, "left")
+
+
+def carried_counts(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    """Rows (path, post_count, last_posted, ...) with the larger of their own and the carried history."""
+    more = carried.select("path", F.col("post_count").alias("_c"), F.col("last_posted").alias("_l"))
+    j = rows.join(more, "path", "left")
+    return j.withColumns({"post_count": F.greatest(F.coalesce("post_count", F.lit(0)), F.coalesce("_c", F.lit(0))), "last_posted": F.greatest("last_posted", "_l")}).drop("_c", "_l")
+
+
+def loaded(stored: DataFrame, manifest: DataFrame, listing: DataFrame, rows: DataFrame, described: list[str], within: float = 0.05, full: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M2: the shots, the manifest, and counters after the folders that are new or changed have been loaded.
+
+    stored: path, dir, start, `described`, post_count, last_posted; manifest and listing: dir, mtime, size;
+    rows: path, dir, start and `described` of all that is listed. Rows of changed folders are inserted or
+    described anew (M1), their shots that are listed no more go (U3), and what these had been posted passes to
+    shots at their place (J3). Counters (new_episodes, added, removed, total) are one row. Loading the same
+    listing again changes nothing.
+    """
+    todo = changed_dirs(listing, manifest, full)
+    fresh = rows.join(todo.select("dir"), "dir", "left_semi")
+    columns = ["dir", "start", *described]
+    kept = ["post_count", "last_posted"]
+    gone = retired(stored, fresh, todo)
+    merged = upserted(stored, fresh, "path", columns, kept).drop("change").join(gone.select("path"), "path", "left_anti")
+    shots = carried_counts(merged, carried_over(gone, fresh, within)).select("path", *columns, *kept)
+    new_manifest = manifest.join(todo.select("dir"), "dir", "left_anti").unionByName(todo.select(*manifest.columns))
+    before, removed, total = (x.agg(F.count("*").alias(n)) for x, n in ((stored, "before"), (gone, "removed"), (shots, "total")))
+    new_episodes = todo.select("dir").join(stored.select("dir").distinct(), "dir", "left_anti").agg(F.count("*").alias("new_episodes"))
+    counts = before.crossJoin(removed).crossJoin(total).crossJoin(new_episodes)  # one row each
+    return shots, new_manifest, counts.select("new_episodes", (F.col("total") - F.col("before") + F.col("removed")).alias("added"), "removed", "total")
+
+
+def browsed(
+    shots: DataFrame, faces: DataFrame, members: DataFrame, done: list[Column] | None = None, programme: str | None = None, n_faces: str | None = None, tag: str | None = None, person: str | None = None, cluster: int | None = None
+) -> DataFrame:
+    """Shots that meet all filters given: any of `done` holds; path below a programme; `none`, `any` or `some` (two
+    or more) faces; a tag; a person; a face cluster. faces: path, person, cluster; members: tag, path."""
+    out = shots
+    if done:
+        out = out.where(reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in done]))
+    if programme is not None:
+        out = out.where(F.startswith("path", F.lit(programme.rstrip("/") + "/")))
+    if n_faces == "none":
+        out = out.join(faces.select("path").distinct(), "path", "left_anti")
+    elif n_faces == "any":
+        out = out.join(faces.select("path").distinct(), "path", "left_semi")
+    elif n_faces == "some":
+        out = out.join(faces.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path", "left_semi")
+    wanted = [(members, "tag", tag), (faces, "person", person), (faces, "cluster", cluster)]
+    for rows, column, value in wanted:
+        if value is not None:
+            out = out.join(rows.where(F.col(column) == value).select("path").distinct(), "path", "left_semi")
+    return out
+
+
+#: The column and direction of each way of sorting.
+SORTS = {"sharp": ("sharpness", True), "blurry": ("sharpness", False), "bright": ("brightness", True), "dark": ("brightness", False), "face": ("face", True)}
+
+
+def sorted_shots(shots: DataFrame, way: str, seed: str = "0", scores: DataFrame | None = None) -> DataFrame:
+    """Shots by a way of SORTS (no value counts as 0), `shuffle` (seeded) or `search` (by scores (path, score), shots without one left out); ties by path."""
+    if way == "search":
+        return shots.join(scores.select("path", "score"), "path").orderBy(F.desc("score"), "path")
+    if way == "shuffle":
+        return shots.orderBy(seeded(seed, "path"), "path")
+    column, down = SORTS[way]
+    value = F.coalesce(F.col(column), F.lit(0))
+    return shots.orderBy(value.desc() if down else value.asc(), "path")
+
+
+def facet_counts(shots: DataFrame, people: DataFrame, members: DataFrame, faces: DataFrame) -> DataFrame:
+    """A4: rows (facet, value, n) of all that a browser can choose: programmes and people's and tags' shots, clusters' faces.
+
+    shots: programme; people: path, person; members: tag, path; faces: cluster. Each is counted in its own pass; nulls don't count."""
+    of = lambda rows, name, column: rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("facet"), "value", "n")
+    sources = [(shots, "programme", "programme"), (people.select("path", "person").distinct(), "person", "person"), (members, "tag", "tag"), (faces, "cluster", "cluster")]
+    return reduce(DataFrame.unionByName, [of(*x) for x in sources])
+
+
+def work_order(rows: DataFrame, way: str, limit: int | None = None, order: str = "ord", seed: str = "0") -> DataFrame:
+    """Rows (`order`, started, ...) as `given`, `reversed` or `shuffled` - then those already started first - and the first `limit`."""
+    by = {"given": [F.col(order)], "reversed": [F.col(order).desc()], "shuffled": [F.coalesce("started", F.lit(False)).desc(), seeded(seed, order), F.col(order)]}[way]
+    out = rows.orderBy(*by)
+    return out if limit is None else out.limit(limit)
+
+
+def not_yet(shots: DataFrame, finished: DataFrame, key: str = "path") -> DataFrame:
+    """Shots without a finished step."""
+    return shots.join(finished.select(key), key, "left_anti")
+
+
+def titles_absent(titles: DataFrame, shots: DataFrame) -> DataFrame:
+    """Titles of a list that no shot has."""
+    return titles.select("title").distinct().join(shots.select("title"), "title", "left_anti")
+
+
+def unused_report(listing: DataFrame, shots: DataFrame, current: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One row (images, bytes, episodes) of `unused_images`. Raises if a folder of `current` isn't in the manifest as it is, as its shots may be out of date."""
+    if not changed_dirs(current, manifest).isEmpty():
+        raise ValueError("folders have changed since they were loaded")
+    found = unused_images(listing, shots)
+    return found.agg(F.coalesce(F.sum("images"), F.lit(0)).alias("images"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("episodes"))
+
+
+def detailed_stats(shots: DataFrame) -> DataFrame:
+    """A2: rows (tag, null for all) with shots, posted, the fewest posts of those not skipped, how many are drawn (segments), pasted
+    (overlay) or burned in (neither), skipped, and the latest posting's path."""
+    live = F.when(~F.col("skip"), F.col("post_count"))
+    drawn = F.col("segments").isNotNull()
+    pasted = ~drawn & F.col("overlay").isNotNull()
+    return shots.rollup("tag").agg(
+        F.grouping_id().cast("int").alias("level"), F.count("*").alias("shots"), F.count_if(F.col("post_count") > 0).alias("posted"), F.min(live).alias("least_posted"), F.count_if(drawn).alias("drawn"),
+        F.count_if(pasted).alias("pasted"), F.count_if(~drawn & ~pasted).alias("burned_in"), F.count_if("skip").alias("skipped"), F.max_by("path", F.struct("last_posted", "path")).alias("latest"),
+    )

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: White space at the ends of a value is part of it.
+EXACT = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
 #: Columns of subtitle CSV files; each file has the first four and some of the others.
 CSV_COLUMNS = {"shot": "string", "start": "double", "end": "double", "text": "string", "sub_image": "string", "sub_pos": "string", "segments": "string", "placement": "string"}
 
@@ -26,33 +28,90 @@ def srt_blocks(cues: DataFrame) -> DataFrame:
 
 
 def read_srt(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """S3: blocks of SRT files: path, number, start, end, text."""
-    raw = spark.read.option("lineSep", "\n\n").text(paths).select(F.col("_metadata.file_path").alias("path"), F.btrim("value", F.lit("\n")).alias("b"))
+    """S3: blocks of SRT files: path, number, start, end, text. Line ends of any kind; blocks stand one or more empty lines apart."""
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("v"))
+    raw = files.select("path", F.explode(F.split("v", r"\n[ \t]*\n\s*(?=[0-9]+[ \t]*\n)")).alias("b")).withColumn("b", F.btrim("b", F.lit("\ufeff \n")))
     clock = r"([0-9]+):([0-9]+):([0-9]+),([0-9]+)"
-    seconds = lambda g: sum(F.regexp_extract("b", rf"^\s*[0-9]+\n{clock} --> {clock}", g + i).try_cast("double") * w for i, w in enumerate((3600.0, 60.0, 1.0, 0.001)))
-    rows = raw.select("path", F.regexp_extract("b", r"^\s*([0-9]+)\n", 1).try_cast("int").alias("number"), seconds(1).alias("start"), seconds(5).alias("end"), F.regexp_extract("b", r"(?s)-->[^\n]*\n(.*)$", 1).alias("text"))
+    seconds = lambda g: sum(F.regexp_extract("b", rf"^[0-9]+[ \t]*\n{clock} --> {clock}", g + i).try_cast("double") * w for i, w in enumerate((3600.0, 60.0, 1.0, 0.001)))
+    rows = raw.select("path", F.regexp_extract("b", r"^([0-9]+)", 1).try_cast("int").alias("number"), seconds(1).alias("start"), seconds(5).alias("end"), F.regexp_extract("b", r"(?s)-->[^\n]*\n(.*)$", 1).alias("text"))
     return rows.where("start IS NOT NULL")
 
 
+def write_srt(cues: DataFrame, path: str) -> None:
+    """S3: SRT files, a folder `ep=...` for each episode, whose blocks stay together and in order."""
+    blocks = srt_blocks(cues).repartition("ep").sortWithinPartitions("ep", "number")
+    blocks.select("ep", "block").write.option("lineSep", "\n\n").partitionBy("ep").text(path)
+
+
 def read_subtitle_csv(spark: SparkSession, pattern: str) -> DataFrame:
     """All subtitle CSV files under a path with wildcards, whichever columns each has, rows with a shot only.
 
-    Spark gives CSV columns by place, so files are read in groups with the same header; there are a handful
-    of headers, however many files."""
-    headers = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"), "value").where("b = 0 AND value LIKE 'shot,%'")
-    kinds = [r["value"] for r in headers.select("value").distinct().collect()]
-    out = None
-    for header in kinds:
-        columns = header.strip().split(",")
-        schema = ", ".join(f"`{c}` {CSV_COLUMNS.get(c, 'string')}" for c in columns)
-        rows = spark.read.options(header=True, multiLine=True, escape='"', enforceSchema=True).schema(schema).csv(pattern).withColumn("path", F.col("_metadata.file_path"))
-        mine = rows.join(headers.where(F.col("value") == header).select("path").distinct(), "path", "left_semi").where("shot <> ''")
-        out = mine if out is None else out.unionByName(mine, allowMissingColumns=True)
-    return out if out is not None else spark.createDataFrame([], "path string, " + ", ".join(f"`{c}` {t}" for c, t in CSV_COLUMNS.items()))
+    A file's first line names its columns, so all columns are read as text, by place, and then put under
+    their names; columns that a file lacks are null."""
+    places = [f"_{i}" for i in range(len(CSV_COLUMNS))]
+    raw = spark.read.options(multiLine=True, **EXACT).schema(", ".join(f"{p} string" for p in places)).csv(pattern)
+    lines = raw.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), F.array(*places).alias("v"))
+    headers = lines.groupBy("path").agg(F.min("at").alias("first"), F.min_by("v", "at").alias("names"))
+    rows = lines.join(headers, "path").where("at > first")
+    value = lambda c: F.try_element_at("v", F.nullif(F.array_position("names", c), F.lit(0)).cast("int"))
+    return rows.select("path", *(value(c).try_cast(t).alias(c) for c, t in CSV_COLUMNS.items())).where("shot <> ''")
 
 
 def write_subtitle_csv(cues: DataFrame, path: str) -> None:
     """Shot, start and end to the millisecond, text, and segments and placement as JSON if they are there."""
     nested = [c for c in ("segments", "placement") if c in cues.columns]
     columns = ["shot", *(F.format_string("%.3f", F.col(c)).alias(c) for c in ("start", "end")), "text", *(F.to_json(c).alias(c) for c in nested)]
-    cues.select(*columns).write.options(header=True, escape='"', quoteAll=False).csv(path)
+    cues.select(*columns).write.options(header=True, **EXACT).csv(path)
+
+
+EPISODES = "array<struct<name:string,season:int,type:string,airdate:string>>"
+
+
+def catalogue_json(texts: DataFrame, text: str = "value") -> DataFrame:
+    """JSON lists of episodes, one a row, to a row for each: place in its list from 0 (ord), name, season, type, airdate.
+    Other columns stay; texts that aren't such lists have no rows."""
+    others = [c for c in texts.columns if c != text]
+    rows = texts.select(*others, F.posexplode(F.from_json(text, EPISODES)).alias("ord", "e"))
+    return rows.select(*others, "ord", "e.*")
+
+
+def read_catalogue_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Files that hold one list each."""
+    return catalogue_json(spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def write_catalogue_csv(rows: DataFrame, path: str) -> None:
+    """CSV has no nulls: they become empty text, and empty text in quotes stays apart from nothing in a column of its own (`_empty`)."""
+    empty = F.array_join(F.array_compact(F.array(*(F.when(F.col(c).cast("string") == "", F.lit(c)) for c in rows.columns))), " ")
+    rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns), empty.alias("_empty")).write.options(header=True, emptyValue="", **EXACT).csv(path)
+
+
+def read_catalogue_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of `write_catalogue_csv`, or of any CSV with these columns: empty is null, but for the columns named in `_empty`."""
+    names = spark.createDataFrame([], schema).schema
+    raw = spark.read.options(header=True, multiLine=True, enforceSchema=False, **EXACT).csv(path)
+    raw = raw if "_empty" in raw.columns else raw.withColumn("_empty", F.lit(""))
+    kept = F.split(F.coalesce("_empty", F.lit("")), " ")
+    value = lambda f: F.when(F.array_contains(kept, f.name), F.lit("")).otherwise(F.nullif(F.col(f.name), F.lit("")))
+    return raw.select(*(value(f).cast(f.dataType).alias(f.name) for f in names))
+
+
+STATE = "header struct<slices:array<struct<id:string,title:string>>>, results array<struct<episode:struct<id:string,title:string,subtitle:string>>>"
+
+
+def page_state(pages: DataFrame, pattern: str, html: str = "html") -> DataFrame:
+    """Pages with the JSON state that `pattern` (one group) finds in them as a struct `state`, null if there is none."""
+    return pages.withColumn("state", F.from_json(F.nullif(F.regexp_extract(html, pattern, 1), F.lit("")), f"struct<{', '.join(x.replace(' ', ':', 1) for x in STATE.split(', '))}>"))
+
+
+def page_slices(states: DataFrame, key: str, skip: list[str]) -> DataFrame:
+    """(key, slice, title) of the slices that aren't skipped; a page without any has one, null and without title."""
+    left = F.filter(F.coalesce("state.header.slices", F.array()), lambda x: ~x["title"].isin(skip))
+    alone = F.array(F.struct(F.lit(None).cast("string").alias("id"), F.lit("").alias("title")))
+    return states.where("state IS NOT NULL").select(key, F.explode(F.when(F.size(left) > 0, left).otherwise(alone)).alias("s")).select(key, F.col("s.id").alias("slice"), "s.title")
+
+
+def page_items(states: DataFrame, key: str) -> DataFrame:
+    """(key, ord, id, title, subtitle) of the items that are episodes, in the page's order."""
+    rows = states.select(key, F.posexplode("state.results").alias("ord", "r")).where("r.episode IS NOT NULL")
+    return rows.select(key, "ord", "r.episode.*")

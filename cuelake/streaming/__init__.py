@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.operators import shots
 from cuelake.staging import shared_dir
 
 
@@ -43,6 +44,32 @@ def sessions(events: DataFrame, gap: str, key: str, late: str = "1 day") -> Data
     return rows.groupBy(key, F.session_window("ts", gap)).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("first"), "n")
 
 
+def load_continuously(manifests: DataFrame, folder: str, rows_of, described: list[str], within: float = 0.05) -> None:
+    """ST1: a stream of manifest rows (dir, mtime, size) into the tables of shots below `folder`; runs over what there is now.
+
+    Each batch makes a new edition of shots and manifest from the edition before it (`shots.loaded`) and only
+    then names it the current one, so a batch that is run again does the same again, and readers never see
+    half an edition. `rows_of(batch)` gives the cues of a batch's folders. Of several rows of a folder in a
+    batch the latest counts. A manifest that was seen flows in again under a new file name only; it then
+    changes nothing. Edition -1 is what the folder begins with.
+    """
+
+    def load(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        listing = batch.groupBy("dir").agg(F.max_by(F.struct("mtime", "size"), "mtime").alias("x")).select("dir", "x.*")
+        stored, manifest = (spark.read.parquet(edition(folder, name, number - 1)) for name in ("shots", "manifest"))
+        parts = shots.loaded(stored, manifest, listing, rows_of(batch), described, within)
+        for part, name in zip(parts, ("shots", "manifest", "counts"), strict=True):
+            part.write.mode("overwrite").option("compression", "zstd").parquet(edition(folder, name, number))
+
+    writer = manifests.writeStream.foreachBatch(load).option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def edition(folder: str, name: str, number: int) -> str:
+    return f"{folder}/{name}/edition={number}"
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what its source holds now and return the complete result.
 
