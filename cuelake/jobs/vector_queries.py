@@ -63,7 +63,7 @@ def clear_faces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def faces_per_shot(spark: SparkSession, d: str) -> DataFrame:
-    shots = spark.range(0, 200).select(F.col("id").alias("path")).join(table(spark, d, "documents").select(F.col("doc_id").alias("path")), "path", "left_semi")
+    shots = table(spark, d, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("path")).distinct()
     return faces.per_shot(shots, _faces(spark, d)).select("path", "faces", F.round("largest", 6).alias("largest"))
 
 
@@ -120,7 +120,10 @@ def wrong_marks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grouped(spark: SparkSession, d: str) -> DataFrame:
-    return faces.grouped(_faces(spark, d).where(faces.clear()).select("id", "episode", "embedding"), within=3, across=3, least=5)
+    """Vectors with two groups planted in them, by the parity of their label."""
+    planted = F.transform("embedding", lambda x, i: x * 0.5 + F.when(i == F.col("label") % 2, 1.0).otherwise(0.0))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), planted.alias("embedding"))
+    return faces.grouped(_faces(spark, d).where(faces.clear()).select("id", "episode").join(e, "id"))
 
 
 def trained(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +163,9 @@ SQL = {
         SELECT vec_id, name, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, name) = 1 AND score >= 0.2""",
     "f13_vectors": f"SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, 1.0::DOUBLE AS unit, round(1 / (1 + exp(-list_dot_product(embedding::DOUBLE[], {_sql(QUERY)}))), 6) AS p FROM embeddings",
     "p15_clear_faces": FACES + "SELECT id FROM f WHERE score >= 0.6 AND h >= 0.03",
-    "a10_faces_per_shot": FACES + "SELECT d.doc_id AS path, count(f.id) FILTER (score >= 0.6 AND h >= 0.03) AS faces, round(coalesce(max(w * h) FILTER (score >= 0.6 AND h >= 0.03), 0), 6) AS largest FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id < 200) d LEFT JOIN f ON f.path = d.doc_id GROUP BY 1",
+    "v9_grouped": FACES + """, c AS (SELECT f.id, e.label % 2 AS g FROM f JOIN embeddings e ON e.vec_id = f.id WHERE score >= 0.6 AND h >= 0.03),
+        r AS (SELECT g, row_number() OVER (ORDER BY count(*) DESC, min(id)) AS cluster FROM c GROUP BY 1 HAVING count(*) >= 25) SELECT id, cluster FROM c JOIN r USING (g)""",
+    "a10_faces_per_shot": FACES + "SELECT d.doc_id AS path, count(f.id) FILTER (score >= 0.6 AND h >= 0.03) AS faces, round(coalesce(max(w * h) FILTER (score >= 0.6 AND h >= 0.03), 0), 6) AS largest FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN f ON f.path = d.doc_id GROUP BY 1",
     "f12_face_boxes": FACES + """, b AS (SELECT id, id % 90 / 100 AS x, id % 70 / 100 AS y, w, h FROM f)
         SELECT id, CAST(least(greatest(round_even((x - w * 0.25::DOUBLE) * 640, 0), 0), 640) AS BIGINT) AS "left", CAST(least(greatest(round_even((y - h * 0.25::DOUBLE) * 480, 0), 0), 480) AS BIGINT) AS top,
                CAST(least(greatest(round_even((x + w + w * 0.25::DOUBLE) * 640, 0), 0), 640) AS BIGINT) AS "right", CAST(least(greatest(round_even((y + h + h * 0.25::DOUBLE) * 480, 0), 0), 480) AS BIGINT) AS bottom FROM b""",
