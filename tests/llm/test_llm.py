@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from cuelake.llm import queries as q
 from cuelake.llm.bpe import Bpe, bpe_encode
-from cuelake.llm.components import components
+from cuelake.operators.components import components
 from cuelake.llm.contexts import Automaton, counted, grams, levels_of, stream
 from cuelake.llm.decontaminate import contained_items
 from cuelake.llm.exact_dedup import exact_dedup
@@ -27,9 +27,9 @@ from cuelake.llm.jaccard_join import near_duplicates
 from cuelake.llm.language_id import identify, ppm, train
 from cuelake.llm.line_dedup import line_dedup
 from cuelake.llm.pii import sanitise
-from cuelake.llm.quality import isotonic, quality_score
+from cuelake.llm.quality import Kernel, features, isotonic, quality_score
 from cuelake.llm.rans import Table
-from cuelake.llm.suffix_tree import lm_score, smoothed
+from cuelake.llm.suffix_tree import learn_tree, lm_score, smoothed
 from cuelake.llm.token_output import PieceIds, read_tokens, token_folder, write_tokens
 from cuelake.llm.words import shingles, words_of
 
@@ -217,6 +217,155 @@ def test_language_id(spark, docs):
     assert {r["lang_pred"] for r in identify(docs, train(docs.limit(0))).collect()} == {"und"}
 
 
+def brute_levels(texts: list[bytes], depth: int, least: int) -> list[dict]:
+    """Next-byte counts of the contexts of each depth that occur `least` times."""
+    tables: list[dict] = [{} for _ in range(depth + 1)]
+    for text in texts:
+        whole = bytes([255]) + text.replace(b"\0", b"\xfe") + bytes([255])
+        for i in range(1, len(whole)):
+            for d in range(min(depth, i) + 1):
+                tables[d].setdefault(whole[i - d : i], Counter())[whole[i]] += 1
+    return [{c: n for c, n in table.items() if sum(n.values()) >= least} for table in tables]
+
+
+def as_tables(levels) -> list[dict]:
+    out = []
+    for d, (contexts, symbols, counts) in enumerate(levels):
+        table: dict = {}
+        for c, b, n in zip(contexts.tolist(), symbols.tolist(), counts.tolist(), strict=True):
+            table.setdefault(c.to_bytes(8, "big")[8 - d :], Counter())[b] += n
+        out.append(table)
+    return out
+
+
+def test_language_trees_and_choice_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(v) for _ in range(rng.randrange(0, 30))), lang) for i, (lang, v) in enumerate([("x", ["ab", "Ba", "b\0c"]), ("y", ["ba", "cc", "éa"]), (None, ["zz"])] * 20)]
+    rows += [(100, None, "x"), (101, "1 2", None), (102, "ab cc", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(df, depth=3, least=2)
+    assert list(model) == ["w", "x", "y"]
+    for lang, levels in model.items():
+        assert as_tables(levels) == brute_levels([t.lower().encode() for _, t, k in rows if k == lang and t is not None], 3, 2)
+    same = model | {"v": model["y"]}  # a tie goes to the first by name
+    trees = {k: Automaton(v, ppm) for k, v in same.items()}
+    for r in identify(df, dict(sorted(same.items()))).collect():
+        text = dict((i, t) for i, t, _ in rows)[r["doc_id"]]
+        bits = {k: -float(t.text_scores(*stream(pa.array([(text or "").lower()])))[0]) for k, t in trees.items()}
+        if re.search(r"[^\W\d_]", text or ""):
+            best = min(sorted(bits), key=bits.get)
+            assert r["lang_pred"] == best != "y" and r["code_bits"] == pytest.approx(bits[best])
+            assert r["score"] == pytest.approx(1 / sum(2.0 ** (bits[best] - b) for b in bits.values()))
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+
+
+def test_quality_equals_brute_force(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["good", "words", "here", "12", "BUY!!", "x" * 20]) for _ in range(rng.randrange(0, 60))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    marks = [(i, int("good" in texts[i].split()[:2])) for i in range(60)]
+    got = {r["doc_id"]: r["score"] for r in quality_score(df, spark.createDataFrame(marks, "doc_id long, quality int").withColumn("_f", F.lit("x")), size=8, ridge=1e-3).collect()}
+    x, y = features(pa.array(texts)).astype(np.float32).astype(np.float64), np.array([k for _, k in marks], float)
+    kernel = Kernel(x[:60].mean(axis=0), x[:60].std(axis=0), 8, 1.0, 7)
+    z = kernel(x)
+    w = np.linalg.solve(z[:60].T @ z[:60] + 1e-3 * 60 * np.eye(9), z[:60].T @ y)
+    raw = z @ w
+    bins = np.floor((np.clip(raw[:60], -0.5, 1.5) + 0.5) * 2048)
+    kinds = np.unique(bins)
+    means, n, p = (np.array([f(bins == k) for k in kinds]) for f in (lambda m: raw[:60][m].mean(), lambda m: m.sum(), lambda m: y[m].sum()))
+    a, b = isotonic(means, n.astype(float), p)
+    want = 0.999 * np.interp(raw, a, b) + 0.001 * np.clip((raw + 0.5) / 2, 0, 1)
+    assert [got[i] for i in range(80)] == pytest.approx(want.tolist(), abs=1e-5)
+
+
+def test_quality_of_labels_held_out(spark):
+    rows = {r["doc_id"]: r for r in q.op3_quality(spark, DATA).collect()}
+    held = [(rows[r["doc_id"]]["score"], r["quality"]) for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if r["doc_id"] in rows and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    good, bad = ([s for s, k in held if k == one] for one in (1, 0))
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.9
+
+
+def test_suffix_tree_equals_brute_force(spark):
+    rng = random.Random(10)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randrange(0, 80))) for _ in range(50)]
+    df = spark.createDataFrame([(t,) for t in texts], "_text string").repartition(3)
+    plain = [re.sub(" +", " ", t).strip().encode() for t in texts]
+    total = sum(len(t) + 1 for t in plain)
+    got = as_tables(learn_tree(df, 3, 0.004, 1.5))
+    tables = brute_levels(plain, 3, max(2, math.ceil(0.004 * total)))
+    want = [tables[0]]
+    for d in (1, 2, 3):
+        keep = {}
+        for c, n in tables[d].items():
+            above = tables[d - 1][c[1:]]
+            gain = sum(k * math.log((k / sum(n.values())) / (above[b] / sum(above.values()))) for b, k in n.items())
+            if gain >= 1.5:
+                keep[c] = n
+        want.append(keep)
+    assert got == want and all(want) and len(want[3]) < len(tables[3])
+
+
+def test_queries_of_the_edge_fixture(spark, tmp_path, docs):
+    """op5, op7, op8 and op9 as registered, on rows with nulls, ties and clashing columns."""
+    rows = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    texts, by_id = dict(rows_of(rows)), lambda df: {r["doc_id"]: r for r in df.collect()}
+    components_ = brute_components(list(texts.items()), 4, 85)
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in by_id(q.op5_jaccard_join(spark, str(tmp_path))).items()} == components_
+    pii = by_id(q.op8_pii(spark, str(tmp_path)))
+    assert {d: r["base_sha256"] for d, r in pii.items()} == {d: hashlib.sha256(base_spans(t).encode()).hexdigest() for d, t in texts.items()}
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = Bpe(f.read(), public_tokenizers.PATTERN).ranks
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = {d: np.array(encoding.encode_ordinary(t or ""), "<u4") for d, t in texts.items()}
+    bpe = {d: tuple(r)[1:] for d, r in by_id(q.op9_bpe(spark, str(tmp_path))).items()}
+    assert bpe == {d: (len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256((texts[d] or "").encode()).hexdigest()) for d, x in ids.items()}
+    scores, c = by_id(q.op7_lm_score(spark, str(tmp_path))), Counter()
+    learned = lambda d: zlib.crc32(str(d).encode()) % 5 != 1
+    for d, t in texts.items():
+        if learned(d):
+            c.update([*words(t), None])
+    for d, t in texts.items():
+        tokens = [*words(t), None]
+        base = sum(math.log10((c[w] + 0.5) / (sum(c.values()) + 0.5 * (len(c) + 1))) for w in tokens)
+        assert (scores[d]["held_out"], scores[d]["n_tokens"], scores[d]["n_known"], scores[d]["train_tokens"]) == (not learned(d), len(tokens), sum(c[w] > 0 for w in tokens), sum(c.values()))
+        assert scores[d]["base_score"] == pytest.approx(base) and scores[d]["score"] < 0
+
+
+def test_near_copies_meet_in_few_pairs(spark, monkeypatch):
+    """Pairs that are compared grow with a group of near copies, not with its square."""
+    from cuelake.llm.jaccard_join import Join
+
+    seen = []
+    links = Join.links
+    monkeypatch.setattr(Join, "links", lambda self, pairs, parts: (seen.append(pairs.count()), links(self, pairs, parts))[1])
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    rows = []
+    for i in range(400):
+        other = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            other[rng.randrange(120)] = rng.choice(vocabulary)
+        rows.append((i, " ".join(other)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, 85)
+    assert sum(seen) < 10 * len(rows)
+
+
+def test_bpe_of_very_long_pieces():
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        bpe = Bpe(f.read(), public_tokenizers.PATTERN)
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("abcdefghijklmnopqrstuvwxyz", 20_000), ("a", 5000), ("-=", 700), ("é漢", 400), (" ", 900), ("aeiouthnsr", 60))] * 2
+    ids, counts = bpe.encode(pa.array(texts))
+    ends = np.cumsum(counts)
+    for t, a, b in zip(texts, ends - counts, ends, strict=True):
+        assert ids[a:b].tolist() == encoding.encode_ordinary(t)
+
+
 def test_quality(spark, docs):
     rows = {r["doc_id"]: r for r in q.op3_quality(spark, DATA).collect()}
     labels = [(rows[r["doc_id"]]["score"], r["quality"]) for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if r["doc_id"] in rows]
