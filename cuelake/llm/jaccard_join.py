@@ -142,13 +142,13 @@ class Join:
         key = F.xxhash64("_id")
         return marked(self.rows, key, bitmap_of(ids, key, HOT_BITS), HOT_BITS).where("_marked").select("_id", "_text")
 
-    def repeated(self, prefixes: DataFrame, moved: DataFrame | None = None, hot=None) -> DataFrame:
+    def repeated(self) -> DataFrame:
         """Rows of tokens that two documents have; others are dropped beside the scan, nearly all. So are rows
-        whose place is too far back for even the smallest set that has the token. Prefixes with a shingle of
-        the hot filter give way to those of `moved`."""
-        sources = [(prefixes, hot)] + ([(moved, None)] if moved is not None else [])
+        whose place is too far back for even the smallest set that has the token. Of `sources`, prefixes with a
+        shingle of a source's hot filter don't count: the next source has them anew."""
+        sources = self.sources
         if not self.bits:
-            total = prefixes.agg(F.coalesce(F.sum(F.size("prefix").cast("long")), F.lit(0))).first()[0]
+            total = sources[0][0].agg(F.coalesce(F.sum(F.size("prefix").cast("long")), F.lit(0))).first()[0]
             self.bits = 1 << min(28, max(22, (16 * total).bit_length()))
         filters = [rows.mapInArrow(_fill_with(self.bits, but), BLOOM_SCHEMA) for rows, but in sources]
         bloom = self.spark.sparkContext.broadcast(merged_filter(reduce(DataFrame.unionByName, filters), self.bits))
@@ -169,7 +169,8 @@ class Join:
         prefixes = f"_id {self.kind}, n long, sig binary, prefix array<long>"
         current = sets.join(reps.select("_id"), "_id").select("_id", "n", "prefix")
         current = written(current, "jaccard-prefixes")
-        tokens = self.repeated(current)
+        self.sources = [(current, None)]
+        tokens = self.repeated()
         often = tokens.where(F.col("df") > self.hot_docs).groupBy("token")
         some = [F.min_by("_id", F.struct(F.col("n") > 3 * F.col("least"), F.xxhash64("_id", F.lit(k)))) for k in range(5)]  # no very long ones
         picked = often.agg(F.array(*some).alias("ids"))
@@ -182,30 +183,41 @@ class Join:
         moved = written(current.mapInArrow(_ids_with_hot(shared), f"_id {self.kind}").distinct(), "jaccard-moved")
         new = self.of(moved).mapInArrow(_prefixes(self.width, self.percent, shared), prefixes)
         new = written(new.join(moved, "_id", "left_semi").select("_id", "n", "prefix"), "jaccard-moved-prefixes")
-        return self.repeated(current, new, shared)
+        self.sources = [(current, shared), (new, None)]
+        return self.repeated()
 
-    def beside(self, pairs: DataFrame, parts: DataFrame, wanted: Column) -> DataFrame:
-        """Pairs (a, b, ...) with the parts of both sets, a row for each of the wanted fragments of the order."""
+    def needed(self, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The rows of the documents of pairs (and few others)."""
         key = F.xxhash64("_id")
-        parts = marked(parts.where(wanted), key, bitmap_of(self.ids(pairs), key, HOT_BITS), HOT_BITS).where("_marked").drop("_marked")
-        return pairs.join(parts.toDF("b", "fragment", "part_b"), "b").join(parts.toDF("a", "fragment", "part_a"), ["a", "fragment"])
+        return marked(rows, key, bitmap_of(self.ids(pairs), key, HOT_BITS), HOT_BITS).where("_marked").drop("_marked")
 
-    def links(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        """Pairs (a, b, n_a, n_b) that link.
+    def beside(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """Pairs (a, b, ...) with the parts of both sets, a row for each fragment of the order."""
+        parts = self.needed(parts, pairs)
+        return pairs.join(parts.toDF("b", "fragment", "part_b"), "b").join(parts.toDF("a", "fragment", "part_a"), ["a", "fragment"])
 
-        Partial overlaps of each fragment of the order are counted apart and added up per pair. Sets that
-        are alike differ in few shingles; what differs in the first fragment alone can be too much.
-        """
+    def alike_first(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose prefixes, the order's first fragment, share enough for a link: what stands behind the
+        prefix that ends first, in either set, can't make up for more."""
+        keep = lambda hot: lambda batches: _with_hot(batches, hot, False)
+        own = f"_id {self.kind}, n long, prefix array<long>"
+        found = [self.needed(rows, pairs) if hot is None else self.needed(rows, pairs).mapInArrow(keep(hot), own) for rows, hot in self.sources]
+        prefixes = written(reduce(DataFrame.unionByName, found).select("_id", "prefix"), "jaccard-needed-prefixes")
+        both = pairs.join(prefixes.toDF("b", "prefix_b"), "b").join(prefixes.toDF("a", "prefix_a"), "a")
+        most = F.size(F.array_intersect("prefix_a", "prefix_b")) + F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
+        return written(both.where(self.enough(most)).select("a", "b", "n_a", "n_b").distinct(), "jaccard-alike")
+
+    def enough(self, shared: Column) -> Column:
+        return shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * self.percent
+
+    def links(self, pairs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+        """Pairs (a, b, n_a, n_b) that link: partial overlaps of each fragment of the order are counted apart and added up per pair."""
+        pairs = self.alike_first(pairs)
         same = F.size(F.array_intersect("part_a", "part_b")).cast("long")
-        total = F.col("n_a") + F.col("n_b")
-        first = self.beside(pairs, parts, F.col("fragment") == 0).select("a", "b", "n_a", "n_b", same.alias("first"), F.size("part_a").alias("p"), F.size("part_b").alias("q"))
-        most = F.col("first") + F.least(F.col("n_a") - F.col("p"), F.col("n_b") - F.col("q"))
-        enough = lambda n: n * 100 >= (total - n) * self.percent
-        still = written(first.where(enough(most)).select("a", "b", "n_a", "n_b", "first").distinct(), "jaccard-open")
-        each = [F.max(F.when(F.col("fragment") == k, same)).alias(f"s{k}") for k in range(1, FRAGMENTS)]  # ids that repeat give parts that do
-        summed = self.beside(still, parts, F.col("fragment") > 0).groupBy("a", "b", "n_a", "n_b", "first").agg(*each)
-        whole = sum((F.coalesce(f"s{k}", F.lit(0)) for k in range(1, FRAGMENTS)), F.col("first"))
-        return written(summed.where(enough(whole)).select("a", "b", "n_a", "n_b"), "jaccard-links")
+        each = [F.max(F.when(F.col("fragment") == k, same)).alias(f"s{k}") for k in range(FRAGMENTS)]  # ids that repeat give parts that do
+        summed = self.beside(pairs, self.parts(pairs) if parts is None else parts).groupBy("a", "b", "n_a", "n_b").agg(*each)
+        whole = sum((F.coalesce(f"s{k}", F.lit(0)) for k in range(FRAGMENTS)), F.lit(0).cast("long"))
+        return written(summed.where(self.enough(whole)).select("a", "b", "n_a", "n_b"), "jaccard-links")
 
     def star(self, tokens: DataFrame, central: Column, fits: Column, sides: list[str]) -> DataFrame:
         """For each token its most central row, against the rows of other components that it can link with;
@@ -241,7 +253,7 @@ class Join:
         share so many of these differences that one of the first is shared.
         """
         new, gone = F.array_except("part_b", "part_a"), F.array_except("part_a", "part_b")
-        each = self.beside(pairs, parts, F.lit(True)).select("a", "b", "n_a", "n_b", new.alias("new"), gone.alias("gone"))
+        each = self.beside(pairs, parts).select("a", "b", "n_a", "n_b", new.alias("new"), gone.alias("gone"))
         whole = each.groupBy("a", "b", "n_a", "n_b").agg(F.flatten(F.collect_list("new")).alias("new"), F.flatten(F.collect_list("gone")).alias("gone"))
         mark = lambda k: lambda x: F.xxhash64(F.col("a"), F.lit(k), x)
         every = F.concat(F.transform(F.array_sort("new"), mark(0)), F.transform(F.array_sort("gone"), mark(1)))
@@ -293,7 +305,7 @@ class Join:
         left = self.several(self.labelled(self.postings(sets, reps), None))
         sides, fits = ["_id", "n", "pos", "hi", "comp"], (F.col("n_a") <= F.col("hi_b")) & (F.col("n_b") <= F.col("hi_a"))
         seen = self.star(left, F.struct("pos", "_id"), fits, sides)
-        linked = self.links(seen, self.parts(seen))
+        linked = self.links(seen)
         left = self.several(self.labelled(left, components(linked)))
 
         # of two rows that fit, the smaller one fits its own size, so few such rows mean few pairs
@@ -303,11 +315,10 @@ class Join:
         pairs = self.met(left.join(strong, "token", "left_anti"), fits, sides).join(seen, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-rest")
         crowd = written(self.hub_pairs(left.join(strong, "token", "left_semi")), "jaccard-crowd")
-        parts = self.parts(pairs.unionByName(crowd))
         if not crowd.isEmpty():
-            linked, more = self.crowded(crowd, parts, linked)
+            linked, more = self.crowded(crowd, self.parts(crowd), linked)
             pairs = written(pairs.unionByName(more).distinct(), "jaccard-rest")
-        linked = linked.unionByName(self.links(pairs, parts))
+        linked = linked.unionByName(self.links(pairs))
         return sets.select("_id", "n", "sig").join(classes, "sig", "left"), components(linked)
 
 

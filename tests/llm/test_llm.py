@@ -339,7 +339,7 @@ def test_near_copies_meet_in_few_pairs(spark, monkeypatch):
 
     seen = []
     links = Join.links
-    monkeypatch.setattr(Join, "links", lambda self, pairs, parts: (seen.append(pairs.count()), links(self, pairs, parts))[1])
+    monkeypatch.setattr(Join, "links", lambda self, pairs, parts=None: (seen.append(pairs.count()), links(self, pairs, parts))[1])
     rng = random.Random(1)
     vocabulary = [f"w{i}" for i in range(3000)]
     base = [rng.choice(vocabulary) for _ in range(120)]
