@@ -44,7 +44,7 @@ def _count(depth: int, most: int = 3_000_000):
             held.clear()
             return pa.RecordBatch.from_pydict({"gram": total.index.to_numpy().view(np.int64), "n": total.to_numpy().astype(np.int64)})
 
-        for batch in small_batches(batches, "_text", 8 << 20):
+        for batch in small_batches(batches, "_text", 3 << 20):
             held.append(counted(grams(stream(plain(batch.column("_text")))[0], depth)))
             if sum(map(len, held)) > most:
                 yield flush()
