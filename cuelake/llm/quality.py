@@ -20,6 +20,10 @@ _CLASSES = {
 NAMES = [*_CLASSES, "bytes", "words", "word_mean", "word_deviation", "long_words", "distinct_words", "distinct_pairs", "top_word", "distinct_lines", "line_mean", "number_words", "caps_words"]
 
 
+#: Folds of labelled rows for calibration.
+FOLDS = 5
+
+
 def _share(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))[at])
 
@@ -88,15 +92,17 @@ class Kernel:
 
 
 def _equations(arguments: tuple):
-    """Per task: rows of the normal equations' sums."""
+    """Per task: rows of the normal equations' sums, those of each fold after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, total = Kernel(*arguments), 0
+        kernel, total = Kernel(*arguments), {}
         for batch in batches:
-            z, y = kernel(_matrix(batch.column("_f"))), batch.column("_y").to_numpy().astype(np.float64)
-            total = total + z.T @ np.hstack([z, y[:, None]])
-        if not np.isscalar(total):
-            yield pa.RecordBatch.from_pydict({"row": pa.array(np.arange(len(total), dtype=np.int32)), "sums": pa.array([r.tobytes() for r in total], pa.binary())})
+            z, y, fold = kernel(_matrix(batch.column("_f"))), batch.column("_y").to_numpy().astype(np.float64), batch.column("_fold").to_numpy()
+            for k in np.unique(fold).tolist():
+                own = z[fold == k]
+                total[k] = total.get(k, 0.0) + own.T @ np.hstack([own, y[fold == k, None]])
+        for k, sums in total.items():
+            yield pa.RecordBatch.from_pydict({"row": pa.array(np.arange(len(sums), dtype=np.int32) + k * len(sums)), "sums": pa.array([r.tobytes() for r in sums], pa.binary())})
 
     return run
 
@@ -110,11 +116,14 @@ def _add_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"row": pa.array(list(held), pa.int32()), "sums": pa.array([v.tobytes() for v in held.values()], pa.binary())})
 
 
-def _raw(arguments: tuple, weights: np.ndarray, keep: list[str]):
+def _raw(arguments: tuple, weights: np.ndarray):
+    """Raw scores of labelled rows, each by the weights that its fold had no part in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = Kernel(*arguments)
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in keep} | {"_raw": pa.array(kernel(_matrix(batch.column("_f"))) @ weights)})
+            own = weights[batch.column("_fold").to_numpy()]
+            yield pa.RecordBatch.from_pydict({"_y": batch.column("_y"), "_raw": pa.array((kernel(_matrix(batch.column("_f"))) * own).sum(axis=1))})
 
     return run
 
@@ -139,7 +148,8 @@ def quality_score(
     Learned from all rows of `labels` with label 0 or 1 whose id is in docs. Statistics of whole texts
     are computed once and written; tasks sum their part of the (size + 1)-square normal equations,
     rows of which are added up over the cluster, so the driver solves a system whose size doesn't
-    depend on the data. Raw scores of the labelled rows, counted in `bins` bins, give an isotonic
+    depend on the data. Raw scores of the labelled rows, each from the equations without its fold of the rows
+    (by a hash of the id) and counted in `bins` bins, give an isotonic
     calibration with straight lines between pools; a thousandth of the score follows the raw score
     throughout, so that pools don't tie texts that differ.
 
@@ -151,7 +161,8 @@ def quality_score(
     kind = dict(rows.dtypes)["_id"]
     stats = written(rows.mapInArrow(_features, f"_id {kind}, _f array<float>"), "quality-features")
     taught = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
-    known = written(taught.join(stats, "_id").select("_f", "_y"), "quality-labelled")
+    fold = F.pmod(F.xxhash64(F.col("_id"), F.lit(seed)), F.lit(FOLDS)).cast("int").alias("_fold")
+    known = written(taught.join(stats, "_id").select("_f", "_y", fold), "quality-labelled")
     each = [F.col("_f")[i].cast("double") for i in range(len(NAMES))]
     sums = known.agg(F.count("*"), F.avg("_y"), *(F.avg(c) for c in each), *(F.stddev_pop(c) for c in each)).first()
     n, share = sums[0], sums[1]
@@ -160,9 +171,15 @@ def quality_score(
     moments = np.array(sums[2:], np.float64).reshape(2, -1)
     arguments = (moments[0], moments[1], size, width, seed)
     parts = known.mapInArrow(_equations(arguments), "row int, sums binary").repartition("row").mapInArrow(_add_rows, "row int, sums binary")
-    total = np.array([np.frombuffer(bytes(r["sums"])) for r in parts.sort("row").collect()])
-    weights = np.linalg.solve(total[:, :-1] + ridge * n * np.eye(size + 1), total[:, -1])
-    scored = known.mapInArrow(_raw(arguments, weights, ["_y"]), "_y double, _raw double")
+    sums = np.zeros((FOLDS * (size + 1), size + 2))
+    for r in parts.collect():  # FOLDS x (size + 1) rows whatever the data
+        sums[r["row"]] = np.frombuffer(bytes(r["sums"]))
+    sums = sums.reshape(FOLDS, size + 1, size + 2)
+    solved = lambda t: np.linalg.solve(t[:, :-1] + ridge * t[-1, -2] * np.eye(size + 1), t[:, -1])  # noqa: E731  the last feature is 1, so its square counts rows
+    total = sums.sum(axis=0)
+    weights = solved(total)
+    apart = np.array([solved(total - t) if t[-1, -2] < total[-1, -2] else weights for t in sums])
+    scored = known.mapInArrow(_raw(arguments, apart), "_y double, _raw double")
     low, high = -0.5, 1.5
     place = F.floor((F.least(F.greatest("_raw", F.lit(low)), F.lit(high)) - low) * (bins / (high - low)))
     counted = scored.groupBy(place.alias("bin")).agg(F.avg("_raw").alias("x"), F.count("*").alias("n"), F.sum("_y").alias("p")).sort("bin").toArrow()
