@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake import sources, streaming
+from cuelake.functions import text as tx
 from cuelake.jobs import shot_queries
-from cuelake.operators import catalogue, cues, frames, overlay, shots
+from cuelake.operators import catalogue, cues, faces, frames, overlay, shots, tags, vectors
 from cuelake.sources import ttml
 from cuelake.staging import shared_dir, table
 
@@ -226,7 +227,66 @@ def streamed(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(streaming.edition(folder, "shots", number)).select("path", "dir", "price", "post_count", "last_posted")
 
 
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "labels").select("doc_id", F.expr("stack(2, 'quality', quality, 'toxic', toxic) AS (tag, label)")).select("tag", F.col("doc_id").alias("path"), "label")
+
+
+def tag_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A5 and M6: a tag deleted everywhere, the others summed up."""
+    lab, held = _labels(spark, d), _labels(spark, d).where("label = 1 AND path % 3 > 0").select("tag", "path")
+    defs = table(spark, d, "region").select(F.element_at(F.array(F.lit("quality"), F.lit("gone"), F.lit("a"), F.lit("b"), F.lit("c")), F.col("r_regionkey") + 1).alias("tag"), F.when(F.col("r_regionkey") % 2 == 0, F.array(F.lit(0.5))).alias("coef"), (F.col("r_regionkey") / 10).alias("accuracy"))
+    return tags.tag_summary(*tags.without_tag([defs, lab, held], "gone"))
+
+
+def marked_page(spark: SparkSession, d: str) -> DataFrame:
+    """T4: a page of what is marked, with the total."""
+    lab = _labels(spark, d).where("tag = 'quality'")
+    scored = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("path"), (F.col("doc_id") * 37 % 100 / 100).alias("prob"))
+    return shots.page(tags.candidates(scored, lab, "marked"), ["rank", "path"], 5, 40)
+
+
+def halves(spark: SparkSession, d: str) -> DataFrame:
+    """how far two-byte floats take each vector from itself."""
+    e = table(spark, d, "embeddings").withColumn("h", vectors.halved(F.col("embedding")))
+    off = F.array_max(F.zip_with("h", "embedding", lambda a, b: F.abs(a - b)))
+    return e.select("vec_id", F.size("h").alias("n"), (off <= 0.0005).alias("close"), F.exists(F.zip_with("h", "embedding", lambda a, b: a != b), lambda x: x).alias("changed"))
+
+
+def regular_names(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 3 > 0, "regular").when(F.col("p_partkey") % 2 > 0, "special").alias("type"))
+    return catalogue.regular_names(p, ["blue gizmo", "red widget"]).select("p_partkey")
+
+
+def presumed(spark: SparkSession, d: str) -> DataFrame:
+    p = shot_queries.classified(spark, d)
+    return catalogue.presumed(p, F.col("p_partkey") % 3 == 0, "animation", 100, "presumed").select("p_partkey", "kind", F.col("score").cast("long").alias("score"), "labels")
+
+
+def summed_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.when(F.col("o_orderstatus") != "P", "f").alias("file"), F.when(F.col("o_totalprice") > 60000, "yes").otherwise("").alias("has_subs"), F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderpriority")).alias("reason"))
+    return catalogue.catalogue_summary(o, o.where("file IS NULL"))
+
+
+def label_results(spark: SparkSession, d: str) -> DataFrame:
+    return faces.label_results(_faces(spark, d))
+
+
+def progress(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "documents").select("doc_id", "n_chars")
+    f = _faces(spark, d).withColumn("person", F.when(F.col("cluster") < 7, F.col("person")))
+    return faces.progress(s, f, {"quality": F.col("n_chars") > 500, "clip": F.col("doc_id") % 7 == 0})
+
+
+def tidy_lines(spark: SparkSession, d: str) -> DataFrame:
+    """F8: words of a turn as runs in two colours, tidied."""
+    c = table(spark, d, "conversations")
+    runs = F.transform(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda w, i: F.struct(F.concat(F.lit("  "), w, F.lit(" ")).alias("text"), F.when(F.floor(i / 3) % 2 == 0, "W").otherwise("Y").alias("colour")))
+    return c.select("conv_id", "turn", F.array_join(F.transform(tx.tidy_runs(runs), lambda r: F.concat(r["colour"], F.lit(":"), r["text"])), "|").alias("runs"))
+
+
 QUERIES = {
+    "a5_tag_summary": tag_summary, "t4_marked_page": marked_page, "f13_halves": halves, "p2_regular_names": regular_names, "p5_presumed": presumed, "a18_summed_catalogue": summed_catalogue, "a14_label_totals": label_results,
+    "a3_step_progress": progress, "f8_tidy_lines": tidy_lines,
     "w1_part_numbers": numbered, "w3_ordinals": ordinals, "j5_matched": matched, "a19_gated": gated, "f11_overlays": overlays, "t7_work_order": work_order, "p11_filters": filters, "a4_facet_counts": facet_counts,
     "a2_detailed_stats": detailed_stats, "j12_with_vectors": with_vectors, "v5_frame_quality": frame_quality, "s1_csv_files": csv_files, "s3_srt_files": srt_files, "s4_json_lists": json_lists, "s10_catalogue_csv": catalogue_csv,
     "s5_slices": slices, "s5_items": items, "s7_ttml_runs": ttml_files, "m2_loaded": loaded, "m2_load_counts": load_counts, "st1_streamed": streamed,
@@ -247,7 +307,32 @@ _LOADED = shot_queries.ORDERS + """,
     done AS (SELECT path, dir, price, greatest(coalesce(m.c, 0), coalesce(k.c, 0)) AS post_count, CASE WHEN m.l IS NULL THEN k.l WHEN k.l IS NULL THEN m.l ELSE greatest(m.l, k.l) END AS last_posted FROM merged m LEFT JOIN carried k USING (path))
 """
 
+_LAB = "WITH lab AS (SELECT 'quality' AS tag, doc_id AS path, quality AS label FROM labels UNION ALL SELECT 'toxic', doc_id, toxic FROM labels)"
+
 SQL = {
+    "a5_tag_summary": _LAB + """, m AS (SELECT tag, count(*) FILTER (label = 1) AS yes, count(*) FILTER (label = 0) AS no, count(*) FILTER (label = 1 AND path % 3 > 0) AS members FROM lab GROUP BY 1),
+        d AS (SELECT ['quality', 'gone', 'a', 'b', 'c'][r_regionkey + 1] AS tag, r_regionkey % 2 = 0 AS trained, r_regionkey / 10.0::DOUBLE AS accuracy FROM region WHERE r_regionkey <> 1)
+        SELECT coalesce(m.tag, d.tag) AS tag, coalesce(yes, 0) AS yes, coalesce(no, 0) AS no, coalesce(members, 0) AS members, coalesce(trained, false) AS trained, accuracy FROM m FULL JOIN d ON d.tag = m.tag""",
+    "t4_marked_page": """
+        SELECT l.doc_id AS path, CAST(-quality AS DOUBLE) AS rank, CASE WHEN l.doc_id % 2 = 0 AND d.doc_id IS NOT NULL THEN l.doc_id * 37 % 100 / 100.0::DOUBLE END AS prob, (SELECT count(*) FROM labels WHERE quality IS NOT NULL) AS total
+        FROM labels l LEFT JOIN (SELECT DISTINCT doc_id FROM documents) d ON d.doc_id = l.doc_id ORDER BY 2, 1 LIMIT 40 OFFSET 5""",
+    "f13_halves": "SELECT vec_id, CAST(len(embedding) AS INT) AS n, true AS close, true AS changed FROM embeddings",
+    "p2_regular_names": "SELECT p_partkey FROM part WHERE p_partkey % 3 > 0 OR p_name IN ('blue gizmo', 'red widget')",
+    "p5_presumed": f"WITH c AS ({shot_queries.SQL['p5_classified']}), o AS (SELECT *, p_partkey % 3 = 0 AND labels = '' AS odd FROM c) SELECT p_partkey, CASE WHEN odd THEN 'animation' ELSE kind END AS kind, CASE WHEN odd THEN 100 ELSE score END AS score, CASE WHEN odd THEN 'presumed' ELSE labels END AS labels FROM o",
+    "a18_summed_catalogue": """
+        SELECT 'rows' AS what, count(*) AS n FROM orders UNION ALL SELECT 'with a file', count(*) FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'with subtitles', count(*) FROM orders WHERE o_totalprice > 60000
+        UNION ALL SELECT CASE WHEN o_orderkey % 9 > 0 THEN o_orderpriority ELSE 'unknown' END, count(*) FROM orders WHERE o_orderstatus = 'P' GROUP BY 1""",
+    "a14_label_totals": "SELECT CAST(label AS VARCHAR) AS person, CAST(grouping(label) AS INT) AS level, count(*) AS faces, count(DISTINCT vec_id % 350) AS shots FROM embeddings GROUP BY ROLLUP (label)",
+    "a3_step_progress": """
+        WITH t AS (SELECT count(*) AS total, count(*) FILTER (n_chars > 500) AS q, count(*) FILTER (doc_id % 7 = 0) AS c FROM documents), f AS (SELECT count(*) AS n, count(*) FILTER (label < 7) AS named, count(DISTINCT vec_id % 350) AS shown FROM embeddings)
+        SELECT 'quality' AS step, q AS done, total FROM t UNION ALL SELECT 'clip', c, total FROM t UNION ALL SELECT 'named faces', named, n FROM f UNION ALL SELECT 'shots with a face', shown, total FROM t, f""",
+    "f8_tidy_lines": """
+        WITH w AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x, i: {'w': x, 'g': (i - 1) // 3}), lambda y: true) AS ws FROM conversations),
+        u AS (SELECT conv_id, turn, unnest(range(len(ws))) AS i, unnest(ws) AS x FROM w),
+        g AS (SELECT conv_id, turn, x.g AS g, ' ' || string_agg(CASE WHEN x.w = '' THEN '' ELSE x.w || ' ' END, '' ORDER BY i) AS t FROM u GROUP BY ALL),
+        b AS (SELECT *, max(g) OVER (PARTITION BY conv_id, turn) AS last FROM g),
+        e AS (SELECT conv_id, turn, g, CASE WHEN g = 0 AND g = last THEN trim(t) WHEN g = 0 THEN ltrim(t) WHEN g = last THEN rtrim(t) ELSE t END AS t FROM b)
+        SELECT conv_id, turn, coalesce(string_agg(CASE WHEN g % 2 = 0 THEN 'W:' ELSE 'Y:' END || t, '|' ORDER BY g) FILTER (t <> ''), '') AS runs FROM e GROUP BY 1, 2""",
     "w1_part_numbers": SEASONS + """,
         n AS (SELECT *, CASE WHEN single THEN CAST(sum(CAST(single AS INT)) OVER (PARTITION BY season ORDER BY path) AS BIGINT) END AS n FROM e),
         k AS (SELECT season, serial, part, max(n) AS n FROM n WHERE single GROUP BY ALL)

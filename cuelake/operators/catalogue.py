@@ -50,6 +50,24 @@ def seasons(spec: str, rows: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(wanted.distinct()), column, "left_semi")
 
 
+def regular_names(episodes: DataFrame, specials: list[str], kind: str = "type", name: str = "name") -> DataFrame:
+    """Regular episodes, and of the others only the specials that are listed by name."""
+    return episodes.where((F.coalesce(kind, F.lit("")) == "regular") | F.coalesce(F.col(name).isin(specials), F.lit(False)))
+
+
+def presumed(files: DataFrame, missing: Column, kind: str, points: int, label: str) -> DataFrame:
+    """P5: of `classified` files of missing episodes, those without any label are presumed to be of a kind, with its points, and say so."""
+    odd = F.coalesce(missing, F.lit(False)) & (F.col("labels") == "")
+    return files.withColumns({"kind": F.when(odd, kind).otherwise(F.col("kind")), "score": F.when(odd, points).otherwise(F.col("score")), "labels": F.when(odd, label).otherwise(F.col("labels"))})
+
+
+def catalogue_summary(rows: DataFrame, rejects: DataFrame) -> DataFrame:
+    """Rows (what, n): all rows, those with a file, those with subtitles, and rejects by reason. rows: file, has_subs; rejects: reason."""
+    one = rows.agg(F.count("*").alias("a"), F.count_if(F.coalesce("file", F.lit("")) != "").alias("b"), F.count_if(F.col("has_subs") == "yes").alias("c"))
+    counts = one.select(F.expr("stack(3, 'rows', a, 'with a file', b, 'with subtitles', c) AS (what, n)"))
+    return counts.unionByName(rejects.groupBy(F.coalesce("reason", F.lit("unknown")).alias("what")).agg(F.count("*").alias("n")))
+
+
 def classified(files: DataFrame, rules: list[tuple[str, str, int]], kinds: list[tuple[str, str, int]], text: Column) -> DataFrame:
     """P5: the first kind whose pattern fits gives kind and points; every version rule that fits adds its points and label, in order."""
     kind, points = F.lit("original"), F.lit(300)

@@ -47,6 +47,20 @@ def sampled(faces: DataFrame, seed: str, offset: int, limit: int, key: str = "id
     return faces.withColumn("turn", turn.cast("long")).orderBy("turn", seeded(seed, "episode"), key).offset(offset).limit(limit)
 
 
+def label_results(faces: DataFrame) -> DataFrame:
+    """Rows (person, null for all, level 1) with named faces and the shots that show them."""
+    named = faces.where(F.col("person").isNotNull())
+    return named.rollup("person").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("faces"), F.countDistinct("path").alias("shots"))
+
+
+def progress(shots: DataFrame, faces: DataFrame, steps: dict[str, Column]) -> DataFrame:
+    """A3: rows (step, done, total): shots of which each step is done, faces with a name, and shots with a face."""
+    done = shots.agg(F.count("*").alias("total"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in steps.items()))
+    found = faces.agg(F.count("*").alias("n"), F.count("person").alias("named"), F.countDistinct("path").alias("shown"))
+    rows = ", ".join([*(f"'{k}', `{k}`, total" for k in steps), "'named faces', named, n", "'shots with a face', shown, total"])
+    return done.crossJoin(found).select(F.expr(f"stack({len(steps) + 2}, {rows}) AS (step, done, total)"))  # one row each
+
+
 def majority_names(faces: DataFrame) -> DataFrame:
     """The name that at least half of a group's faces have; the most frequent, then the smallest one."""
     sizes = faces.groupBy("cluster").agg(F.count("*").alias("size"))

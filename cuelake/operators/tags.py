@@ -21,6 +21,20 @@ def summary(labels: DataFrame, members: DataFrame) -> DataFrame:
     return marks.join(held, "tag", "full_outer").select("tag", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("yes", "no", "members")))
 
 
+def tag_summary(defs: DataFrame, labels: DataFrame, members: DataFrame) -> DataFrame:
+    """A5: rows of `summary` for all tags that are defined or marked, with whether each is trained and its accuracy (null if unknown).
+
+    defs: tag, coef (null: not trained), accuracy."""
+    known = defs.select("tag", F.col("coef").isNotNull().alias("trained"), "accuracy")
+    j = summary(labels, members).join(known, "tag", "full_outer")
+    return j.select("tag", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("yes", "no", "members")), F.coalesce("trained", F.lit(False)).alias("trained"), "accuracy")
+
+
+def without_tag(tables: list[DataFrame], tag: str) -> list[DataFrame]:
+    """M6: tables with a column `tag` (definitions, marks, members) without any row of a tag."""
+    return [t.where(~F.col("tag").eqNullSafe(F.lit(tag))) for t in tables]
+
+
 def members(scored: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """M7: scored rows (tag, path, prob) that are marked yes, or not marked and likely enough."""
     j = scored.join(labels.select("tag", "path", "label"), ["tag", "path"], "left")
@@ -39,7 +53,10 @@ def weak_negatives(shots: DataFrame, labelled: DataFrame, n: int, seed: str, key
 
 
 def candidates(scored: DataFrame, labels: DataFrame, mode: str, key: str = "path") -> DataFrame:
-    """T4: what to mark next, with its rank value: suggest (likeness), unsure, tagged; only shots not marked."""
+    """T4: what to mark next, with its rank value, in order: `suggest` (likeness), `unsure`, `tagged`; only shots not marked. `marked`
+    has those that are, with a yes first. `shots.page` gives a page and the total."""
+    if mode == "marked":
+        return labels.select(key, (-F.col("label")).cast("double").alias("rank")).join(scored.select(key, "prob"), key, "left").orderBy("rank", key)
     rest = scored.join(labels.select(key), key, "left_anti")
     if mode == "unsure":
         return rest.withColumn("rank", F.abs(F.col("prob") - 0.5)).orderBy("rank", key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,15 @@ def vector(values: list[float]) -> Column:
     return F.array(*(F.lit(float(v)) for v in values))
 
 
+def halved(a: Column) -> Column:
+    """a vector as it comes back from two-byte floats."""
+
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda v: None if v is None else np.asarray(v, np.float32).astype(np.float16).astype(np.float32))
+
+    return F.pandas_udf(run, "array<float>")(a)
+
+
 def search(rows: DataFrame, query: list[float], n: int, key: str, column: str = "embedding") -> DataFrame:
     """The n rows most similar to a query vector; ties by key. No sort of everything: each task keeps n rows."""
     return rows.select(key, dot(F.col(column), vector(query)).alias("score")).orderBy(F.desc("score"), key).limit(n)
