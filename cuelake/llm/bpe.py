@@ -58,6 +58,8 @@ WITH RECURSIVE step(piece, pos, nxt, token) USING KEY (piece, pos) AS (
 SELECT piece, token FROM step WHERE token >= 0 ORDER BY piece, pos
 """
 LONG, SHORT = 48, 12
+#: Of DuckDB; a piece of very many bytes is given as much more as it needs.
+MEMORY_MB = 200
 #: A space after other white space. Without one, a text can be cut before each of its spaces, as no
 #: piece goes on across it: pieces hold white space only, or one space and then none.
 SPACED = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
@@ -68,7 +70,7 @@ DECODE = "SELECT doc, string_agg(text, '' ORDER BY pos) AS text FROM ids JOIN to
 class Bpe:
     """Ranks and merges in a DuckDB database of the task, with pieces already encoded at hand."""
 
-    def __init__(self, ranks: bytes, pattern: str, most: int = 400_000, chunk: int = 20_000):
+    def __init__(self, ranks: bytes, pattern: str, most: int = 300_000, chunk: int = 20_000):
         import duckdb
         import regex
 
@@ -76,9 +78,9 @@ class Bpe:
         self.find, self.most, self.chunk = regex.compile(pattern).findall, most, chunk
         self.rare = sorted((t for t in self.ranks if len(t) > SHORT), key=len, reverse=True)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
-        rows = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        lhs, rhs, rank = (np.array(x, np.int32) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int32),) * 3
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
+        rows = ((self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks)
+        lhs, rhs, rank = np.fromiter((x for row in rows for x in row), np.int32).reshape(-1, 3).T
         self._table("merges", lhs=lhs, rhs=rhs, rank=rank)
         self._table("lone", token=np.unique(np.concatenate((lhs[rank < lhs], rhs[rank < rhs]))))
         names = [t.decode("latin-1") for t in self.ranks]
@@ -93,6 +95,17 @@ class Bpe:
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.hits = np.zeros(0, bool)
+
+    def make_room(self) -> None:
+        """Holds on to what a later batch had again, if that is little; most of the pieces never are."""
+        kept = np.flatnonzero(self.hits)
+        if len(kept) > self.most // 2 or self.lengths[kept].sum() > 6 * self.most:
+            return self.clear()
+        names = np.array(list(self.place), object)[kept]
+        self.flat, self.lengths = self.flat[ranges(self.starts[kept], self.lengths[kept])], self.lengths[kept]
+        self.starts, self.hits = np.cumsum(self.lengths) - self.lengths, np.zeros(len(kept), bool)
+        self.place = dict(zip(names.tolist(), range(len(kept)), strict=True))
 
     def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all pieces, and how many each has. A piece that is a token is that token."""
@@ -106,11 +119,13 @@ class Bpe:
             longest = next((len(t) for t in self.rare if t in data[i]), SHORT)
             groups.setdefault(ENCODE_LONG.format(reach=2 * longest + 1), []).append(i)
         for query, rest in ((k, np.array(v, np.int64)) for k, v in groups.items()):
-            for a in range(0, len(rest), self.chunk):
-                some = rest[a : a + self.chunk]
+            for a in range(0, len(rest), step := self.chunk if query is ENCODE else 100):
+                some = rest[a : a + step]
                 pos = ranges(np.zeros(len(some), np.int64), sizes[some]).astype(np.int32)
                 token = self.bytes[np.frombuffer(b"".join(data[i] for i in some), np.uint8)]
                 self._table("bytes_of_pieces", piece=np.repeat(some, sizes[some]).astype(np.int32), pos=pos, nxt=pos + np.int32(1), token=token)
+                need = MEMORY_MB + int(sizes[some].sum()) // 500
+                self.db.execute(f"SET memory_limit = '{need}MB'")
                 got = self.db.sql(query).to_arrow_table()
                 counts[some] = np.bincount(got["piece"].to_numpy(), minlength=len(pieces))[some]
                 parts.append((some, got["token"].to_numpy()))
@@ -125,6 +140,7 @@ class Bpe:
         self.place.update(zip(strings, range(len(self.lengths), len(self.lengths) + len(strings)), strict=True))
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
         self.lengths, self.flat = np.concatenate((self.lengths, lengths)), np.concatenate((self.flat, flat))
+        self.hits = np.concatenate((self.hits, np.zeros(len(strings), bool)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
@@ -138,7 +154,8 @@ class Bpe:
         words = coded.dictionary.to_pylist()
         chunks = [" " + words[k >> 1] if k & 1 else words[k >> 1] for k in keys.tolist()]
         if len(self.place) > self.most or len(self.flat) > 12 * self.most:
-            self.clear()
+            self.make_room()
+        before = len(self.lengths)
         new = [c for c in chunks if c not in self.place]
         if new:
             found = [self.find(c) for c in new]
@@ -148,7 +165,9 @@ class Bpe:
             at = np.array([self.place[p] for i in several for p in found[i]], np.int64)
             sizes = np.bincount(np.repeat(np.arange(len(several)), [len(found[i]) for i in several]), self.lengths[at], len(several)).astype(np.int64)
             self._hold([new[i] for i in several], self.flat[ranges(self.starts[at], self.lengths[at])], sizes)
-        at = np.array([self.place[c] for c in chunks], np.int64)[back]
+        at = np.array([self.place[c] for c in chunks], np.int64)
+        self.hits[at[at < before]] = True
+        at = at[back]
         lengths = self.lengths[at]
         return self.flat[ranges(self.starts[at], lengths)], np.bincount(owner, lengths, len(texts)).astype(np.int64)
 
@@ -187,9 +206,9 @@ def bpe_encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_i
     ranks: the content of a rank file (base64 of a token, its rank); pattern: what cuts a text into
     pieces that are merged apart. Whole texts are encoded where they are, nothing is shuffled. Pieces
     are encoded once while a worker holds them; DuckDB sees those that are new, some ten thousand at
-    a time, and has one thread and a memory limit.
+    a time, and has one thread and a memory limit, which grows with a very long piece.
 
-    Null text counts as empty and has no ids. A piece that is very long takes rounds, not memory.
+    Null text counts as empty and has no ids. A piece of a megabyte takes some two gigabytes.
     Rows that repeat are encoded alike; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast({"ranks": ranks, "pattern": pattern})

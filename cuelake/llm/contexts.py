@@ -138,14 +138,14 @@ def levels_of(codes: np.ndarray, counts: np.ndarray, depth: int, least: int) ->
 
 
 def _trimmed() -> None:
-    """Gives what the worker's earlier tasks have freed back to the system."""
+    """Gives what this task and the worker's earlier ones have freed back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches cut so that each has about `most` bytes of text, or one row. Called once a task."""
+def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Record batches cut so that each has about `most` bytes of text, or one row."""
     _trimmed()
     for batch in batches:
         if not batch.num_rows:
@@ -156,3 +156,4 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 <<
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
             yield batch.slice(a, b - a)
             a = b
+    _trimmed()

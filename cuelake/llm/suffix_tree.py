@@ -96,7 +96,7 @@ def _score(model, id_type: pa.DataType):
         block = TaskContext.get().partitionId() << 32
         for batch in small_batches(batches, "_text", 32 << 20):
             hashes, sizes, scores = [], [], []
-            for part in small_batches(iter([batch]), "_text", 4 << 20):
+            for part in small_batches(iter([batch]), "_text", 3 << 20):
                 words = words_of(part.column("_text"))
                 hashes.append(words.hashes), sizes.append(words.counts)
                 symbols, starts = stream(plain(part.column("_text")))
