@@ -88,16 +88,22 @@ def _tokens(bloom, bits: int, but_hot):
 
 
 def _prefixes(width: int, percent: int, shared):
+    """Sets and the first of their shingles; with a hot filter, those alone whose first shingles by hash have a hot one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value if shared else None
         for batch in small_batches(batches, "_text", 2 << 20):
-            sets = _sets(batch.column("_text"), width)
+            sets, ids = _sets(batch.column("_text"), width), batch.column("_id")
+            cuts = [prefix_length(len(s), percent) if len(s) else 0 for s in sets]
+            if hot is not None:
+                kept = [i for i, (s, k) in enumerate(zip(sets, cuts, strict=True)) if _hot(s[:k], hot).any()]
+                sets, cuts, ids = [sets[i] for i in kept], [cuts[i] for i in kept], ids.take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "_id": batch.column("_id"),
+                    "_id": ids,
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "sig": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    "prefix": _longs([_ordered(s, hot)[: prefix_length(len(s), percent)] if len(s) else s for s in sets]),
+                    "prefix": _longs([_ordered(s, hot)[:k] for s, k in zip(sets, cuts, strict=True)]),
                 }
             )
 
@@ -140,7 +146,7 @@ class Join:
     def of(self, ids: DataFrame) -> DataFrame:
         """The texts of ids (and few others), found beside the scan."""
         key = F.xxhash64("_id")
-        return marked(self.rows, key, bitmap_of(ids, key, HOT_BITS), HOT_BITS).where("_marked").select("_id", "_text")
+        return marked(self.rows, key, bitmap_of(ids, key, HOT_BITS), HOT_BITS).where("_marked AND _id IS NOT NULL").select("_id", "_text")
 
     def repeated(self) -> DataFrame:
         """Rows of tokens that two documents have; others are dropped beside the scan, nearly all. So are rows
@@ -177,12 +183,13 @@ class Join:
         picked = written(picked.select(F.explode("ids").alias("_id")).distinct(), "jaccard-picked")
         if picked.isEmpty():
             return tokens
-        sets_ = self.of(picked).join(picked, "_id", "left_semi").mapInArrow(_fragments(self.width), f"_id {self.kind}, fragment int, part array<long>")
+        sets_ = self.of(picked).mapInArrow(_fragments(self.width), f"_id {self.kind}, fragment int, part array<long>")
         common = sets_.select(F.explode("part").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
         shared = self.spark.sparkContext.broadcast(_packed_bits(bitmap_of(common, F.col("token"), HOT_BITS)))
         moved = written(current.mapInArrow(_ids_with_hot(shared), f"_id {self.kind}").distinct(), "jaccard-moved")
+        # what the scan's filter lets through besides has no hot shingle, or is an equal set, which changes nothing
         new = self.of(moved).mapInArrow(_prefixes(self.width, self.percent, shared), prefixes)
-        new = written(new.join(moved, "_id", "left_semi").select("_id", "n", "prefix"), "jaccard-moved-prefixes")
+        new = written(new.select("_id", "n", "prefix"), "jaccard-moved-prefixes")
         self.sources = [(current, shared), (new, None)]
         return self.repeated()
 
