@@ -146,7 +146,7 @@ def _tokenize(shared, end: int):
         if "ready" not in held:  # a worker's next task finds the pieces of this one
             held["ready"] = PieceIds(held["tokenizer"])
         pieces = held["ready"]
-        for batch in small_batches(batches, "_text"):
+        for batch in small_batches(batches, "_text", 4 << 20):
             ids, counts = pieces.encode(batch.column("_text"), end)
             data, ends = ids.astype("<u4") if ids.max() > 0xFFFF else ids.astype("<u2"), np.cumsum(counts)
             rows = [data[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
