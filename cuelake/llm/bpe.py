@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from cuelake.llm.contexts import small_batches
+from cuelake.llm.contexts import bounded, small_batches
 from cuelake.llm.words import ranges
 
 #: For short pieces. One token-position row per byte at first, each with the next row's place and
@@ -211,6 +211,7 @@ def bpe_encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_i
     Null text counts as empty and has no ids. A piece of a megabyte takes some two gigabytes.
     Rows that repeat are encoded alike; an empty table gives no rows.
     """
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast({"ranks": ranks, "pattern": pattern})
     rows = docs.selectExpr(f"`{id_col}` AS _id", f"`{text_col}` AS _text")
     schema = f"_id {dict(rows.dtypes)['_id']}, n_tokens long, ids binary" + ", decoded binary" * decode

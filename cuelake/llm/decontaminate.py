@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.contexts import small_batches
+from cuelake.llm.contexts import bounded, small_batches
 from cuelake.llm.words import Words, ranges, shingles, split_by, words_of
 
 
@@ -148,6 +148,7 @@ def contained_items(
     documents. Items that repeat give a row each. No documents or no items give no rows.
     """
     spark = docs.sparkSession
+    bounded(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kinds = dict(rows.dtypes)["_id"], dict(items.dtypes)[item_col]
     schema = f"_id {kinds[0]}, item_id {kinds[1]}, n_shingles long, n_shared long, containment double"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.bitmap import bitmap_of, marked
 from cuelake.operators.components import components
-from cuelake.llm.contexts import small_batches
+from cuelake.llm.contexts import bounded, small_batches
 from cuelake.llm.line_dedup import BLOOM_SCHEMA, fill, may_repeat, merged_filter
 from cuelake.llm.words import ranges, shingles, split_by, words_of
 from cuelake.staging import written
@@ -21,6 +21,8 @@ from cuelake.staging import written
 #: The order's fragments are ranges of shingle hashes.
 FRAGMENTS = 4
 HOT_BITS = 1 << 26
+#: Of the bitmaps that find documents beside a scan.
+ID_BITS = 1 << 23
 #: Tokens with more rows of which each may be the smaller one of a pair go by differences from a hub.
 CROWD = 16
 
@@ -142,11 +144,12 @@ class Join:
         self.kind = dict(self.rows.dtypes)["_id"]
         self.width, self.percent, self.hot_docs, self.bits = width, percent, hot_docs, filter_bits
         self.spark = docs.sparkSession
+        bounded(self.spark)
 
     def of(self, ids: DataFrame) -> DataFrame:
         """The texts of ids (and few others), found beside the scan."""
         key = F.xxhash64("_id")
-        return marked(self.rows, key, bitmap_of(ids, key, HOT_BITS), HOT_BITS).where("_marked AND _id IS NOT NULL").select("_id", "_text")
+        return marked(self.rows, key, bitmap_of(ids, key, ID_BITS), ID_BITS).where("_marked AND _id IS NOT NULL").select("_id", "_text")
 
     def repeated(self) -> DataFrame:
         """Rows of tokens that two documents have; others are dropped beside the scan, nearly all. So are rows
@@ -196,7 +199,7 @@ class Join:
     def needed(self, rows: DataFrame, pairs: DataFrame) -> DataFrame:
         """The rows of the documents of pairs (and few others)."""
         key = F.xxhash64("_id")
-        return marked(rows, key, bitmap_of(self.ids(pairs), key, HOT_BITS), HOT_BITS).where("_marked").drop("_marked")
+        return marked(rows, key, bitmap_of(self.ids(pairs), key, ID_BITS), ID_BITS).where("_marked").drop("_marked")
 
     def beside(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
         """Pairs (a, b, ...) with the parts of both sets, a row for each fragment of the order."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from cuelake.llm.contexts import Automaton, counted, grams, levels_of, small_batches, stream
+from cuelake.llm.contexts import Automaton, bounded, counted, grams, levels_of, small_batches, stream
 
 UNKNOWN = "und"
 
@@ -103,6 +103,7 @@ def identify(docs: DataFrame, model: dict[str, list], id_col: str = "doc_id", te
     letter, and any text where nothing was learned, is `und` with score 0. No shuffle. An empty
     table gives no rows; other columns are not read.
     """
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast({"levels": model})
     keep = ["_id", *(carry or [])]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(carry or []))

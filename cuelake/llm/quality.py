@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.contexts import small_batches
+from cuelake.llm.contexts import bounded, small_batches
 from cuelake.llm.words import mixed, split_by, text_bytes, words_of
 from cuelake.staging import written
 
@@ -157,6 +157,7 @@ def quality_score(
     Without labels of both kinds the score is that kind's value, or 0.5 with none at all. Rows that
     repeat score alike; an empty table gives no rows.
     """
+    bounded(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = dict(rows.dtypes)["_id"]
     stats = written(rows.mapInArrow(_features, f"_id {kind}, _f array<float>"), "quality-features")

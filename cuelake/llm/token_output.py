@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.contexts import small_batches
+from cuelake.llm.contexts import bounded, small_batches
 from cuelake.llm.rans import Table
 from cuelake.llm.words import ranges
 from cuelake.staging import shared_dir, written
@@ -218,6 +218,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: s
     rows that repeat an id stay next to each other, each with its own ids.
     """
     spark = docs.sparkSession
+    bounded(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = dict(rows.dtypes)["_id"]
     given = spark.sparkContext.broadcast({"tokenizer": tokenizer})
