@@ -181,13 +181,13 @@ class Bpe:
         return out
 
 
-def _run(shared, decode: bool):
+def _run(shared, decode: bool, batch_bytes: int = 2 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         if "ready" not in held:
-            held["ready"] = Bpe(held["ranks"], held["pattern"])
+            held["ready"] = Bpe(held["ranks"], held["pattern"], held["most"])
         bpe = held["ready"]
-        for batch in small_batches(batches, "_text", 2 << 20):
+        for batch in small_batches(batches, "_text", batch_bytes):
             ids, counts = bpe.encode(batch.column("_text"))
             data, ends = ids.astype("<u4"), np.cumsum(counts)
             columns = {"_id": batch.column("_id"), "n_tokens": pa.array(counts)}
@@ -199,12 +199,15 @@ def _run(shared, decode: bool):
     return run
 
 
-def bpe_encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+def bpe_encode(
+    docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, batch_bytes: int = 2 << 20, pieces: int = 300_000
+) -> DataFrame:
     """One row per input row: id, n_tokens, ids (little-endian, four bytes each) and, if asked, decoded
     (the bytes that the ids stand for).
 
     ranks: the content of a rank file (base64 of a token, its rank); pattern: what cuts a text into
-    pieces that are merged apart. Whole texts are encoded where they are, nothing is shuffled. Pieces
+    pieces that are merged apart. `batch_bytes` of text at a time and `pieces` held at hand bound a worker's
+    memory, for some more time if they are smaller. Whole texts are encoded where they are, nothing is shuffled. Pieces
     are encoded once while a worker holds them; DuckDB sees those that are new, some ten thousand at
     a time, and has one thread and a memory limit, which grows with a very long piece.
 
@@ -212,7 +215,7 @@ def bpe_encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_i
     Rows that repeat are encoded alike; an empty table gives no rows.
     """
     bounded(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast({"ranks": ranks, "pattern": pattern})
+    shared = docs.sparkSession.sparkContext.broadcast({"ranks": ranks, "pattern": pattern, "most": pieces})
     rows = docs.selectExpr(f"`{id_col}` AS _id", f"`{text_col}` AS _text")
     schema = f"_id {dict(rows.dtypes)['_id']}, n_tokens long, ids binary" + ", decoded binary" * decode
-    return rows.mapInArrow(_run(shared, decode), schema).withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(_run(shared, decode, batch_bytes), schema).withColumnRenamed("_id", id_col)
