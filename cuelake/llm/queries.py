@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelake.llm.ball_tree import clustered
 from cuelake.llm.bpe import bpe_encode
 from cuelake.llm.decontaminate import contained_items
 from cuelake.llm.exact_dedup import exact_dedup
 from cuelake.llm.jaccard_join import near_duplicates
 from cuelake.llm.language_id import held_out, identify
 from cuelake.llm.language_id import train as train_languages
+from cuelake.llm.license_scan import license_scan
 from cuelake.llm.line_dedup import line_dedup
 from cuelake.llm.pii import sanitise
+from cuelake.llm.prefix_trie import conversation_trie
 from cuelake.llm.quality import quality_score
 from cuelake.llm.suffix_tree import lm_score
 from cuelake.llm.token_output import read_tokens, token_folder, write_tokens
@@ -81,6 +84,18 @@ def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return contained_items(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return conversation_trie(table(spark, d, "conversations"))
+
+
+def op12_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return license_scan(table(spark, d, "documents"))
+
+
+def op13_ball_tree(spark: SparkSession, d: str) -> DataFrame:
+    return clustered(table(spark, d, "embeddings"))
+
+
 OP1_SQL = r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 lines AS (SELECT doc_id, i, lines[i] AS line,
@@ -112,6 +127,49 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
+#: CRC-32 by its bitwise rule, as DuckDB has no such function.
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, turn, strlen(text) AS bytes, sha256(strlen(role) || ':' || role || text) AS key FROM t),
+o AS (SELECT conv_id, list({'key': key, 'bytes': bytes} ORDER BY turn NULLS FIRST, key) AS own FROM k GROUP BY conv_id),
+h AS (SELECT *, conv_id - conv_id % 5 AS head,
+             xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                             lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, _: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 9 AS h FROM o),
+r AS (SELECT a.conv_id, coalesce(b.own[1:a.h], []) || a.own[a.h + 1:] AS turns FROM h a LEFT JOIN o b ON b.conv_id = a.head),
+p AS (SELECT conv_id, d AS depth, list_transform(turns[1:d], lambda x: x.key) AS path, turns[d].bytes AS bytes, len(turns) = d AS ends
+      FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(bytes), 0) AS bytes,
+                 sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY path, depth),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT n.*, coalesce(kids.n, 0) AS n_children FROM nodes n LEFT JOIN kids USING (path)),
+sums AS (SELECT path[1:d] AS path, d AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens
+         FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM full_nodes) GROUP BY ALL)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN sums s ON s.path = n.path AND s.depth = n.depth
+LEFT JOIN nodes up ON up.depth = n.depth - 1 AND up.path = n.path[1:n.depth - 1]
+"""
+
+_NEAREST = """
+a{i} AS (SELECT vec_id, v, arg_min(k, d * 16 + k) AS k, min(d)::BIGINT AS distance
+         FROM (SELECT vec_id, v, k, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v CROSS JOIN c{i}) GROUP BY vec_id, v),"""
+_MOVED = """
+s{i} AS (SELECT k, j, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, unnest(range(1, 65)) AS j FROM a{i}) GROUP BY k, j),
+m{i} AS (SELECT k, list((CASE WHEN s < 0 THEN -((n - 1 - s) // n) ELSE s // n END)::BIGINT ORDER BY j) AS c FROM s{i} GROUP BY k),
+c{j} AS (SELECT k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k)),"""
+OP13_SQL = (
+    """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS k, v AS c FROM (SELECT v, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT 16)),"""
+    + "".join(_NEAREST.format(i=i) + _MOVED.format(i=i, j=i + 1) for i in range(3))
+    + _NEAREST.format(i=3).rstrip(",")
+    + """
+SELECT vec_id, a3.k::INTEGER AS "cluster", distance, sum(distance) OVER (PARTITION BY a3.k)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (k)
+"""
+)
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -125,8 +183,11 @@ def queries() -> dict[str, Query]:
         "op8_pii": op8_pii,
         "op9_bpe": op9_bpe,
         "op10_decontamination": op10_decontamination,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_license_scan": op12_license_scan,
+        "op13_ball_tree": op13_ball_tree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op10_decontamination": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_ball_tree": OP13_SQL}

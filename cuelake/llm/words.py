@@ -63,10 +63,10 @@ class Words:
         return [data[a:b] for a, b in zip((begins - begins[0]).tolist(), (ends - begins[0]).tolist(), strict=True)]
 
 
-def words_of(texts: pa.Array) -> Words:
-    """Runs of other characters than ASCII white space, A-Z lower-cased; null as empty."""
+def words_of(texts: pa.Array, breaks: np.ndarray = _WHITE) -> Words:
+    """Runs of other bytes than `breaks` (ASCII white space), A-Z lower-cased; null as empty."""
     data, at = text_bytes(pc.ascii_lower(texts))
-    solid = ~_WHITE[data]
+    solid = ~breaks[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     inner = at[1:-1][at[1:-1] < len(data)]
