@@ -126,6 +126,14 @@ def grouped(spark: SparkSession, d: str) -> DataFrame:
     return faces.grouped(_faces(spark, d).where(faces.clear()).select("id", "episode").join(e, "id"))
 
 
+def unlike(spark: SparkSession, d: str) -> DataFrame:
+    """Three groups of unlike tightness in each episode of 150 vectors: around one axis a twentieth as wide as around another."""
+    width = F.element_at(F.array(F.lit(0.05), F.lit(0.3), F.lit(1.0)), (F.col("vec_id") % 3 + 1).cast("int"))
+    planted = F.transform("embedding", lambda x, i: x.cast("double") * width + F.when(i == F.col("vec_id") % 3, 3.0).otherwise(0.0))
+    e = _emb(spark, d).select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 150).alias("episode"), planted.alias("embedding"))
+    return faces.grouped(e)
+
+
 def trained(spark: SparkSession, d: str) -> DataFrame:
     """V7 + V8: a tag trained from marks, then every vector scored."""
     emb = _emb(spark, d).select(F.col("vec_id").alias("path"), "embedding")
@@ -138,7 +146,7 @@ def trained(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "t2_search": search, "v8_scores": scores, "a6_centres": centres, "j15_nearest": nearest, "f13_vectors": norms, "p15_clear_faces": clear_faces, "a10_faces_per_shot": faces_per_shot, "f12_face_boxes": face_boxes,
     "w12_numbered_groups": numbered_groups, "w13_sampled": sampled, "a12_majority_names": majority_names, "a16_group_summary": group_summary, "j18_people": people, "m4_named_marks": named_marks,
-    "a14_label_results": label_results, "a3_progress": progress, "j17_wrong_marks": wrong_marks, "v9_grouped": grouped, "v7_trained": trained,
+    "a14_label_results": label_results, "a3_progress": progress, "j17_wrong_marks": wrong_marks, "v9_grouped": grouped, "v9_unlike": unlike, "v7_trained": trained,
 }
 
 
@@ -165,6 +173,7 @@ SQL = {
     "p15_clear_faces": FACES + "SELECT id FROM f WHERE score >= 0.6 AND h >= 0.03",
     "v9_grouped": FACES + """, c AS (SELECT f.id, e.label % 2 AS g FROM f JOIN embeddings e ON e.vec_id = f.id WHERE score >= 0.6 AND h >= 0.03),
         r AS (SELECT g, row_number() OVER (ORDER BY count(*) DESC, min(id)) AS cluster FROM c GROUP BY 1 HAVING count(*) >= 25) SELECT id, cluster FROM c JOIN r USING (g)""",
+    "v9_unlike": "WITH r AS (SELECT vec_id % 3 AS g, row_number() OVER (ORDER BY count(*) DESC, min(vec_id)) AS cluster FROM embeddings GROUP BY 1) SELECT vec_id AS id, cluster FROM embeddings JOIN r ON g = vec_id % 3",
     "a10_faces_per_shot": FACES + "SELECT d.doc_id AS path, count(f.id) FILTER (score >= 0.6 AND h >= 0.03) AS faces, round(coalesce(max(w * h) FILTER (score >= 0.6 AND h >= 0.03), 0), 6) AS largest FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN f ON f.path = d.doc_id GROUP BY 1",
     "f12_face_boxes": FACES + """, b AS (SELECT id, id % 90 / 100 AS x, id % 70 / 100 AS y, w, h FROM f)
         SELECT id, CAST(least(greatest(round_even((x - w * 0.25::DOUBLE) * 640, 0), 0), 640) AS BIGINT) AS "left", CAST(least(greatest(round_even((y - h * 0.25::DOUBLE) * 480, 0), 0), 480) AS BIGINT) AS top,

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cuelake.operators import vectors
-from cuelake.operators.components import components
+from cuelake.operators.density import density_groups
 from cuelake.operators.shots import seeded
 from cuelake.operators.vectors import centres
 from cuelake.staging import written
@@ -96,100 +92,18 @@ def people(faces: DataFrame, labelled: DataFrame) -> DataFrame:
     return a.join(b, "person", "left").select("person", "named", F.coalesce("found", F.lit(0)).cast("long").alias("found"))
 
 
-def _block_pairs(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (key, id, vec, core) in blocks of about `size` of a key, each block beside every later one and itself:
-    (a, b, ids_a, ids_b, vecs_a, vecs_b, core_a, core_b). A key of very many rows has many pairs of blocks, each a row of its own."""
-    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / size).alias("blocks"))
-    dealt = rows.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    held = written(dealt.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("id", "vec", "core")).alias("r")), "face-blocks")
-    columns = lambda side: (F.col(f"r.{c}").alias(f"{c}_{side}") for c in ("id", "vec", "core"))
-    left = held.withColumn("b", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select("key", F.col("block").alias("a"), "b", *columns("a"))
-    right = held.select("key", F.col("block").alias("b"), *columns("b"))
-    return left.join(right, ["key", "b"]).drop("key")
-
-
-def _alike(pdf: pd.DataFrame, least: float) -> Iterator[tuple]:
-    for r in pdf.itertuples(index=False):
-        x, y = (np.stack(v).astype(np.float64) for v in (r.vec_a, r.vec_b))
-        s = x @ y.T
-        yield r, s, s >= least
-
-
-def _neighbours(least: float):
-    """How many rows of the other block each row is like, itself included."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r, _, near in _alike(pdf, least):
-                yield pd.DataFrame({"id": r.id_a, "n": near.sum(axis=1)})
-                if r.a != r.b:
-                    yield pd.DataFrame({"id": r.id_b, "n": near.sum(axis=0)})
-
-    return run
-
-
-def _joined(least: float):
-    """Edges (a, b, s): of core rows to one row of their part of the two blocks, s null; of others to the core row most alike."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r, s, near in _alike(pdf, least):
-                ids = np.concatenate([r.id_a, r.id_b])
-                core = np.concatenate([r.core_a, r.core_b]).astype(bool)
-                n = len(r.id_a)
-                both = near & core[:n, None] & core[None, n:]
-                label = np.arange(len(ids))
-                while True:
-                    a = np.minimum(label[:n], np.where(both, label[None, n:], len(ids)).min(axis=1))
-                    b = np.minimum(label[n:], np.where(both, a[:, None], len(ids)).min(axis=0))
-                    new = np.concatenate([a, b])
-                    if (new == label).all():
-                        break
-                    label = new
-                linked = np.flatnonzero(core & (label != np.arange(len(ids))))
-                yield pd.DataFrame({"a": ids[linked], "b": ids[label[linked]], "s": np.nan})
-                for own, other, like in ((slice(0, n), slice(n, None), s), (slice(n, None), slice(0, n), s.T)):
-                    like = np.where(core[other][None, :], like, -2.0)
-                    best = like.argmax(axis=1)
-                    some = np.flatnonzero(~core[own] & (like[np.arange(len(best)), best] >= least))
-                    yield pd.DataFrame({"a": ids[own][some], "b": ids[other][best[some]], "s": like[some, best[some]]})
-
-    return run
-
-
-def density_groups(rows: DataFrame, few: int, least: float, size: int = 1024) -> DataFrame:
-    """Rows (key, id, vec of unit length) to (id, group): groups by density within each key; what is in none is left out.
-
-    A row is core if `few` rows, itself included, have a cosine of `least` with it. Core rows that are that
-    alike are in one group, named after its smallest id, as are other rows with the core row most alike to them.
-    All rows of a key are compared, in pairs of blocks spread over the cluster; what a pair gives is linear in
-    its rows, and groups are joined by labels that spread along the edges.
-    """
-    kind = dict(rows.dtypes)["id"]
-    pairs = _block_pairs(rows.withColumn("core", F.lit(False)), size)
-    counts = written(pairs.mapInPandas(_neighbours(least), f"id {kind}, n long").groupBy("id").agg(F.sum("n").alias("n")), "face-neighbours")
-    marked = rows.join(counts, "id").withColumn("core", F.col("n") >= few)
-    edges = written(_block_pairs(marked.select("key", "id", "vec", "core"), size).mapInPandas(_joined(least), f"a {kind}, b {kind}, s double"), "face-edges")
-    edges = edges.withColumn("s", F.when(~F.isnan("s"), F.col("s")))
-    alone = marked.where("core").select(F.col("id").alias("a"), F.col("id").alias("b"))
-    labels = components(edges.where("s IS NULL").select("a", "b").union(alone))
-    border = edges.where("s IS NOT NULL").groupBy("a").agg(F.max_by("b", F.struct("s", "b")).alias("node")).join(labels, "node")
-    return labels.select(F.col("node").alias("id"), F.col("label").alias("group")).unionByName(border.select(F.col("a").alias("id"), F.col("label").alias("group")))
-
-
-def grouped(faces: DataFrame, within: int = 5, across: int = 3, least: int = 25, column: str = "embedding", alike: float = 0.45, alike_centres: float = 0.6) -> DataFrame:
+def grouped(faces: DataFrame, within: int = 5, across: int = 3, least: int = 25, column: str = "embedding") -> DataFrame:
     """V9: clear faces (id, episode, vector) to (id, cluster): density groups inside each episode of `within` faces
-    or more, then of their centres (`across` at least) over all episodes; groups of fewer than `least` faces go, the others
-    are numbered from the largest. `alike` and `alike_centres` are cosines, as a graph of a set radius takes the
-    place of a tree of all radii, which no cluster could share out.
+    or more, then of their centres (`across` at least) over all episodes, both chosen from the tree of all radii; groups
+    of fewer than `least` faces go, the others are numbered from the largest. Rows without a vector, or with a zero one, have no group.
     """
     unit = lambda v: vectors.normalised(F.transform(v, lambda x: x.cast("double")))
-    rows = faces.where(F.col(column).isNotNull()).select(F.col("episode").alias("key"), "id", unit(F.col(column)).alias("vec"))
+    rows = written(faces.select(F.col("episode").alias("key"), "id", unit(F.col(column)).alias("vec")).where("vec IS NOT NULL"), "face-rows")
     enough = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= within).select("key")
-    parts = written(density_groups(rows.join(enough, "key"), within, alike), "face-parts")
-    middle = centres(parts.join(faces.select("id", column), "id"), "group", column)
-    middle = middle.select(F.lit(0).alias("key"), F.col("group").alias("id"), unit(F.col("centre")).alias("vec"))
-    clusters = density_groups(written(middle, "face-centres"), across, alike_centres).select(F.col("id").alias("group"), F.col("group").alias("cluster"))
+    parts = density_groups(rows.join(enough, "key"), within)
+    parts = written(parts.join(rows.select("id", "vec"), "id").select("id", "group", "vec"), "face-parts")
+    middle = written(centres(parts, "group", "vec").select(F.lit(0).alias("key"), F.col("group").alias("id"), F.col("centre").alias("vec")), "face-centres")
+    clusters = density_groups(middle, across).select(F.col("id").alias("group"), F.col("group").alias("cluster"))
     found = written(parts.join(clusters, "group").select("id", "cluster"), "face-clusters")
     numbers = numbered_groups(found, "cluster", least)
     return found.join(numbers, "cluster").select("id", F.col("number").alias("cluster"))

@@ -70,11 +70,42 @@ def scores(rows: DataFrame, coefs: dict[str, tuple[list[float], float]], key: st
     return rows.where(F.col(column).isNotNull()).select(key, column).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, tag string, prob double")
 
 
-def centres(rows: DataFrame, group: str, column: str = "embedding") -> DataFrame:
-    """The mean vector of each group, of unit length. Means are partial aggregates, so a large group is no hot spot."""
-    means = rows.select(group, F.posexplode(column).alias("pos", "x")).groupBy(group, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    gathered = means.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("r"))
-    return gathered.select(group, normalised(F.col("r.m")).alias("centre"))
+def centres(rows: DataFrame, group: str, column: str = "embedding", most: int = 4096) -> DataFrame:
+    """The mean vector of each group, of unit length (null for a mean of zero). Null vectors count for nothing.
+
+    Each task sums whole vectors, so that a group has a row for each task (or for each `most` groups that a task
+    meets), however many vectors it has; these rows are all that is shuffled.
+    """
+    kind = dict(rows.dtypes)[group]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [{"g": g, "n": n, "sums": x} for g, (n, x) in sums.items()]
+            sums.clear()
+            return pa.RecordBatch.from_pylist(rows, pa.schema([("g", group_type), ("n", pa.int64()), ("sums", pa.list_(pa.float64()))]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group_type = batch.schema.field(0).type
+            encoded = batch.column(0).dictionary_encode(null_encoding="encode")
+            codes, v = encoded.indices.to_numpy(), _matrix(batch.column(1))
+            part, n = np.zeros((len(encoded.dictionary), v.shape[1])), np.bincount(codes, minlength=len(encoded.dictionary))
+            np.add.at(part, codes, v)
+            for k, g in enumerate(encoded.dictionary.to_pylist()):
+                before = sums.get(g, (0, 0.0))
+                sums[g] = (before[0] + int(n[k]), before[1] + part[k])
+            if len(sums) >= most:
+                yield out()
+        if sums:
+            yield out()
+
+    parts = rows.where(F.col(column).isNotNull()).select(group, column).mapInArrow(summed, f"g {kind}, n long, sums array<double>")
+    gathered = parts.groupBy("g").agg(F.sum("n").alias("n"), F.collect_list("sums").alias("s"))
+    total = F.aggregate("s", F.transform(F.get("s", F.lit(0)), lambda x: x * 0), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    return gathered.select(F.col("g").alias(group), normalised(F.transform(total, lambda x: x / F.col("n"))).alias("centre"))
 
 
 def nearest(rows: DataFrame, named: list[tuple[str, list[float]]], key: str, least: float, column: str = "embedding", refused: DataFrame | None = None) -> DataFrame:

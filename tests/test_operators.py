@@ -159,31 +159,6 @@ def test_planted_groups_are_found(spark):
     assert len(found) > 0.9 * len(rows) and len(pairs) == 3
 
 
-def test_density_groups_equal_brute_force(spark):
-    rng = np.random.default_rng(3)
-    x = rng.standard_normal((150, 3))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    keys = rng.integers(0, 2, len(x))
-    df = spark.createDataFrame([(int(k), i, [float(c) for c in v]) for i, (k, v) in enumerate(zip(keys, x, strict=True))], "key long, id long, vec array<double>")
-    near = (x @ x.T >= 0.93) & (keys[:, None] == keys[None, :])
-    core, want = near.sum(axis=1) >= 6, {}
-    for i in np.flatnonzero(core):
-        seen, todo = {i}, [i]
-        while todo:
-            for j in np.flatnonzero(near[todo.pop()] & core):
-                if j not in seen:
-                    seen.add(j), todo.append(j)
-        want[i] = min(seen)
-    for i in np.flatnonzero(~core):
-        like = np.where(near[i] & core, x @ x[i], -2)
-        if like.max() > -2:
-            want[i] = want[like.argmax()]
-    assert len(set(want.values())) > 2 and len(want) < len(x) and (~core).sum() > 0
-    for size in (8, 1024):
-        assert {r["id"]: r["group"] for r in faces.density_groups(df, 6, 0.93, size).collect()} == want
-    assert faces.density_groups(df.limit(0), 6, 0.93).count() == 0
-
-
 def test_too_few_marks_train_nothing(spark):
     marks = spark.createDataFrame([(i, 1) for i in range(4)], "path long, label int")
     assert tags.train(marks, marks.select("path").limit(0), marks.select("path")) is None
