@@ -6,15 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Number words that the material uses, by value.
-NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen"]
-TEENS = ["fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
+NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
+NUMBER_WORDS += ["eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
 TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
 def counting(limit: int = 99) -> dict[str, int]:
     """Number words up to `limit`, tens and units run together."""
-    words = {w: i for i, w in enumerate(NUMBER_WORDS + TEENS)}
+    words = {w: i for i, w in enumerate(NUMBER_WORDS)}
     for i, ten in enumerate(TENS, 2):
         words[ten] = 10 * i
         words |= {ten + unit: 10 * i + k for k, unit in enumerate(NUMBER_WORDS[1:10], 1)}
@@ -72,9 +71,23 @@ def parse_offset(text: Column) -> Column:
     return F.when(text.rlike(r"^[0-9]+:[0-9]+:[0-9]+(\.[0-9]+)?$"), parse_clock(text)).when(unit != "", number * scale)
 
 
+def decomposed(text: Column) -> Column:
+    """V4: letters without their accents, ligatures and wide forms as plain letters (compatibility decomposition); what else is not ASCII goes.
+    Each distinct text of a batch is looked at once, plain ASCII not at all."""
+
+    @F.pandas_udf("string")
+    def run(texts):
+        import unicodedata
+
+        known = {t: t if t.isascii() else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts.dropna().unique()}
+        return texts.map(known).astype(object).where(texts.notna(), None)
+
+    return run(text)
+
+
 def name_words(text: Column, prefix: str = "") -> Column:
     """the words that tell a name apart: accents, marks and small words dropped."""
-    plain = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), "æ", "ae"), "&", " and "), "_", " "), ACCENTED, PLAIN)
+    plain = decomposed(F.replace(F.replace(F.replace(F.lower(text), F.lit("æ"), F.lit("ae")), F.lit("&"), F.lit("and")), F.lit("_"), F.lit(" ")))
     plain = F.regexp_replace(plain, "^" + prefix, "") if prefix else plain
     kept = F.split(F.regexp_replace(plain, "[^a-z0-9 ]", ""), " ")
     return F.filter(kept, lambda w: ~w.isin("", "the", "a", "an", "of", "and"))

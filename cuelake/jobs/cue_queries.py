@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake import streaming
 from cuelake.functions import text as tx
+from cuelake.jobs import sql
 from cuelake.operators import cues, transcript
 from cuelake.staging import table
 
@@ -240,6 +241,18 @@ SQL = {
         p AS (SELECT ep, ord, flatten(list_transform(ws, lambda v: CASE WHEN length(v.s) <= 80 THEN [v.s] WHEN len(list_filter(v.cl, lambda y: length(y) > 80)) = 0 THEN v.cl ELSE v.w END)) AS parts FROM w),
         r AS (SELECT ep, ord, list_filter(string_split({_PACK("parts", f"length({_LAST}) + length(x) < 80 AND NOT regexp_matches({_LAST}, '[?!]$')")}, chr(10)), lambda y: y <> '') AS pieces FROM p)
         SELECT ep, ord, CAST(unnest(range(len(pieces))) AS INT) AS piece, unnest(pieces) AS text FROM r""",
+    "j16_aligned": r"""
+WITH RECURSIVE n AS (SELECT unnest(['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen']) AS w, unnest(range(20)) AS v),
+t AS (SELECT unnest(['twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety']) AS w, unnest(range(2, 10)) * 10 AS v),
+num AS (SELECT * FROM n UNION ALL SELECT * FROM t UNION ALL SELECT t.w || n.w, t.v + n.v FROM t, n WHERE n.v BETWEEN 1 AND 9),
+parts AS (SELECT conv_id AS ep, turn, role, regexp_split_to_array(text, '\s+') AS ws FROM conversations),
+plain AS (SELECT ep, role, turn * 100000 + pos AS place, regexp_replace(lower(w), '[^a-z0-9]', '', 'g') AS w FROM (SELECT ep, turn, role, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM parts)),
+words AS (SELECT ep, role, place, coalesce(CAST(num.v AS VARCHAR), plain.w) AS key FROM plain LEFT JOIN num USING (w) WHERE plain.w <> ''),
+a AS (SELECT ep, place AS i, key, row_number() OVER (PARTITION BY ep ORDER BY place) - 1 AS x FROM words WHERE role = 'user'),
+b AS (SELECT ep, place AS j, key, row_number() OVER (PARTITION BY ep ORDER BY place) - 1 AS y FROM words),
+""" + sql.LONGEST_BLOCKS + """,
+found AS (SELECT ep, best.x + k AS x, best.y + k AS y FROM (SELECT *, unnest(range(0, -best.neg)) AS k FROM blocks))
+SELECT ep, i, j FROM found JOIN a USING (ep, x) JOIN b USING (ep, y)""",
     "w7_spoken_lines": r"""
         WITH s AS (SELECT conv_id AS ep, turn, role, string_split(text, chr(10)) AS ls FROM conversations),
         u AS (SELECT ep, turn, role, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM s),

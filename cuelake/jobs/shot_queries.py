@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cuelake.functions import text as tx
+from cuelake.jobs import sql
 from cuelake.operators import catalogue, shots, tags
 from cuelake.staging import table
 
@@ -292,7 +293,8 @@ def fuzzy(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     words = tx.name_words(F.col("p_name"))
     season = F.col("p_partkey") % max(500, -(-p.count() // 4))
-    folders = p.select(season.alias("season"), F.col("p_type").alias("folder"), tx.name_words(F.concat_ws(" ", "p_type", "p_name")).alias("words"))
+    folder = F.concat(F.lpad((F.col("p_partkey") % 30).cast("string"), 2, "0"), F.lit(" - "), "p_type", F.lit(" "), "p_name", F.lit(" 19"), F.col("p_partkey") % 70 + 10)
+    folders = p.select(season.alias("season"), F.col("p_type").alias("folder"), catalogue.folder_words(folder).alias("words"))
     serials = p.select(season.alias("season"), F.col("p_name").alias("serial"), words.alias("words"))
     return catalogue.fuzzy_matched(folders, serials, 0.4).select("season", "folder", "serial", F.round("ratio", 6).alias("ratio"))
 
@@ -362,6 +364,19 @@ SQL = {
     "u4_weak_negatives": "WITH w AS (SELECT doc_id AS path FROM documents WHERE doc_id IS NOT NULL ORDER BY md5('0|' || doc_id), doc_id LIMIT 300) SELECT path FROM w WHERE path NOT IN (SELECT doc_id FROM labels)",
     "m6_label_edits": LABELS + ", e AS (SELECT *, 1 AS seq FROM lab UNION ALL SELECT tag, path, CASE WHEN path % 2 = 0 THEN 1 - label END, 2 FROM lab WHERE path % 3 = 0) SELECT tag, path, label FROM (SELECT *, row_number() OVER (PARTITION BY tag, path ORDER BY seq DESC) AS k FROM e) WHERE k = 1 AND label IS NOT NULL",
     "t4_candidates": PROBS + "SELECT path, round(abs(prob - 0.5), 6) AS rank FROM probs WHERE tag = 'quality' AND path NOT IN (SELECT doc_id FROM labels) ORDER BY abs(prob - 0.5), path LIMIT 60",
+    "j6_fuzzy_match": r"""
+        WITH RECURSIVE p AS (SELECT *, p_partkey % greatest(500, CAST(ceil(count(*) OVER () / 4) AS BIGINT)) AS season FROM part),
+        texts AS (SELECT season, p_type AS folder, NULL::VARCHAR AS serial, regexp_replace(lpad(CAST(p_partkey % 30 AS VARCHAR), 2, '0') || ' - ' || p_type || ' ' || p_name || ' 19' || (p_partkey % 70 + 10), '^([0-9]+ - |S[0-9]+ [0-9]+ )', '') AS t FROM p
+                  UNION ALL SELECT season, NULL, p_name, p_name FROM p),
+        split AS (SELECT season, folder, serial, list_filter(string_split(regexp_replace(lower(t), '[^a-z0-9 ]', '', 'g'), ' '), lambda w: w NOT IN ('', 'the', 'a', 'an', 'of', 'and')) AS ws FROM texts),
+        folders AS (SELECT DISTINCT season, folder, CASE WHEN len(list_filter(ws, lambda w: NOT regexp_full_match(w, '[0-9]+'))) > 0 THEN list_filter(ws, lambda w: NOT regexp_full_match(w, '[0-9]+')) ELSE ws END AS ws FROM split WHERE folder IS NOT NULL),
+        serials AS (SELECT DISTINCT season, serial, ws FROM split WHERE serial IS NOT NULL),
+        both_sides AS (SELECT row_number() OVER () AS ep, season, folder, serial, s.ws AS sw, f.ws AS fw FROM folders f JOIN serials s USING (season)),
+        a AS (SELECT ep, unnest(sw) AS key, unnest(range(len(sw))) AS x FROM both_sides),
+        b AS (SELECT ep, unnest(fw) AS key, unnest(range(len(fw))) AS y FROM both_sides),""" + sql.LONGEST_BLOCKS + """,
+        shared AS (SELECT ep, sum(-best.neg) AS n FROM blocks GROUP BY ep),
+        scored AS (SELECT season, folder, serial, CASE WHEN len(sw) + len(fw) = 0 THEN 1 ELSE 2 * coalesce(n, 0)::DOUBLE / (len(sw) + len(fw)) END AS ratio FROM both_sides LEFT JOIN shared USING (ep))
+        SELECT season, folder, serial, round(ratio, 6) AS ratio FROM scored WHERE ratio >= 0.4 QUALIFY row_number() OVER (PARTITION BY season, folder ORDER BY ratio DESC, serial) = 1""",
     "j7_cards": PROBS + """, m AS (SELECT p.tag, p.path FROM probs p LEFT JOIN lab l ON l.tag = p.tag AND l.path = p.path WHERE coalesce(l.label = 1, p.prob >= 0.5)),
         t AS (SELECT path, string_agg(tag, ',' ORDER BY tag) AS tags FROM m GROUP BY 1), f AS (SELECT vec_id % 900 AS path, string_agg(vec_id || ':' || label, ',' ORDER BY vec_id) AS faces FROM embeddings GROUP BY 1),
         s AS (SELECT doc_id AS path, 'lib/' || source || '/' || lang || '/' || lpad(CAST(doc_id % 40 AS VARCHAR), 2, '0') || ' - ' || (doc_id % 7) AS dir FROM documents WHERE doc_id IS NOT NULL)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cuelake.functions.text import number_map
+from cuelake.functions.text import name_words, number_map
+from cuelake.operators.alignment import matches
+from cuelake.staging import written
 
 
 def _part(text: Column) -> Column:
@@ -117,10 +118,15 @@ def gated(frames: DataFrame, failed: Column, share: int = 20) -> tuple[DataFrame
 
 
 def seq_ratio(a: Column, b: Column) -> Column:
-    """V1: how alike two arrays are, 2 x matches of all elements; 1 for two empty ones, null for a null."""
+    """V1: how alike two arrays are, 2 x the elements of their longest common blocks of all elements; 1 for two empty ones, null for a null."""
 
     def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, list(x), list(y), autojunk=False).ratio() for x, y in zip(xs, ys, strict=True)], dtype="float64")
+        known = (xs.notna() & ys.notna()).to_numpy()
+        x, y = ([list(v) for v in side[known]] for side in (xs, ys))
+        sizes = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)])
+        out = np.full(len(xs), np.nan)
+        out[known] = np.where(sizes > 0, 2 * matches(x, y) / np.maximum(sizes, 1), 1.0)
+        return pd.Series(out).where(known, None)
 
     return F.pandas_udf(run, "double")(a, b)
 
@@ -165,15 +171,48 @@ def matched(files: DataFrame, episodes: DataFrame) -> DataFrame:
     return j.withColumns({"episode": F.coalesce("_a", "_b"), "reason": reason}).drop("_a", "_b")
 
 
+def folder_words(folder: Column, prefix: str = "") -> Column:
+    """The words of a serial's folder: without a leading number (`01 - `, `S1 02 `) and without words of digits, if any others are left."""
+    words = name_words(F.regexp_replace(folder, r"^([0-9]+ - |S[0-9]+ [0-9]+ )", ""), prefix)
+    others = F.filter(words, lambda w: ~w.rlike("^[0-9]+$"))
+    return F.when(F.size(others) > 0, others).otherwise(words)
+
+
+def _indexed(side: DataFrame, name: str, counts: DataFrame, least: float) -> DataFrame:
+    """(season, name, words, tokens) to a row for each of its first tokens, rarest first. Of two lists that are alike enough, these have one in common."""
+    tokens = side.select("season", name, "words", F.explode("tokens").alias("token")).join(counts, ["season", "token"])
+    rows = tokens.groupBy("season", name, "words").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
+    n = F.size("t")
+    first = F.slice("t", F.lit(1), (n - F.ceil(n * (least / (2 - least)) - 1e-9) + 1).cast("int"))
+    return rows.select("season", name, "words", F.explode(first).alias("f")).select("season", name, "words", F.col("f.token").alias("token"))
+
+
+def fuzzy_candidates(folders: DataFrame, serials: DataFrame, least: float) -> DataFrame:
+    """Pairs (season, folder, words, serial, _w) of distinct rows whose ratio may reach `least`: an index of rare words brings them
+    together, and they have enough words in common, repeated ones counted. What is not here can't reach it."""
+    if not 0 < least <= 1:
+        raise ValueError("least is a ratio above 0")
+    again = lambda words: F.transform(words, lambda w, i: F.concat(w, F.lit("#"), F.size(F.filter(F.slice(words, F.lit(1), i), lambda x: x == w)).cast("string")))
+    tokens = F.when(F.size("words") > 0, again(F.col("words"))).otherwise(F.array(F.lit("")))
+    sides = [written(x.where("words IS NOT NULL").select("season", name, "words").distinct().withColumn("tokens", tokens), "names") for x, name in ((folders, "folder"), (serials, "serial"))]
+    each = [x.select("season", F.explode("tokens").alias("token")) for x in sides]
+    counts = written(each[0].unionByName(each[1]).groupBy("season", "token").agg(F.count("*").alias("n")), "word-counts")
+    a, b = (_indexed(x, name, counts, least) for x, name in zip(sides, ("folder", "serial"), strict=True))
+    met = a.join(b.withColumnRenamed("words", "_w"), ["season", "token"]).select("season", "folder", "words", "serial", "_w")
+    la, lb = F.size("words"), F.size("_w")
+    enough = lambda n: 2 * n >= least * (la + lb) - 1e-9
+    met = met.where(enough(F.least(la, lb))).distinct()
+    return met.where(enough(F.size(F.array_intersect(again(F.col("words")), again(F.col("_w"))))))
+
+
 def fuzzy_matched(folders: DataFrame, serials: DataFrame, least: float = 0.6) -> DataFrame:
     """For each distinct (season, folder) the serial of the season with the most alike words, the first by name on ties.
 
-    folders: season, folder, words; serials: season, serial, words (arrays of words)."""
-
-    pairs = folders.select("season", "folder", "words").distinct().join(serials.select("season", "serial", F.col("words").alias("_w")).distinct(), "season")
-    scored = pairs.withColumn("ratio", seq_ratio(F.col("words"), F.col("_w")))
-    k = F.row_number().over(W.partitionBy("season", "folder").orderBy(F.desc("ratio"), "serial"))
-    return scored.withColumn("_k", k).where((F.col("_k") == 1) & (F.col("ratio") >= least)).select("season", "folder", "serial", "ratio")
+    folders: season, folder, words; serials: season, serial, words (arrays of words; rows without are left out).
+    Only pairs that can reach `least` are compared."""
+    scored = fuzzy_candidates(folders, serials, least).withColumn("ratio", seq_ratio(F.col("_w"), F.col("words"))).where(F.col("ratio") >= least)
+    best = scored.groupBy("season", "folder").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "serial")).alias("b"))
+    return best.select("season", "folder", "b.serial", (-F.col("b.r")).alias("ratio"))
 
 
 def first_seen(listings: list[DataFrame], key: str, order: str) -> DataFrame:
