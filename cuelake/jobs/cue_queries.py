@@ -170,7 +170,8 @@ def _outcomes(events: DataFrame) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, d: str) -> DataFrame:
-    out = streaming.drained(streaming.outcomes_folded(_outcomes(_source(spark, d))), "st2_outcomes")
+    reports = streaming.drained(streaming.first_reports(_outcomes(_source(spark, d))), "st2_outcomes", "append")
+    out = streaming.outcomes_folded(reports)
     return out.select("path", "posts", F.unix_micros("last_posted").alias("last_posted"), "skip")
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from cuelake.functions import text as tx
 from cuelake.jobs import shot_queries
 from cuelake.operators import catalogue, cues, faces, frames, overlay, shots, tags, vectors
 from cuelake.sources import ttml
-from cuelake.staging import shared_dir, table
+from cuelake.staging import at_rest, shared_dir, table, written
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -122,6 +125,41 @@ def frame_quality(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("q", q).select("vec_id", *(F.round(f"q.{k}", 6).alias(k) for k in ("brightness", "contrast", "sharpness")))
 
 
+def _picture(width: int, height: int, v: list[float]) -> bytes:
+    """A vector as a picture: its numbers as levels along both sides, mixed."""
+    level = np.clip(np.asarray(v, np.float64) * 400 + 128, 0, 255)
+    x, y = (np.interp(np.linspace(0, len(v) - 1, n), np.arange(len(v)), level) for n in (width, height))
+    return np.rint((x[None] + y[:, None]) / 2).astype(np.uint8).tobytes()
+
+
+def block_means() -> Callable[[np.ndarray], np.ndarray]:
+    """A model for want of a large one: mean levels of four by four parts of a frame."""
+
+    def predict(batch: np.ndarray) -> np.ndarray:
+        n, side, _ = batch.shape
+        return batch.reshape(n, 4, side // 4, 4, side // 4).mean(axis=(2, 4)).reshape(n, 16)
+
+    return predict
+
+
+def frame_files(spark: SparkSession, d: str) -> DataFrame:
+    """S9, J9, V5 and V6 as one job: PNG files of many sizes written from vectors, every ninth of them done before; the others read, reduced, measured and given to a model."""
+    k = F.col("vec_id")
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", (k % 61 * 7 + 200).cast("int").alias("width"), (k % 53 * 9 + 150).cast("int").alias("height"))
+
+    def data(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([sources.png(_picture(w, h, v), w, h) for w, h, v in zip(rows["width"], rows["height"], rows["embedding"], strict=True)])
+
+    folder = _folder(spark, "frames")
+    name = F.concat(F.lit("e"), F.col("vec_id") % 10, F.lit("/"), F.col("vec_id").cast("string"), F.lit(".png"))
+    written(sources.write_files(e.select(name.alias("name"), F.pandas_udf(data, "binary")(F.struct("width", "height", "embedding")).alias("data")), folder), "frame-names")
+    path = lambda at: F.regexp_extract(at, "(e[0-9]/[0-9]+[.]png)$", 1)
+    done = e.where("vec_id % 9 = 0").select(name.alias("path"))
+    rows = frames.measured(spark, f"{folder}/e*/*.png", done, block_means, path)
+    numbers = {c: F.round(c, 6) for c in ("brightness", "contrast", "sharpness")}
+    return rows.withColumns(numbers).withColumn("vec", F.transform("vec", lambda x: F.round(x.cast("double"), 5)))
+
+
 def _cues(spark: SparkSession, d: str) -> DataFrame:
     ev = cues.events_as_subtitles(table(spark, d, "events"))
     text = F.concat(F.lit('said "'), F.col("text"), F.lit('",\nshot,'), F.col("ord").cast("string"))
@@ -218,13 +256,32 @@ def streamed(spark: SparkSession, d: str) -> DataFrame:
     """ST1: the same by a stream of manifests, which then sees the same folders again in a second file."""
     old, new, manifest, listing = _editions(spark, d)
     folder = _folder(spark, "loading")
-    old.write.parquet(streaming.edition(folder, "shots", -1))
-    manifest.write.parquet(streaming.edition(folder, "manifest", -1))
-    for number in range(2):
+    streaming.begun(old, manifest, folder)
+    schemas = {"shots": old.schema, "manifest": manifest.schema}
+    for _ in range(2):
         listing.coalesce(1).write.mode("append").parquet(f"{folder}/incoming")
         stream = spark.readStream.schema(listing.schema).parquet(f"{folder}/incoming")
-        streaming.load_continuously(stream, folder, lambda batch: new.join(batch.select("dir").distinct(), "dir", "left_semi").select(*new.columns), ["price", "title"], 120.0)
-    return spark.read.parquet(streaming.edition(folder, "shots", number)).select("path", "dir", "price", "post_count", "last_posted")
+        streaming.load_continuously(stream, folder, lambda batch: new.join(batch.select("dir").distinct(), "dir", "left_semi").select(*new.columns), ["price", "title"], schemas, 120.0)
+    return streaming.stored(spark, folder, "shots", old.schema).select("path", "dir", "price", "post_count", "last_posted")
+
+
+def replaced_members(spark: SparkSession, d: str) -> DataFrame:
+    """M7: members of all tags stored, then those of one tag again by other scores, the others left as they are."""
+    lab, prob = shot_queries._labels(spark, d), shot_queries._probabilities(spark, d)
+    folder = f"{_folder(spark, 'members')}/members"
+    tags.replace_members(tags.members(prob, lab), ["quality", "toxic"], folder)
+    tags.replace_members(tags.members(prob.withColumn("prob", 1 - F.col("prob")), lab), ["toxic"], folder)
+    return tags.stored_members(prob, folder).withColumn("prob", F.round("prob", 6))
+
+
+def joined_at_rest(spark: SparkSession, d: str) -> DataFrame:
+    """J12 and J9 over tables in buckets of the face: faces with vectors, without those that are done."""
+    e = table(spark, d, "embeddings")
+    held = at_rest(e.select((F.col("vec_id") * 2).alias("id"), F.col("label").alias("cluster")), "faces", "id", 16)
+    vecs = at_rest(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), "vectors", "id", 16)
+    done = at_rest(e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("id")), "done", "id", 16)
+    rows = frames.with_vectors(held, vecs).join(done, "id", "left_anti")
+    return rows.groupBy("cluster").agg(F.count("*").alias("faces"), F.sum(F.size("vec").cast("long")).alias("numbers"))
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
@@ -288,7 +345,7 @@ QUERIES = {
     "a5_tag_summary": tag_summary, "t4_marked_page": marked_page, "f13_halves": halves, "p2_regular_names": regular_names, "p5_presumed": presumed, "a18_summed_catalogue": summed_catalogue, "a14_label_totals": label_results,
     "a3_step_progress": progress, "f8_tidy_lines": tidy_lines,
     "w1_part_numbers": numbered, "w3_ordinals": ordinals, "j5_matched": matched, "a19_gated": gated, "f11_overlays": overlays, "t7_work_order": work_order, "p11_filters": filters, "a4_facet_counts": facet_counts,
-    "a2_detailed_stats": detailed_stats, "j12_with_vectors": with_vectors, "v5_frame_quality": frame_quality, "s1_csv_files": csv_files, "s3_srt_files": srt_files, "s4_json_lists": json_lists, "s10_catalogue_csv": catalogue_csv,
+    "a2_detailed_stats": detailed_stats, "j12_with_vectors": with_vectors, "j12_at_rest": joined_at_rest, "m7_replaced": replaced_members, "s9_frame_files": frame_files, "v5_frame_quality": frame_quality, "s1_csv_files": csv_files, "s3_srt_files": srt_files, "s4_json_lists": json_lists, "s10_catalogue_csv": catalogue_csv,
     "s5_slices": slices, "s5_items": items, "s7_ttml_runs": ttml_files, "m2_loaded": loaded, "m2_load_counts": load_counts, "st1_streamed": streamed,
 }
 
@@ -371,6 +428,9 @@ SQL = {
         WITH o AS (SELECT o_orderkey AS path, o_orderpriority AS tag, o_orderkey % 4 AS post_count, o_orderkey % 13 = 0 AS skip, o_orderkey % 3 = 0 AS drawn, o_orderkey % 2 = 0 AS over, epoch_us(o_orderdate) AS last_posted FROM orders)
         SELECT tag, CAST(grouping(tag) AS INT) AS level, count(*) AS shots, count(*) FILTER (post_count > 0) AS posted, min(post_count) FILTER (NOT skip) AS least_posted, count(*) FILTER (drawn) AS drawn,
                count(*) FILTER (NOT drawn AND over) AS pasted, count(*) FILTER (NOT drawn AND NOT over) AS burned_in, count(*) FILTER (skip) AS skipped, arg_max(path, (last_posted, path)) AS latest FROM o GROUP BY ROLLUP (tag)""",
+    "j12_at_rest": "SELECT a.label AS cluster, count(*) AS faces, CAST(sum(len(b.embedding)) AS BIGINT) AS numbers FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id * 2 WHERE b.vec_id % 5 <> 0 GROUP BY 1",
+    "m7_replaced": shot_queries.PROBS + """SELECT p.tag, p.path, round(CASE WHEN p.tag = 'toxic' THEN 1 - p.prob ELSE p.prob END, 6) AS prob FROM probs p LEFT JOIN lab l ON l.tag = p.tag AND l.path = p.path
+        WHERE coalesce(l.label = 1, CASE WHEN p.tag = 'toxic' THEN 1 - p.prob ELSE p.prob END >= 0.5)""",
     "j12_with_vectors": "SELECT a.label AS cluster, count(*) AS faces, CAST(sum(len(b.embedding)) AS BIGINT) AS numbers FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id * 2 GROUP BY 1",
     "v5_frame_quality": """
         WITH u AS (SELECT vec_id, unnest(range(64)) AS i, greatest(0, least(255, floor(CAST(unnest(embedding) AS DOUBLE) * 400 + 128))) AS v FROM embeddings), g AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, v FROM u),

@@ -108,3 +108,22 @@ def train(labels: DataFrame, weak: DataFrame, vectors: DataFrame, c: float = 2.0
             right, n = right + got[0], n + got[1]
         accuracy = right / n
     return model.coefficients.toArray().tolist(), float(model.intercept), accuracy
+
+
+def replace_members(found: DataFrame, tags: list[str], path: str) -> None:
+    """M7: puts the members (tag, path, prob) of `tags` in place of those that are stored below `path`, and leaves other tags' files as they are.
+
+    A tag is a folder, and only the folders of `tags` are written anew; a tag that has no members any more keeps an
+    empty row. Running it again does the same again. Rows of other tags are not taken.
+    """
+    kind = dict(found.dtypes)
+    rows = found.where(F.col("tag").isin(tags)).select("tag", "path", "prob")
+    empty = found.sparkSession.createDataFrame([(t, None, None) for t in tags], f"tag string, path {kind['path']}, prob {kind['prob']}")
+    placed = rows.unionByName(empty).repartition("tag", F.when(F.col("path").isNotNull(), F.pmod(F.xxhash64("path"), F.lit(16))))
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tag").option("compression", "zstd").parquet(path)
+
+
+def stored_members(like: DataFrame, path: str) -> DataFrame:
+    """M7: members that replace_members stored, with the columns of `like`."""
+    schema = like.select("path", "prob", F.col("tag").cast("string").alias("tag")).schema
+    return like.sparkSession.read.schema(schema).parquet(path).where("path IS NOT NULL").select("tag", "path", "prob")

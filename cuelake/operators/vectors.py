@@ -21,9 +21,8 @@ def norm(a: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    """Of unit length; null for the zero vector."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    """Of unit length; null for the zero vector. The length stands in an array of one, so that it is taken once and not for each number."""
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))), F.lit(0))
 
 
 def logistic(x: Column) -> Column:

@@ -3,6 +3,13 @@
 
 from __future__ import annotations
 
+import struct
+import uuid
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -115,3 +122,33 @@ def page_items(states: DataFrame, key: str) -> DataFrame:
     """(key, ord, id, title, subtitle) of the items that are episodes, in the page's order."""
     rows = states.select(key, F.posexplode("state.results").alias("ord", "r")).where("r.episode IS NOT NULL")
     return rows.select(key, "ord", "r.episode.*")
+
+
+def png(levels: bytes, width: int, height: int) -> bytes:
+    """Grey levels row by row as a PNG file."""
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + levels[i * width : (i + 1) * width] for i in range(height))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Rows (name, data) as files below `folder`, each written by the task that has its row; the names and sizes written.
+
+    A file gets its name when it is whole, so that a task that runs twice, or is lost, leaves no part of one. Rows without a name
+    or data are left out; of rows with one name one stays.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        place, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, data in zip(batch.column("name").to_pylist(), batch.column("data"), strict=True):
+                path, part = f"{base}/{name}", f"{base}/_{uuid.uuid4().hex}"
+                place.create_dir(path.rpartition("/")[0], recursive=True)
+                with place.open_output_stream(part) as out:
+                    out.write(data.as_buffer())
+                place.move(part, path)
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.compute.binary_length(batch.column("data")).cast(pa.int64())], ["name", "bytes"])
+
+    return files.where("name IS NOT NULL AND data IS NOT NULL").select("name", "data").mapInArrow(write, "name string, bytes long")

@@ -31,3 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def at_rest(df: DataFrame, name: str, key: str, buckets: int = 64, order: str | None = None) -> DataFrame:
+    """`df` as a table in buckets of `key`, sorted within them, under the shared folder. Tables of as many buckets of a key are joined by it without a shuffle."""
+    spark = df.sparkSession
+    full = f"{name}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(buckets, key).sortBy(order or key).option("compression", "zstd")
+    writer.option("path", f"{shared_dir(spark)}/{full}").saveAsTable(full)
+    return spark.table(full)

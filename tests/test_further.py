@@ -71,7 +71,8 @@ def test_frame_quality(spark):
     rows = [(1, 2, 1, bytes([0, 255])), (700, 10, 3, big.tobytes()), (2, 2, 1, b"x"), (None, 1, 1, b"x"), (1, 1, 1, None)]
     got = spark.createDataFrame(rows, "h int, w int, c int, d binary").select(frames.frame_quality(*(F.col(c) for c in "hwcd")).alias("q")).collect()
     assert tuple(got[0]["q"]) == (127.5, 127.5, 127.5**2)
-    small = np.rint(np.array([np.rint(big[a : a + 3, b : b + 3] @ np.array([0.114, 0.587, 0.299])).mean() for a in range(0, 700, 3) for b in range(0, 10, 3)]))
+    small = frames.reduced(frames.grey(big.tobytes(), 700, 10, 3), 320)
+    assert small.shape == (320, 5) and abs(small.mean() - (big @ np.array([0.114, 0.587, 0.299])).mean()) < 1
     assert got[1]["q"]["brightness"] == pytest.approx(small.mean()) and got[1]["q"]["contrast"] == pytest.approx(small.std())
     assert all(r["q"]["brightness"] is None for r in got[2:])
 
@@ -118,12 +119,12 @@ def test_loading_twice_changes_nothing(spark, tmp_path):
     assert {tuple(r) for r in seen.collect()} == {("d", 2, 2), ("e", 1, 1), ("f", 1, 1)}
 
     folder = f"{tmp_path}/editions"
-    stored.write.parquet(streaming.edition(folder, "shots", -1))
-    manifest.write.parquet(streaming.edition(folder, "manifest", -1))
-    for k in range(2):
+    streaming.begun(stored, manifest, folder)
+    schemas = {"shots": stored.schema, "manifest": manifest.schema}
+    for _ in range(2):
         listing.coalesce(1).write.mode("append").parquet(f"{folder}/incoming")
-        streaming.load_continuously(spark.readStream.schema(listing.schema).parquet(f"{folder}/incoming"), folder, lambda batch: rows.join(batch.select("dir"), "dir", "left_semi").select(*rows.columns), ["text"])
-        assert plain(spark.read.parquet(streaming.edition(folder, "shots", k))) == want
+        streaming.load_continuously(spark.readStream.schema(listing.schema).parquet(f"{folder}/incoming"), folder, lambda batch: rows.join(batch.select("dir"), "dir", "left_semi").select(*rows.columns), ["text"], schemas)
+        assert plain(streaming.stored(spark, folder, "shots", stored.schema)) == want
 
 
 def test_work_order(spark):
