@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import SparkSession
 
 from cuelake.llm.words import text_bytes
 
@@ -138,11 +137,6 @@ def levels_of(codes: np.ndarray, counts: np.ndarray, depth: int, least: int) ->
     return out
 
 
-def bounded(spark: SparkSession) -> None:
-    """Has the session hand texts to Python some two thousand rows at a time, as ten thousand whole texts are too much for a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-
-
 def _trimmed() -> None:
     """Gives what this task and the worker's earlier ones have freed back to the system."""
     pa.default_memory_pool().release_unused()

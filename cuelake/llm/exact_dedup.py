@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.bitmap import bitmap_of, marked
+from cuelake.llm.bitmap import bitmap_of, bits_for, marked
 from cuelake.staging import written
 
 def normalised(text: Column) -> Column:
@@ -13,14 +13,14 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, filter_bits: int = 1 << 23, digest_col: str | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, filter_bits: int | None = None, digest_col: str | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept; and SHA-256 of the text in hex as `digest_col`, if named.
 
     Texts are equal when identical after `normalised`; of equal texts the row with the smallest id
     stays. Lengths come first, then a 64-bit hash of the first `prefix` characters within lengths
     that repeat, then SHA-256 of whole texts of the (length, prefix hash) groups that still have
     several rows. Which rows are hashed is decided beside the scan by a bitmap of `filter_bits` bits
-    (the broadcast: filter_bits / 8 bytes whatever the input); a false hit costs one hash more.
+    (by default sixteen for each group, 32 MB broadcast at most); a false hit costs one hash more.
 
     Only narrow rows are shuffled, each step counts before the exchange, and the joins back are
     sort-merge joins between written tables, whose hot keys adaptive execution can split.
@@ -37,7 +37,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     lengths = keys.groupBy("_len").agg(F.count("*").alias("n")).where("n > 1")
     same_length = keys.join(written(lengths, "dedup-lengths").select("_len"), "_len", "left_semi")
-    suspects = same_length.groupBy("_len", "_prefix").agg(F.count("*").alias("n")).where("n > 1")
+    suspects = written(same_length.groupBy("_len", "_prefix").agg(F.count("*").alias("n")).where("n > 1"), "dedup-suspects")
+    filter_bits = filter_bits or bits_for(suspects.count())
     key = F.xxhash64("_len", "_prefix")
     bitmap = bitmap_of(suspects, key, filter_bits)
 

@@ -11,9 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.bitmap import bitmap_of, marked
+from cuelake.llm.bitmap import bitmap_of, bits_for, marked
 from cuelake.operators.components import components
-from cuelake.llm.contexts import bounded, small_batches
+from cuelake.llm.contexts import small_batches
 from cuelake.llm.line_dedup import BLOOM_SCHEMA, fill, may_repeat, merged_filter
 from cuelake.llm.words import ranges, shingles, split_by, words_of
 from cuelake.staging import written
@@ -21,8 +21,6 @@ from cuelake.staging import written
 #: The order's fragments are ranges of shingle hashes.
 FRAGMENTS = 4
 HOT_BITS = 1 << 26
-#: Of the bitmaps that find documents beside a scan.
-ID_BITS = 1 << 23
 #: Tokens with more rows of which each may be the smaller one of a pair go by differences from a hub.
 CROWD = 16
 
@@ -144,12 +142,11 @@ class Join:
         self.kind = dict(self.rows.dtypes)["_id"]
         self.width, self.percent, self.hot_docs, self.bits = width, percent, hot_docs, filter_bits
         self.spark = docs.sparkSession
-        bounded(self.spark)
 
     def of(self, ids: DataFrame) -> DataFrame:
         """The texts of ids (and few others), found beside the scan."""
-        key = F.xxhash64("_id")
-        return marked(self.rows, key, bitmap_of(ids, key, ID_BITS), ID_BITS).where("_marked AND _id IS NOT NULL").select("_id", "_text")
+        key, bits = F.xxhash64("_id"), bits_for(ids.count())
+        return marked(self.rows, key, bitmap_of(ids, key, bits), bits).where("_marked AND _id IS NOT NULL").select("_id", "_text")
 
     def repeated(self) -> DataFrame:
         """Rows of tokens that two documents have; others are dropped beside the scan, nearly all. So are rows
@@ -168,7 +165,16 @@ class Join:
         kept = likely.join(written(counts, "jaccard-counts"), "token").withColumn("hi", hi).where("hi >= least")
         return written(kept.select("token", "_id", "n", "pos", "hi", "df", "least"), "jaccard-tokens")
 
-    def postings(self, sets: DataFrame, reps: DataFrame) -> DataFrame:
+    def representatives(self, sets: DataFrame, classes: DataFrame) -> DataFrame:
+        """One row (_id, n, prefix) for each class. Where a set has one row only, which a bitmap of the others says beside the scan, that is it."""
+        several = classes.where("members > 1")
+        key, bits = F.xxhash64("sig"), bits_for(several.count())
+        rows = marked(sets.where("n > 0 AND _id IS NOT NULL").select("_id", "n", "sig", "prefix"), key, bitmap_of(several, key, bits), bits)
+        reps = classes.where("rep IS NOT NULL").select(F.col("rep").alias("_id"))
+        shared = rows.where("_marked").join(reps, "_id", "left_semi")
+        return written(rows.where("NOT _marked").unionByName(shared).select("_id", "n", "prefix"), "jaccard-prefixes")
+
+    def postings(self, current: DataFrame) -> DataFrame:
         """Prefix shingles that several classes share, under an order in which common shingles come last.
 
         Common are those that several have of a few documents picked for each hot prefix shingle: near
@@ -176,8 +182,6 @@ class Join:
         where it takes up the place that a link leaves for differences. The order is a function of the shingle, so
         any choice gives right results. The same filter that orders, collisions and all, tells whose prefix changes: all that have a shingle in it."""
         prefixes = f"_id {self.kind}, n long, sig binary, prefix array<long>"
-        current = sets.join(reps.select("_id"), "_id").select("_id", "n", "prefix")
-        current = written(current, "jaccard-prefixes")
         self.sources = [(current, None)]
         tokens = self.repeated()
         often = tokens.where(F.col("df") > self.hot_docs).groupBy("token")
@@ -198,8 +202,8 @@ class Join:
 
     def needed(self, rows: DataFrame, pairs: DataFrame) -> DataFrame:
         """The rows of the documents of pairs (and few others)."""
-        key = F.xxhash64("_id")
-        return marked(rows, key, bitmap_of(self.ids(pairs), key, ID_BITS), ID_BITS).where("_marked").drop("_marked")
+        key, bits = F.xxhash64("_id"), bits_for((ids := self.ids(pairs)).count())
+        return marked(rows, key, bitmap_of(ids, key, bits), bits).where("_marked").drop("_marked")
 
     def beside(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
         """Pairs (a, b, ...) with the parts of both sets, a row for each fragment of the order."""
@@ -306,13 +310,12 @@ class Join:
         return written(self.of(self.ids(pairs)).mapInArrow(_fragments(self.width), f"_id {self.kind}, fragment int, part array<long>"), "jaccard-parts")
 
     def ids(self, pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+        return written(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "jaccard-ids")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         sets = written(self.rows.mapInArrow(_prefixes(self.width, self.percent, None), f"_id {self.kind}, n long, sig binary, prefix array<long>"), "jaccard-sets")
-        classes = written(sets.where("n > 0").groupBy("sig").agg(F.min("_id").alias("rep")), "jaccard-classes")
-        reps = classes.where("rep IS NOT NULL").select(F.col("rep").alias("_id"))
-        left = self.several(self.labelled(self.postings(sets, reps), None))
+        classes = written(sets.where("n > 0").groupBy("sig").agg(F.min("_id").alias("rep"), F.count("*").alias("members")), "jaccard-classes")
+        left = self.several(self.labelled(self.postings(self.representatives(sets, classes)), None))
         sides, fits = ["_id", "n", "pos", "hi", "comp"], (F.col("n_a") <= F.col("hi_b")) & (F.col("n_b") <= F.col("hi_a"))
         seen = self.star(left, F.struct("pos", "_id"), fits, sides)
         linked = self.links(seen)
@@ -329,7 +332,7 @@ class Join:
             linked, more = self.crowded(crowd, self.parts(crowd), linked)
             pairs = written(pairs.unionByName(more).distinct(), "jaccard-rest")
         linked = linked.unionByName(self.links(pairs))
-        return sets.select("_id", "n", "sig").join(classes, "sig", "left"), components(linked)
+        return sets.select("_id", "n", "sig").join(classes.drop("members"), "sig", "left"), components(linked)
 
 
 def near_duplicates(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from cuelake.llm.contexts import Automaton, bounded, counted, grams, levels_of, small_batches, stream
+from cuelake.llm.contexts import Automaton, counted, grams, levels_of, small_batches, stream
 
 UNKNOWN = "und"
 
@@ -67,7 +67,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return out
 
 
-def _predict(model: Broadcast, keep: list[str]):
+def _predict(model: Broadcast, keep: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
         if "ready" not in held:
@@ -86,7 +86,7 @@ def _predict(model: Broadcast, keep: list[str]):
                 known[:] = False
                 best, score, length = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
             names = np.array([*langs, UNKNOWN], object)[np.where(known, best, -1)]
-            cols = {k: batch.column(k) for k in keep}
+            cols = {name: batch.column(k) for name, k in keep.items()}
             yield pa.RecordBatch.from_pydict(
                 cols | {"lang_pred": pa.array(names, pa.string()), "score": np.where(known, score, 0.0), "code_bits": np.where(known, length, 0.0)}
             )
@@ -103,11 +103,11 @@ def identify(docs: DataFrame, model: dict[str, list], id_col: str = "doc_id", te
     letter, and any text where nothing was learned, is `und` with score 0. No shuffle. An empty
     table gives no rows; other columns are not read.
     """
-    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast({"levels": model})
-    keep = ["_id", *(carry or [])]
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(carry or []))
-    schema = StructType([rows.schema[k] for k in keep] + [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("code_bits", DoubleType())])
+    others = [k for k in carry or [] if k != text_col]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *others)
+    keep = {"_id": "_id"} | {k: "_text" if k == text_col else k for k in carry or []}  # a text goes to Python once and back once
+    schema = StructType([StructField(name, rows.schema[k].dataType) for name, k in keep.items()] + [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("code_bits", DoubleType())])
     return rows.mapInArrow(_predict(shared, keep), schema).withColumnRenamed("_id", id_col)
 
 

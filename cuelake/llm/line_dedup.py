@@ -11,14 +11,12 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.bitmap import bitmap_of, marked
+from cuelake.llm.bitmap import bitmap_of, bits_for, marked
 from cuelake.staging import written
 
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BITS = 1 << 16
-#: Of the bitmap that tells, beside the scan, which documents lose lines.
-ID_BITS = 1 << 23
 BLOOM_SCHEMA = "slice int, once binary, twice binary"
 
 
@@ -158,7 +156,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = repeated_lines(docs, id_col, text_col, min_chars, min_docs, filter_bits).withColumnRenamed(id_col, "_id")
     drops = written(drops, "lines-drops")
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    rows = marked(rows, F.xxhash64("_doc"), bitmap_of(drops, F.xxhash64("_id"), ID_BITS), ID_BITS)
+    bits = bits_for(drops.count())
+    rows = marked(rows, F.xxhash64("_doc"), bitmap_of(drops, F.xxhash64("_id"), bits), bits)
     losing = rows.where("_marked").join(drops, F.col("_doc").eqNullSafe(F.col("_id")), "left").drop("_marked", "_id")
     joined = losing.unionByName(rows.where("NOT _marked").drop("_marked").withColumn("drop_keys", F.lit(None).cast("array<long>")))
     lines = lines_of(F.col("_text"))
