@@ -13,19 +13,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelake.llm.bitmap import bitmap_of, bits_for, marked
 from cuelake.llm.bpe import bpe_encode
 from cuelake.llm.decontaminate import contained_items
 from cuelake.llm.exact_dedup import exact_dedup
 from cuelake.llm.jaccard_join import near_duplicates
 from cuelake.llm.language_id import UNKNOWN, identify, train
+from cuelake.llm.queries import job
 from cuelake.staging import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the ids of `gone` (one column, doc_id)."""
-    return docs.join(written(gone.distinct(), "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """docs but for the ids of `gone` (one column, doc_id). Beside the scan a bitmap says which rows may go; these alone meet the ids."""
+    gone = written(gone.distinct(), "gone")
+    key, bits = F.xxhash64("doc_id"), bits_for(gone.count())
+    rows = marked(docs.withColumn("_row", F.struct(*docs.columns)).select("doc_id", "_row"), key, bitmap_of(gone, key, bits), bits)
+    kept = rows.where("_marked").join(gone, "doc_id", "left_anti").select("_row")
+    return rows.where("NOT _marked").select("_row").unionByName(kept).select("_row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +43,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs)
     if not model:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    out = identify(docs.withColumn("_row", F.struct(*docs.columns)), model, carry=["_row"])
-    return out.where(F.col("lang_pred") != UNKNOWN).select("_row.*")
+    others = F.struct(*(c for c in docs.columns if c != "text"))
+    out = identify(docs.select("doc_id", "text", others.alias("_row")), model, carry=["_row", "text"])
+    return out.where(F.col("lang_pred") != UNKNOWN).select(*("text" if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,12 +72,16 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _stage(run_stage: Stage) -> Stage:
+    return lambda spark, docs, sf_dir: run_stage(job(spark), docs, sf_dir)
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", language),
-    ("exact_dedup", exact),
-    ("near_duplicates", near),
-    ("decontamination", decontaminated),
-    ("bpe", encoded),
+    ("language_id", _stage(language)),
+    ("exact_dedup", _stage(exact)),
+    ("near_duplicates", _stage(near)),
+    ("decontamination", _stage(decontaminated)),
+    ("bpe", _stage(encoded)),
 ]
 
 #: SQL has no PPM code lengths and no BPE merges; the tests compare the stages with brute force.
