@@ -28,8 +28,12 @@ def _holes(spark: SparkSession, d: str) -> DataFrame:
     return _ev(spark, d).withColumn("end", end)
 
 
+#: Seconds of a time bucket for the test's events, which last hours where cues last seconds.
+LONG = 36_000.0
+
+
 def visible_text(spark: SparkSession, d: str) -> DataFrame:
-    return cues.visible_text(_ev(spark, d))
+    return cues.visible_text(_ev(spark, d), LONG)
 
 
 def timed(spark: SparkSession, d: str) -> DataFrame:
@@ -58,18 +62,18 @@ def image_spans(spark: SparkSession, d: str) -> DataFrame:
 def image_at(spark: SparkSession, d: str) -> DataFrame:
     ev = _ev(spark, d)
     images = ev.where(F.col("ord") % 2 == 1).select("ep", F.col("start").alias("t"), F.col("ord").alias("image"))
-    return cues.image_at(ev.where(F.col("ord") % 2 == 0), images).select("ep", "ord", "image")
+    return cues.image_at(ev.where(F.col("ord") % 2 == 0), images, bucket=LONG).select("ep", "ord", "image")
 
 
 def sharpest(spark: SparkSession, d: str) -> DataFrame:
     ev = _ev(spark, d)
     frames = table(spark, d, "events").select(F.col("event_id").alias("ord"), F.col("value").alias("sharpness")).join(ev, "ord").select("ep", F.col("start").alias("t"), "sharpness")
-    return cues.sharpest_times(ev, frames, 50_000.0)
+    return cues.sharpest_times(ev, frames, 50_000.0, bucket=LONG)
 
 
 def cue_lines(spark: SparkSession, d: str) -> DataFrame:
     ev = _ev(spark, d).withColumn("lines", F.when(F.col("ord") % 2 == 0, F.array("text")).otherwise(F.array(F.col("text"), F.col("ord").cast("string"))))
-    out = cues.cue_lines(ev)
+    out = cues.cue_lines(ev, LONG)
     return out.select("ep", "start", "end", F.array_join("lines", "|").alias("lines"), F.array_join(F.transform("placement", lambda x: x.cast("string")), ",").alias("placement"))
 
 

@@ -43,7 +43,7 @@ def spans_with_events(events: DataFrame, bucket: float) -> DataFrame:
     return spans.join(e, ["ep", "_b"]).where((F.col("e_start") <= F.col("mid")) & (F.col("mid") < F.col("e_end")))
 
 
-def visible_text(events: DataFrame, bucket: float = 36_000.0) -> DataFrame:
+def visible_text(events: DataFrame, bucket: float = 10.0) -> DataFrame:
     """J1 + A7: one cue per distinct (ep, start, end) with the distinct texts visible at its midpoint."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
     joined = spans_with_events(events, bucket)
@@ -79,7 +79,7 @@ def image_spans(frames: DataFrame, longest_ms: float = 60_000, fallback: float =
     return spans.where(F.col("end") > F.col("start"))
 
 
-def image_at(cues: DataFrame, images: DataFrame, slack: float = 0.01, bucket: float = 36_000.0) -> DataFrame:
+def image_at(cues: DataFrame, images: DataFrame, slack: float = 0.01, bucket: float = 10.0) -> DataFrame:
     """For each cue the last image change from `slack` before its start up to its midpoint; null if there is none."""
     c = cues.select("ep", "ord", "start", "end").withColumn("mid", midpoint())
     ranged = c.withColumn("_b", F.explode(F.sequence(F.floor((F.col("start") - slack) / bucket), F.floor(F.greatest("mid", F.col("start") - slack) / bucket))))
@@ -89,7 +89,7 @@ def image_at(cues: DataFrame, images: DataFrame, slack: float = 0.01, bucket: fl
     return cues.join(best, ["ep", "ord"], "left")
 
 
-def sharpest_times(cues: DataFrame, frames: DataFrame, window: float, inset: float = 0.05, least: float = 0.1, bucket: float = 36_000.0) -> DataFrame:
+def sharpest_times(cues: DataFrame, frames: DataFrame, window: float, inset: float = 0.05, least: float = 0.1, bucket: float = 10.0) -> DataFrame:
     """Per cue the sharpest frame within `window` of its midpoint, earliest on ties; the midpoint without one."""
     c = cues.select("ep", "ord", "start", "end").withColumn("mid", midpoint())
     c = c.withColumns({"lo": F.greatest(F.col("start") + inset, F.col("mid") - window), "hi": F.least(F.col("end") - inset, F.col("mid") + window)})
@@ -101,7 +101,7 @@ def sharpest_times(cues: DataFrame, frames: DataFrame, window: float, inset: flo
     return c.join(best, ["ep", "ord"], "left").select("ep", "ord", F.coalesce("m.t", "mid").alias("frame_time"))
 
 
-def cue_lines(paragraphs: DataFrame, bucket: float = 36_000.0) -> DataFrame:
+def cue_lines(paragraphs: DataFrame, bucket: float = 10.0) -> DataFrame:
     """Per distinct span all lines visible at its midpoint, in order, and how many each paragraph gives.
 
     paragraphs: ep, ord, start, end, lines (array of string)."""

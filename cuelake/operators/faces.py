@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from cuelake.operators import vectors
 from cuelake.operators.density import density_groups
-from cuelake.operators.shots import seeded
+from cuelake.operators.shots import numbered_rows, seeded
 from cuelake.operators.vectors import centres
 from cuelake.staging import written
 
@@ -32,9 +32,9 @@ def box(x: str, y: str, w: str, h: str, width: int, height: int, padding: float
 
 
 def numbered_groups(faces: DataFrame, group: str = "cluster", least: int = 25) -> DataFrame:
-    """Groups of enough faces numbered by size, the largest first, smaller labels first on ties. One row a group is sorted."""
+    """Groups of enough faces numbered by size, the largest first, smaller labels first on ties."""
     sizes = faces.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("faces")).where(F.col("faces") >= least)
-    return sizes.withColumn("number", F.row_number().over(W.orderBy(F.desc("faces"), group)).cast("long"))
+    return numbered_rows(sizes, [F.desc("faces"), F.col(group)], "number")
 
 
 def sampled(faces: DataFrame, seed: str, offset: int, limit: int, key: str = "id") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cuelake.staging import written
+
 
 def seeded(seed: str, *keys: str) -> Column:
     """An order that looks random and is the same everywhere."""
@@ -121,6 +123,16 @@ def cards(shots: DataFrame, faces: DataFrame, tags: DataFrame, key: str = "path"
     return shots.join(f, key, "left").join(t, key, "left")
 
 
+def numbered_rows(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their place (from 1) in an order, which is sorted over all tasks: a place is that in a task and the rows that earlier tasks have."""
+    sorted_rows = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = sorted_rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each task
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1
+    return sorted_rows.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, at.cast("long")).drop("_at", "_part", "_before")
+
+
 def carried_counts(rows: DataFrame, carried: DataFrame) -> DataFrame:
     """Rows (path, post_count, last_posted, ...) with the larger of their own and the carried history."""
     more = carried.select("path", F.col("post_count").alias("_c"), F.col("last_posted").alias("_l"))

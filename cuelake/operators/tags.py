@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cuelake.operators.shots import seeded
+from cuelake.staging import written
 
 
 def latest_labels(edits: DataFrame) -> DataFrame:
@@ -67,11 +68,15 @@ def candidates(scored: DataFrame, labels: DataFrame, mode: str, key: str = "path
 def training_set(labels: DataFrame, weak: DataFrame, vectors: DataFrame, weak_weight: float = 0.1, key: str = "path") -> DataFrame:
     """Marked rows with weight 1 and weak negatives with less, each times n / (2 x rows of its class)."""
     rows = labels.select(key, F.col("label").cast("double").alias("label"), F.lit(1.0).alias("w"))
-    rows = rows.unionByName(weak.select(key, F.lit(0.0).alias("label"), F.lit(weak_weight).alias("w"))).join(vectors, key)
+    return balanced(rows.unionByName(weak.select(key, F.lit(0.0).alias("label"), F.lit(weak_weight).alias("w"))).join(vectors, key))
+
+
+def balanced(rows: DataFrame) -> DataFrame:
+    """Rows (label, w, ...) whose weights are times n / (2 x rows of their class)."""
     sizes = rows.groupBy("label").agg(F.count("*").alias("_c"))
     total = rows.agg(F.count("*").alias("_n"))
-    balanced = rows.join(F.broadcast(sizes), "label").crossJoin(F.broadcast(total))  # two rows and one
-    return balanced.withColumn("w", F.col("w") * F.col("_n") / (F.col("_c") * 2)).drop("_c", "_n")
+    both = rows.join(F.broadcast(sizes), "label").crossJoin(F.broadcast(total))  # two rows and one
+    return both.withColumn("w", F.col("w") * F.col("_n") / (F.col("_c") * 2)).drop("_c", "_n")
 
 
 def train(labels: DataFrame, weak: DataFrame, vectors: DataFrame, c: float = 2.0, least: int = 5, column: str = "embedding", key: str = "path"):
@@ -88,23 +93,22 @@ def train(labels: DataFrame, weak: DataFrame, vectors: DataFrame, c: float = 2.0
         return None
 
     def fit(rows: DataFrame):
-        rows = rows.withColumn("features", array_to_vector(F.col(column).cast("array<double>"))).cache()
         total = rows.agg(F.sum("w")).first()[0]
-        model = LogisticRegression(weightCol="w", elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * total), maxIter=200, tol=1e-9).fit(rows)
-        rows.unpersist()
-        return model
+        return LogisticRegression(weightCol="w", elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * total), maxIter=200, tol=1e-9).fit(rows)
 
-    model = fit(training_set(labels, weak, vectors, key=key))
+    vectors = vectors.select(key, column)
+    rows = written(training_set(labels, weak, vectors, key=key), "training-set")  # read by every iteration
+    model = fit(rows.withColumn("features", array_to_vector(F.col(column).cast("array<double>"))))
     accuracy = None
     if no >= least:
         folds = min(5, yes, no)
         k = F.row_number().over(W.partitionBy("label").orderBy(seeded("fold", key), key))
-        marked = labels.withColumn("fold", k % folds)
+        held = written(labels.select(key, F.col("label").cast("double").alias("label"), (k % folds).alias("fold")).join(vectors, key), "training-folds")
+        held = held.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
         right = n = 0
         for i in range(folds):
-            part = fit(training_set(marked.where(F.col("fold") != i), weak.limit(0), vectors, key=key))
-            test = marked.where(F.col("fold") == i).join(vectors, key).withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
-            got = part.transform(test).agg(F.count_if(F.col("prediction") == F.col("label")), F.count("*")).first()
+            part = fit(balanced(held.where(F.col("fold") != i).withColumn("w", F.lit(1.0))))
+            got = part.transform(held.where(F.col("fold") == i)).agg(F.count_if(F.col("prediction") == F.col("label")), F.count("*")).first()
             right, n = right + got[0], n + got[1]
         accuracy = right / n
     return model.coefficients.toArray().tolist(), float(model.intercept), accuracy

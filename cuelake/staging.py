@@ -8,12 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (tests, notebooks), a fresh local folder."""
+    """The session's spark.checkpoint.dir. Where it is unset, a local session (tests, notebooks) gets a fresh local folder, and a cluster,
+    whose executors would not see each other's files there, an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        folder = _OWN.setdefault(spark.sparkContext.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        _OWN[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 
