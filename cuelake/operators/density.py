@@ -381,22 +381,24 @@ def condensed(edges: DataFrame, nodes: DataFrame, few: int, most: int = SLICE) -
     """
     kinds = dict(nodes.dtypes)
     key, kind = kinds["key"], kinds["id"]
-    n = max(1, -(-edges.count() // most))
-    ranked = written(edges.repartitionByRange(n, "key", "w", "a", "b").withColumn("_part", F.spark_partition_id()), "ranked")
-    firsts = ranked.groupBy("key").agg(F.min("_part").alias("_first"))
-    ranked = written(ranked.join(firsts, "key").withColumn("_slice", F.col("_part") - F.col("_first")).drop("_part", "_first"), "slices")
-    slices = ranked.agg(F.max("_slice")).first()[0]
+    n = -(-edges.count() // most)
+    ranked, slices = edges.withColumn("_slice", F.lit(0)), 0
+    if n > 1:
+        ranked = written(edges.repartitionByRange(n, "key", "w", "a", "b").withColumn("_part", F.spark_partition_id()), "ranked")
+        firsts = ranked.groupBy("key").agg(F.min("_part").alias("_first"))
+        ranked = written(ranked.join(firsts, "key").withColumn("_slice", F.col("_part") - F.col("_first")).drop("_part", "_first"), "slices")
+        slices = ranked.agg(F.max("_slice")).first()[0]
     # root: the component of each node; a component has a size, and from `few` on a group
-    state = written(nodes.select("key", "id", F.col("id").alias("root")), "roots")
+    state = nodes.select("key", "id", F.col("id").alias("root"))
     plain = nodes.select("key", F.col("id").alias("root"), F.col("n").alias("size"), F.lit(None).cast("long").alias("group"), F.lit(0.0).alias("came"), F.lit(0.0).alias("kids"))
-    parts, ended = written(plain, "components"), []
-    members = []
-    for i in range((slices if slices is not None else 0) + 1):
+    parts, ended, members = plain, [], []
+    for i in range(slices + 1):
         now = ranked.where(F.col("_slice") == i)
         if i:
             a, b = (state.select("key", F.col("id").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b"))
             now = now.join(a, ["key", "a"]).join(b, ["key", "b"]).where("_a <> _b").select("key", F.col("_a").alias("a"), F.col("_b").alias("b"), "w")
-        now = written(now.select("key", "a", "b", "w"), "slice")
+            now = written(now, "slice")
+        now = now.select("key", "a", "b", "w")
         touched = now.select("key", F.explode(F.array("a", "b")).alias("root")).distinct()
         if not i:  # nodes without edges are components too
             touched = touched.union(parts.where(F.col("size") >= few).select("key", "root")).distinct()
@@ -406,7 +408,7 @@ def condensed(edges: DataFrame, nodes: DataFrame, few: int, most: int = SLICE) -
         ended.append(made.where("kind = 'group'").select("key", "group", "parent", "chosen"))
         members.append(written(state.join(made.where("kind = 'member'").select("key", "root", "group"), ["key", "root"]).select("key", "id", "group"), "members"))
         moved = made.where("kind = 'root'").select("key", "root", "into")
-        if i < (slices or 0):
+        if i < slices:
             state = written(state.join(moved, ["key", "root"], "left").select("key", "id", F.coalesce("into", "root").alias("root")), "roots")
             rest = parts.join(moved.select("key", "root"), ["key", "root"], "left_anti")
             parts = written(rest.unionByName(made.where("kind = 'component'").select("key", "root", "size", "group", "came", "kids")), "components")
