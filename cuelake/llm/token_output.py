@@ -244,8 +244,8 @@ def _decode(shared):
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c != "doc_ids"}
                 step = row["lanes"] * row["every"]
                 parts = [
-                    table.decode(min(step, row["n_ids"] - i * step), row["lanes"], row["words"][4 * mark :], row["checkpoints"][8 * i * row["lanes"] : 8 * (i + 1) * row["lanes"]], crc)
-                    for i, (mark, crc) in enumerate(zip(row["marks"], row["crcs"], strict=True))
+                    table.decode(min(step, row["n_ids"] - i * step), row["lanes"], row["words"][4 * mark : 4 * end], row["checkpoints"][8 * i * row["lanes"] : 8 * (i + 1) * row["lanes"]], crc)
+                    for i, (mark, end, crc) in enumerate(zip(row["marks"], [*row["marks"][1:], len(row["words"]) // 4], row["crcs"], strict=True))
                 ]
                 ids, lengths = np.concatenate(parts), np.array(row["lengths"], np.int64)
                 ends = np.cumsum(lengths)
