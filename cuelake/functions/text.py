@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,34 +151,39 @@ def rendered(template: str, fields: dict[str, Column]) -> Column:
     return F.btrim(out, F.lit(" \n\t\r"))
 
 
+#: Repairs of optical reading in order, as a pattern and what takes its place (None: zeros, see below). A lone bar; words whose
+#: capital is a misreading inside a sentence; misread zeros in what looks like a number, then beside the dash of a score; a
+#: backslash and a doubled capital after a dash; a quoted Yes.
+MISREAD = ["Is", "It", "It's", "Its", "In", "If", "Into"]
+NUMBERISH = r"(?<![A-Za-z])[0-9Q@Ø]+(?:[,.][0-9Q@Ø]+)*"
+REPAIRS: list[tuple[str, str | None]] = [
+    (r"(?<![\p{L}\p{N}_|])\|(?![\p{L}\p{N}_|])", "I"),
+    *((rf"(?<=[a-z,] ){w}\b" + ("" if "'" in w else "(?!')"), w.lower()) for w in MISREAD),
+    (NUMBERISH, None),
+    (r"(?<=[0-9]-)(?:Q@|Q|@|Ø)|(?:Q@|Q|@|Ø)(?=-[0-9])", "0"),
+    (r"(?<=-)\\(?=[A-Z])", ""),
+    (r"\bWw(?=[a-z])", "W"),
+    (r'^[“”"]V(?=es\b)', "-Y"),
+]
+
+
 def _zeros_in_numbers(lines: Column) -> Column:
-    """Q, @ and Ø as 0 wherever a run of them with digits, commas and points holds a digit and follows no letter."""
+    """Misread zeros in what looks like a number and has a digit."""
 
     @F.pandas_udf("string")
     def run(texts):
         import re
 
-        numberish = re.compile(r"(?<![A-Za-z])[0-9Q@Ø]+(?:[,.][0-9Q@Ø]+)*")
+        numberish = re.compile(NUMBERISH)
         fix = lambda m: re.sub("[Q@Ø]", "0", m.group()) if any(c.isdigit() for c in m.group()) else m.group()
         return texts.map(lambda t: None if t is None else numberish.sub(fix, t))
 
     return run(lines)
 
 
-#: Fixed values of the repairs: words whose capital i is a misreading inside a sentence, characters that are
-#: misread zeros, and what stands for a bar, a struck-out zero beside a hyphen, a doubled capital and a quoted Yes.
-MISREAD = ["Is", "It", "It's", "Its", "In", "If", "Into"]
-
-
 def ocr_repaired(line: Column) -> Column:
     """what optical reading gets wrong in captions, repaired in order."""
-    out = F.regexp_replace(line, r"(?<![\p{L}\p{N}_|])\|(?![\p{L}\p{N}_|])", "I")
-    for word in MISREAD:
-        out = F.regexp_replace(out, rf"(?<=[a-z,] ){word}\b(?!')" if "'" not in word else rf"(?<=[a-z,] ){word}\b", word.lower())
-    out = _zeros_in_numbers(out)
-    out = F.regexp_replace(out, r"(?<=[0-9]-)(?:Q@|Q|@|Ø)|(?:Q@|Q|@|Ø)(?=-[0-9])", "0")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?<=-)\\(?=[A-Z])", ""), r"\bWw(?=[a-z])", "W")
-    return F.regexp_replace(out, r'^[“”"]V(?=es\b)', "-Y")
+    return reduce(lambda out, rule: _zeros_in_numbers(out) if rule[1] is None else F.regexp_replace(out, *rule), REPAIRS, line)
 
 
 ALPHABET = "234567abcdefghijklmnopqrstuvwxyz"

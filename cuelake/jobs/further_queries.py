@@ -274,6 +274,31 @@ def replaced_members(spark: SparkSession, d: str) -> DataFrame:
     return tags.stored_members(prob, folder).withColumn("prob", F.round("prob", 6))
 
 
+def known_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """lines with every misreading that is repaired, made of the names and numbers of parts."""
+    k, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    read = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("| say "), name, F.lit(", It is "), k, F.lit("Q,0@@ or 6-Q")))
+    read = read.when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("-\\What "), name, F.lit(" -Wwhy, Into "), k, F.lit("@")))
+    read = read.otherwise(F.concat(F.lit("“Ves "), name, F.lit(" Isn't It's 3@-Q")))
+    return table(spark, d, "part").select("p_partkey", tx.ocr_repaired(read).alias("text"))
+
+
+def trained_gradient(spark: SparkSession, d: str) -> DataFrame:
+    """V7: whether the penalised loss is flat at the trained coefficients (pos -1: the intercept), which it is nowhere else."""
+    e = table(spark, d, "embeddings")
+    emb = e.select(F.col("vec_id").alias("path"), "embedding")
+    marks = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("path"), (F.col("label") < 3).cast("int").alias("label"))
+    weak = tags.weak_negatives(emb.select("path"), marks, 100, "0")
+    coef, intercept, _ = tags.train(marks, weak, emb)
+    rows = written(tags.training_set(marks, weak, emb), "gradient-rows")
+    off = vectors.logistic(vectors.dot(F.col("embedding"), vectors.vector(coef)) + intercept) - F.col("label")
+    total = rows.agg(F.sum("w")).first()[0]
+    each = rows.select((F.col("w") * off / total).alias("g"), F.posexplode(F.concat(F.array(F.lit(1.0).cast("float")), "embedding")).alias("at", "x"))
+    pull = F.element_at(vectors.vector([0.0, *coef]), F.col("at") + 1) / (2.0 * total)  # the penalty's share, none for the intercept
+    sums = each.groupBy("at").agg(F.sum(F.col("g") * F.col("x")).alias("g"))
+    return sums.select((F.col("at") - 1).cast("long").alias("pos"), (F.abs(F.col("g") + pull) < 1e-5).alias("flat"))
+
+
 def joined_at_rest(spark: SparkSession, d: str) -> DataFrame:
     """J12 and J9 over tables in buckets of the face: faces with vectors, without those that are done."""
     e = table(spark, d, "embeddings")
@@ -345,7 +370,7 @@ QUERIES = {
     "a5_tag_summary": tag_summary, "t4_marked_page": marked_page, "f13_halves": halves, "p2_regular_names": regular_names, "p5_presumed": presumed, "a18_summed_catalogue": summed_catalogue, "a14_label_totals": label_results,
     "a3_step_progress": progress, "f8_tidy_lines": tidy_lines,
     "w1_part_numbers": numbered, "w3_ordinals": ordinals, "j5_matched": matched, "a19_gated": gated, "f11_overlays": overlays, "t7_work_order": work_order, "p11_filters": filters, "a4_facet_counts": facet_counts,
-    "a2_detailed_stats": detailed_stats, "j12_with_vectors": with_vectors, "j12_at_rest": joined_at_rest, "m7_replaced": replaced_members, "s9_frame_files": frame_files, "v5_frame_quality": frame_quality, "s1_csv_files": csv_files, "s3_srt_files": srt_files, "s4_json_lists": json_lists, "s10_catalogue_csv": catalogue_csv,
+    "a2_detailed_stats": detailed_stats, "j12_with_vectors": with_vectors, "j12_at_rest": joined_at_rest, "f7_known": known_repairs, "v7_gradient": trained_gradient, "m7_replaced": replaced_members, "s9_frame_files": frame_files, "v5_frame_quality": frame_quality, "s1_csv_files": csv_files, "s3_srt_files": srt_files, "s4_json_lists": json_lists, "s10_catalogue_csv": catalogue_csv,
     "s5_slices": slices, "s5_items": items, "s7_ttml_runs": ttml_files, "m2_loaded": loaded, "m2_load_counts": load_counts, "st1_streamed": streamed,
 }
 
@@ -428,6 +453,9 @@ SQL = {
         WITH o AS (SELECT o_orderkey AS path, o_orderpriority AS tag, o_orderkey % 4 AS post_count, o_orderkey % 13 = 0 AS skip, o_orderkey % 3 = 0 AS drawn, o_orderkey % 2 = 0 AS over, epoch_us(o_orderdate) AS last_posted FROM orders)
         SELECT tag, CAST(grouping(tag) AS INT) AS level, count(*) AS shots, count(*) FILTER (post_count > 0) AS posted, min(post_count) FILTER (NOT skip) AS least_posted, count(*) FILTER (drawn) AS drawn,
                count(*) FILTER (NOT drawn AND over) AS pasted, count(*) FILTER (NOT drawn AND NOT over) AS burned_in, count(*) FILTER (skip) AS skipped, arg_max(path, (last_posted, path)) AS latest FROM o GROUP BY ROLLUP (tag)""",
+    "f7_known": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'I say ' || p_name || ', it is ' || p_partkey || '0,000 or 6-0' WHEN 1 THEN '-What ' || p_name || ' -Why, into ' || p_partkey || '0'
+        ELSE '-Yes ' || p_name || ' Isn''t it''s 30-0' END AS text FROM part""",
+    "v7_gradient": "SELECT DISTINCT unnest(range(-1, len(embedding)))::BIGINT AS pos, true AS flat FROM embeddings",
     "j12_at_rest": "SELECT a.label AS cluster, count(*) AS faces, CAST(sum(len(b.embedding)) AS BIGINT) AS numbers FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id * 2 WHERE b.vec_id % 5 <> 0 GROUP BY 1",
     "m7_replaced": shot_queries.PROBS + """SELECT p.tag, p.path, round(CASE WHEN p.tag = 'toxic' THEN 1 - p.prob ELSE p.prob END, 6) AS prob FROM probs p LEFT JOIN lab l ON l.tag = p.tag AND l.path = p.path
         WHERE coalesce(l.label = 1, CASE WHEN p.tag = 'toxic' THEN 1 - p.prob ELSE p.prob END >= 0.5)""",
