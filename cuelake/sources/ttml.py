@@ -22,69 +22,86 @@ def _percent(value: str | None) -> float | None:
         return None
 
 
-class _File:
-    """Styles and regions of a file, by id."""
-
-    def __init__(self, root: ElementTree.Element):
-        self.root = root
-        self.styles = {s.get(XML_ID): s for s in root.iter(NAMESPACE + "style")}
-        self.places = {r.get(XML_ID): place for r in root.iter(NAMESPACE + "region") if (place := self._place(r))}
-
-    @staticmethod
-    def _place(region: ElementTree.Element) -> tuple[str, float] | None:
-        top, height = _percent(region.get(STYLING + "origin")), _percent(region.get(STYLING + "extent"))
-        if top is None or height is None:
-            return None
-        kinds = {"before": ("top", top), "center": ("center", top + height / 2)}
-        return kinds.get(region.get(STYLING + "displayAlign") or "after", ("bottom", top + height))
-
-    def colour(self, element: ElementTree.Element, above: str, depth: int = 0) -> str:
-        """An element's own colour, else that of its last style that has one, else the one above. Styles that go round end."""
-        own = element.get(STYLING + "color")
-        if own:
+def _place(region: dict[str, str]) -> tuple[str, float]:
+    top, height = _percent(region.get(STYLING + "origin")), _percent(region.get(STYLING + "extent"))
+    if top is None or height is None:
+        return DEFAULT_PLACE
+    return {"before": ("top", top), "center": ("center", top + height / 2)}.get(region.get(STYLING + "displayAlign") or "after", ("bottom", top + height))
+
+
+class _Reader:
+    """Takes a file's tags and text as they come and writes down runs. `around` holds the colour of each open element of a paragraph."""
+
+    def __init__(self):
+        self.styles: dict[str | None, dict[str, str]] = {}
+        self.places: dict[str | None, tuple[str, float]] = {}
+        self.around: list[str] = []
+        self.rows: list[tuple] = []
+        self.heard: list[str] = []
+        self.cues = self.line = self.run = self.breaks = 0
+        self.times: tuple | None = None  # of what is timed and open
+        self.timed_at = 0
+
+    def styled(self, attributes: dict[str, str], seen: frozenset = frozenset()) -> str | None:
+        """A colour of one's own, else of the last style named that has one."""
+        if own := attributes.get(STYLING + "color"):
             return "#" + own.removeprefix("#")[:6].lower()
-        for name in (element.get("style") or "").split() if depth < 32 else ():
-            if name in self.styles:
-                above = self.colour(self.styles[name], above, depth + 1)
-        return above
-
-    def pieces(self, element: ElementTree.Element, above: str) -> Iterator[tuple[str | None, str]]:
-        """Text and colour in order, a null text for a line break. What follows an element has the colour around it."""
-        mine = self.colour(element, above)
-        yield element.text or "", mine
-        for child in element:
-            if child.tag == NAMESPACE + "br":
-                yield None, mine
-            else:
-                yield from self.pieces(child, mine)
-            yield child.tail or "", mine
-
-    def timed(self) -> Iterator[tuple[ElementTree.Element, ElementTree.Element, str]]:
-        """Paragraphs with what is timed in them: themselves, else each timed child."""
-        for p in self.root.iter(NAMESPACE + "p"):
-            if p.get("begin"):
-                yield p, p, WHITE
-            else:
-                yield from ((p, child, self.colour(p, WHITE)) for child in p if child.get("begin"))
+        names = [n for n in (attributes.get("style") or "").split() if n in self.styles and n not in seen]
+        return next((c for n in reversed(names) if (c := self.styled(self.styles[n], seen | {n}))), None)
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        self.said()
+        name = tag.removeprefix(NAMESPACE)
+        if name == "style":
+            self.styles[attributes.get(XML_ID)] = attributes
+        elif name == "region":
+            self.places[attributes.get(XML_ID)] = _place(attributes)
+        if name == "p" and not self.around:
+            self.place, colour = self.places.get(attributes.get("region"), DEFAULT_PLACE), WHITE
+        elif self.around:
+            colour = self.around[-1]
+        else:
+            return
+        self.around.append(self.styled(attributes) or colour)
+        if name == "br":
+            self.breaks += 1
+            self.line, self.run = self.line + 1, 0
+        elif not self.times and len(self.around) <= 2 and attributes.get("begin"):  # a paragraph, or what stands in one that has no time
+            self.times, self.timed_at = (attributes["begin"], attributes.get("end")), len(self.around)
+            self.line = self.run = 0
+
+    def end(self, tag: str) -> None:
+        self.said()
+        if not self.around:
+            return
+        self.breaks -= tag == NAMESPACE + "br"
+        if self.times and len(self.around) == self.timed_at:
+            self.times = None
+            self.cues += 1
+        self.around.pop()
+
+    def data(self, text: str) -> None:
+        self.heard.append(text)
+
+    def said(self) -> None:
+        """What has been heard since the last tag is a run in the colour of the innermost open element."""
+        text, self.heard = "".join(self.heard), []
+        if text and self.times and not self.breaks:
+            self.rows.append((self.cues, *self.times, *self.place, self.line, self.run, text, self.around[-1]))
+            self.run += 1
+
+    def close(self) -> list[tuple]:
+        return self.rows
 
 
 def ttml_runs(xml: str | None) -> list[tuple]:
     """The runs of a file, as RUNS lists them; none for a null or broken file."""
+    parser = ElementTree.XMLParser(target=_Reader())
     try:
-        file = _File(ElementTree.fromstring((xml or "").encode()))
+        parser.feed((xml or "").encode())
+        return parser.close()
     except ElementTree.ParseError:
         return []
-    out = []
-    for number, (p, element, above) in enumerate(file.timed()):
-        anchor, place = file.places.get(p.get("region"), DEFAULT_PLACE)
-        line = run = 0
-        for text, colour in file.pieces(element, above):
-            if text is None:
-                line, run = line + 1, 0
-            elif text:
-                out.append((number, element.get("begin"), element.get("end"), anchor, place, line, run, text, colour))
-                run += 1
-    return out
 
 
 class TtmlRuns:
