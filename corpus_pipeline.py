@@ -68,7 +68,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        out = bpe_encode(docs, f.read(), public_tokenizers.PATTERN, decode=True, batch_bytes=1 << 20, pieces=200_000)  # other stages' memory is there too
+        out = bpe_encode(docs, f.read(), public_tokenizers.PATTERN, decode=True, batch_bytes=1 << 20, pieces=100_000)  # other stages' memory is there too
     return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
