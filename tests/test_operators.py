@@ -1,6 +1,8 @@
 """Worked examples and properties of single operators."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -68,6 +70,28 @@ def test_tidy_runs(spark):
     assert [tuple(x) for x in df.select(tx.tidy_runs(F.col("r"))).first()[0]] == [("a b", "W"), (" c", "Y")]
 
 
+def test_tidy_runs_of_a_long_line(spark):
+    """Thousands of runs in two colours, some empty, some without a colour (which are never merged), against a plain loop; what a line costs follows its length."""
+    rng = random.Random(5)
+    rows = [[(rng.choice(["a ", " b", "", " ", "c  d"]), rng.choice(["W", "W", "Y", None])) for _ in range(n)] for n in (0, 1, 2, 7, 3000)]
+
+    def plain(runs):
+        out = []
+        for t, c in ((re.sub(r"\s+", " ", t), c) for t, c in runs):
+            if t and out and c is not None and out[-1][1] == c:
+                out[-1] = (re.sub(r"\s+", " ", out[-1][0] + t), c)
+            elif t:
+                out.append((t, c))
+        ends = [(t.strip(" ") if len(out) == 1 else t.lstrip(" ") if i == 0 else t.rstrip(" ") if i == len(out) - 1 else t, c) for i, (t, c) in enumerate(out)]
+        return [x for x in ends if x[0]]
+
+    df = spark.createDataFrame(list(enumerate([*rows, None])), "k int, r array<struct<text:string,colour:string>>").coalesce(1)
+    began = time.time()
+    got = {r["k"]: r["t"] for r in df.select("k", tx.tidy_runs(F.col("r")).alias("t")).collect()}
+    assert [[tuple(x) for x in got[k]] for k in range(len(rows))] == [plain(r) for r in rows] and got[len(rows)] is None
+    assert time.time() - began < 30
+
+
 def test_chunks(spark):
     long, clauses = "word " * 40, "one clause that is some thirty, " * 4
     df = spark.createDataFrame([("One. Two? Three.",), (long,), (clauses,), ("",), (None,), ("x" * 100 + " y",)], "t string")
