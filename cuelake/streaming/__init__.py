@@ -16,20 +16,33 @@ from cuelake.operators import shots
 from cuelake.staging import shared_dir
 
 
+#: Parts that record keys are dealt to. A batch costs a few milliseconds for each part that it touches, not for each key.
+KEY_PARTS = 1 << 14
+
+
 class _FirstReport(StatefulProcessor):
-    """Lets the earliest row of a key pass, and no other ever after (or until `keep` milliseconds have gone by)."""
+    """Lets the earliest row of each key of a part pass, and no other of it ever after (or until `keep` milliseconds have gone by).
+
+    The state of a part is the list of its keys: read once and appended to once a batch, each key with a time to live of its own."""
 
     def __init__(self, keep: int | None):
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "ts timestamp", self.keep)
+        self.seen = handle.getListState("seen", "rkey string", self.keep)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if not self.seen.exists():
-            first = pd.concat(list(rows)).sort_values(["ts", "path", "outcome"]).head(1)
-            self.seen.update((first["ts"].iloc[0].to_pydatetime(),))
-            yield first
+        first = None
+        for some in rows:  # of a key that stands in many rows one is held
+            both = some if first is None else pd.concat([first, some])
+            first = both.sort_values(["ts", "path", "outcome"]).drop_duplicates("rkey")
+        if first is None:
+            return
+        seen = {r[0] for r in self.seen.get()} if self.seen.exists() else set()
+        fresh = first[~first["rkey"].isin(seen)]
+        if len(fresh):
+            self.seen.appendList([(k,) for k in fresh["rkey"]])
+            yield fresh[["rkey", "path", "outcome", "ts"]]
 
     def close(self) -> None:
         pass
@@ -50,14 +63,15 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
 def first_reports(outcomes: DataFrame, keep: int | None = None) -> DataFrame:
     """ST2: the first report (rkey, path, outcome, ts) of each record key; works on a table and, in append mode, on a stream.
 
-    In a stream each key has a state of its own, so that a key reported again counts once however late that is;
-    with `keep` (milliseconds) its state goes after that time and a later report counts again. Reports without a key or time are left out.
+    In a stream each key is kept in a state, so that a key reported again counts once however late that is;
+    with `keep` (milliseconds) it goes after that time and a later report counts again. Reports without a key or time are left out.
+    Keys are dealt to KEY_PARTS parts by hash, so that Python and its state are asked once for each part of a batch.
     """
     rows = outcomes.where("rkey IS NOT NULL AND ts IS NOT NULL").select("rkey", "path", "outcome", "ts")
     if not outcomes.isStreaming:
         return rows.groupBy("rkey").agg(F.min(F.struct("ts", "path", "outcome")).alias("r")).select("rkey", "r.path", "r.outcome", "r.ts")
-    processor = _FirstReport(keep)
-    return rows.groupBy("rkey").transformWithStateInPandas(processor, rows.schema, "append", "ProcessingTime" if keep else "None")
+    parts = rows.withColumn("_part", F.pmod(F.xxhash64("rkey"), F.lit(KEY_PARTS)))
+    return parts.groupBy("_part").transformWithStateInPandas(_FirstReport(keep), rows.schema, "append", "ProcessingTime" if keep else "None")
 
 
 def outcomes_folded(reports: DataFrame) -> DataFrame:

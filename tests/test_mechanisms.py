@@ -8,6 +8,7 @@ import os
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,28 @@ def test_a_folder_that_loses_all_shots_leaves_no_bucket_behind(spark, tmp_path):
     assert [tuple(r) for r in streaming.stored(spark, folder, "manifest", manifest.schema).collect()] == [("d", 2, 0)]
 
 
+def test_first_reports_of_many_keys_in_one_call():
+    """A part's keys come in one call, each with its earliest row; its state is read and appended to once. Keys that were seen have no row again."""
+    held, calls = [], []
+
+    class Seen:
+        exists = staticmethod(lambda: bool(held))
+        get = staticmethod(lambda: iter(held))
+
+        def appendList(self, rows):  # noqa: N802
+            calls.append(len(rows))
+            held.extend(rows)
+
+    processor = streaming._FirstReport(None)
+    processor.init(type("Handle", (), {"getListState": lambda self, name, schema, keep: Seen()})())
+    at = lambda h: pd.Timestamp(2024, 1, 1) + pd.Timedelta(hours=h)
+    frame = lambda keys, h: pd.DataFrame({"rkey": keys, "path": "p", "outcome": "posted", "ts": [at(h + i % 3) for i in range(len(keys))], "_part": 0})
+    keys = [f"k{i % 500}" for i in range(2000)]
+    got = pd.concat(processor.handleInputRows((0,), iter([frame(keys, 9), frame(keys, 2)]), None))
+    assert sorted(got["rkey"]) == sorted(set(keys)) and set(got["ts"]) <= {at(2), at(3), at(4)} and list(got) == ["rkey", "path", "outcome", "ts"]
+    assert [r for x in processor.handleInputRows((0,), iter([frame([*keys, "new"], 0)]), None) for r in x["rkey"]] == ["new"] and calls == [500, 1]
+
+
 def test_stream_of_late_repeats_equals_batch(spark, tmp_path):
     """Keys come again days after the watermark of any other event, in later files; null keys and times count for nothing."""
     at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
