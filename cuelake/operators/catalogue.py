@@ -180,7 +180,8 @@ def folder_words(folder: Column, prefix: str = "") -> Column:
 
 def _indexed(side: DataFrame, name: str, counts: DataFrame, least: float) -> DataFrame:
     """(season, name, words, tokens) to a row for each of its first tokens, rarest first. Of two lists that are alike enough, these have one in common."""
-    tokens = side.select("season", name, "words", F.explode("tokens").alias("token")).join(counts, ["season", "token"])
+    # counts have a row for each token and season: as files they are small, as a broadcast they grow with the table
+    tokens = side.select("season", name, "words", F.explode("tokens").alias("token")).join(counts.hint("merge"), ["season", "token"])
     rows = tokens.groupBy("season", name, "words").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
     n = F.size("t")
     first = F.slice("t", F.lit(1), (n - F.ceil(n * (least / (2 - least)) - 1e-9) + 1).cast("int"))
@@ -198,7 +199,7 @@ def fuzzy_candidates(folders: DataFrame, serials: DataFrame, least: float) -> Da
     each = [x.select("season", F.explode("tokens").alias("token")) for x in sides]
     counts = written(each[0].unionByName(each[1]).groupBy("season", "token").agg(F.count("*").alias("n")), "word-counts")
     a, b = (_indexed(x, name, counts, least) for x, name in zip(sides, ("folder", "serial"), strict=True))
-    met = a.join(b.withColumnRenamed("words", "_w"), ["season", "token"]).select("season", "folder", "words", "serial", "_w")
+    met = a.join(b.withColumnRenamed("words", "_w").hint("merge"), ["season", "token"]).select("season", "folder", "words", "serial", "_w")
     la, lb = F.size("words"), F.size("_w")
     enough = lambda n: 2 * n >= least * (la + lb) - 1e-9
     met = met.where(enough(F.least(la, lb))).distinct()
