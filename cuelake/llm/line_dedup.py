@@ -158,7 +158,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     bits = bits_for(drops.count())
     rows = marked(rows, F.xxhash64("_doc"), bitmap_of(drops, F.xxhash64("_id"), bits), bits)
-    losing = rows.where("_marked").join(drops, F.col("_doc").eqNullSafe(F.col("_id")), "left").drop("_marked", "_id")
+    # a shuffle at every size: broadcast, the keys to drop would reach every executor and grow with the corpus
+    losing = rows.where("_marked").join(drops.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")), "left").drop("_marked", "_id")
     joined = losing.unionByName(rows.where("NOT _marked").drop("_marked").withColumn("drop_keys", F.lit(None).cast("array<long>")))
     lines = lines_of(F.col("_text"))
 

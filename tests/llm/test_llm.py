@@ -80,6 +80,12 @@ def test_agrees_with_sql(name, agree):
     agree(q.queries()[name], q.oracle_sql()[name])
 
 
+def test_line_dedup_joins_alike_at_every_size(docs):
+    """Texts meet the keys they lose by a shuffle on small tables too, so that what is measured there grows in proportion."""
+    plan = line_dedup(docs, filter_bits=1 << 18)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftOuter" in plan.partition("SortMergeJoin")[2].partition("\n")[0]
+
+
 def test_line_dedup(docs):
     holders: dict[str, set] = {}
     for d, t in rows_of(docs):
