@@ -31,14 +31,20 @@ def _buckets(df: DataFrame, bucket: float) -> DataFrame:
     return df.where(F.col("start") < F.col("end")).withColumn("_b", F.explode(span))
 
 
+def _spans(events: DataFrame, bucket: float) -> DataFrame:
+    """Every distinct (ep, start, end) with its midpoint and the bucket of that, dealt by episode and bucket: as these follow
+    from the span, one shuffle does for telling spans apart, for their join and for what is gathered by span after it."""
+    spans = events.select("ep", "start", "end").withColumn("mid", midpoint()).withColumn("_b", F.floor(F.col("mid") / bucket))
+    return spans.repartition("ep", "_b").distinct().hint("merge")  # as a broadcast they would grow with the table
+
+
 def spans_with_events(events: DataFrame, bucket: float) -> DataFrame:
-    """Every distinct (ep, start, end) with each event visible at its midpoint.
+    """Every distinct (ep, start, end), with its bucket _b, with each event visible at its midpoint.
 
     A span has one bucket, that of its midpoint, and an event has all buckets it touches, so each
     match is found once and a very long episode is spread over many (ep, bucket) keys.
     """
-    spans = events.select("ep", "start", "end").distinct().withColumn("mid", midpoint())
-    spans = spans.withColumn("_b", F.floor(F.col("mid") / bucket))
+    spans = _spans(events, bucket)
     e = _buckets(events.select("ep", "ord", "text", "start", "end"), bucket).select("ep", "_b", "ord", "text", F.col("start").alias("e_start"), F.col("end").alias("e_end"))
     return spans.join(e, ["ep", "_b"]).where((F.col("e_start") <= F.col("mid")) & (F.col("mid") < F.col("e_end")))
 
@@ -47,7 +53,7 @@ def visible_text(events: DataFrame, bucket: float = 10.0) -> DataFrame:
     """J1 + A7: one cue per distinct (ep, start, end) with the distinct texts visible at its midpoint."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"])
     joined = spans_with_events(events, bucket)
-    return joined.groupBy("ep", "start", "end").agg(F.array_join(F.array_distinct(texts), "\n").alias("text"))
+    return joined.groupBy("ep", "_b", "start", "end").agg(F.array_join(F.array_distinct(texts), "\n").alias("text")).drop("_b")
 
 
 def timed(events: DataFrame) -> DataFrame:
@@ -105,11 +111,11 @@ def cue_lines(paragraphs: DataFrame, bucket: float = 10.0) -> DataFrame:
     """Per distinct span all lines visible at its midpoint, in order, and how many each paragraph gives.
 
     paragraphs: ep, ord, start, end, lines (array of string)."""
-    spans = paragraphs.select("ep", "start", "end").distinct().withColumn("mid", midpoint()).withColumn("_b", F.floor(midpoint() / bucket))
+    spans = _spans(paragraphs, bucket)
     e = _buckets(paragraphs, bucket).select("ep", "_b", "ord", "lines", F.col("start").alias("e_start"), F.col("end").alias("e_end"))
     hit = spans.join(e, ["ep", "_b"]).where((F.col("e_start") <= F.col("mid")) & (F.col("mid") < F.col("e_end")))
     rows = F.array_sort(F.collect_list(F.struct("ord", "lines")))
-    grouped = hit.groupBy("ep", "start", "end").agg(rows.alias("r"))
+    grouped = hit.groupBy("ep", "_b", "start", "end").agg(rows.alias("r"))
     return grouped.select("ep", "start", "end", F.flatten("r.lines").alias("lines"), F.transform("r.lines", lambda x: F.size(x)).alias("placement"))
 
 

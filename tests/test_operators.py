@@ -64,6 +64,15 @@ def test_ocr(spark, read, meant):
     assert spark.createDataFrame([(read,)], "t string").select(tx.ocr_repaired(F.col("t"))).first()[0] == meant
 
 
+@pytest.mark.parametrize("job", ["cue_lines", "visible_text"])
+def test_cues_are_shuffled_once_a_side(spark, job):
+    """Spans are told apart, joined and gathered where their episode and bucket were dealt to; what was found is not shuffled again."""
+    df = spark.createDataFrame([("e", i, float(i), i + 2.0, "t", ["a"]) for i in range(9)], EVENTS + ", lines array<string>").hint("merge")
+    out = getattr(cues, job)(df, 4.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" in plan and out.count() == 9
+
+
 def test_tidy_runs(spark):
     runs = [("a ", "W"), ("", "W"), ("b", "W"), (" c", "Y")]
     df = spark.createDataFrame([(runs,)], "r array<struct<text:string,colour:string>>")
