@@ -15,7 +15,7 @@ from cuelake.functions import text as tx
 from cuelake.jobs import shot_queries
 from cuelake.operators import catalogue, cues, faces, frames, overlay, shots, tags, vectors
 from cuelake.sources import ttml
-from cuelake.staging import at_rest, shared_dir, table, written
+from cuelake.staging import at_rest, shared_dir, small_batches, table, written
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -152,7 +152,8 @@ def frame_files(spark: SparkSession, d: str) -> DataFrame:
 
     folder = _folder(spark, "frames")
     name = F.concat(F.lit("e"), F.col("vec_id") % 10, F.lit("/"), F.col("vec_id").cast("string"), F.lit(".png"))
-    written(sources.write_files(e.select(name.alias("name"), F.pandas_udf(data, "binary")(F.struct("width", "height", "embedding")).alias("data")), folder), "frame-names")
+    with small_batches(spark, frames.FRAMES):
+        written(sources.write_files(e.select(name.alias("name"), F.pandas_udf(data, "binary")(F.struct("width", "height", "embedding")).alias("data")), folder), "frame-names")
     path = lambda at: F.regexp_extract(at, "(e[0-9]/[0-9]+[.]png)$", 1)
     done = e.where("vec_id % 9 = 0").select(name.alias("path"))
     rows = frames.measured(spark, f"{folder}/e*/*.png", done, block_means, path)

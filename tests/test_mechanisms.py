@@ -59,6 +59,18 @@ def test_a_folder_that_loses_all_shots_leaves_no_bucket_behind(spark, tmp_path):
     assert [tuple(r) for r in streaming.stored(spark, folder, "manifest", manifest.schema).collect()] == [("d", 2, 0)]
 
 
+def test_frames_go_to_python_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), {}
+    kept = frames.written
+    monkeypatch.setattr(frames, "written", lambda df, what: seen.__setitem__(what, int(spark.conf.get(name))) or kept(df, what))
+    files = [(f"e0/{i}.png", bytearray(sources.png(bytes(64), 8, 8))) for i in range(3)]
+    sources.write_files(spark.createDataFrame(files, "name string, data binary"), f"file://{tmp_path}/frames").collect()
+    none = spark.createDataFrame([], "path string")
+    rows = frames.measured(spark, f"{tmp_path}/frames/e*/*.png", none, lambda: lambda batch: batch.reshape(len(batch), -1)[:, :2], lambda at: F.regexp_extract(at, "(e[0-9]/[0-9]+[.]png)$", 1), side=4)
+    assert rows.count() == 3 and seen["frames"] == 32 and spark.conf.get(name) == before
+
+
 def test_first_reports_of_many_keys_in_one_call():
     """A part's keys come in one call, each with its earliest row; its state is read and appended to once. Keys that were seen have no row again."""
     held, calls = [], []
