@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from cuelake.operators import shots
-from cuelake.staging import shared_dir
+from cuelake.staging import shared_dir, written
 
 
 #: Parts that record keys are dealt to. A batch costs a few milliseconds for each part that it touches, not for each key.
@@ -113,7 +113,7 @@ def _publish(spark: SparkSession, folder: str, number: int, parts: dict[str, Dat
     rows = list(before)
     for name, part in parts.items():
         path = edition(folder, name, number)
-        part.withColumn("bucket", _bucket(buckets)).write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
+        part.withColumn("bucket", _bucket(buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
         held = spark.read.schema(StructType([*part.schema, StructField("bucket", IntegerType())])).parquet(path).groupBy("bucket").count().collect()  # a row for each bucket written
         rows += [Row(table=name, bucket=r["bucket"], number=number, rows=r["count"]) for r in held]
     listing = spark.createDataFrame([(r["table"], r["bucket"], r["number"], r["rows"], buckets) for r in rows], "table string, bucket int, number int, rows long, buckets int")
@@ -162,7 +162,8 @@ def load_continuously(manifests: DataFrame, folder: str, rows_of: Callable[[Data
         touched = {r[0] for r in todo.select(_bucket(buckets)).distinct().collect()}
         old, manifest = (stored(spark, folder, name, schemas[name], before, touched) for name in ("shots", "manifest"))
         changed = latest.where(_bucket(buckets).isin(touched)) if touched else latest.limit(0)
-        new, known, counts = shots.loaded(old, manifest, changed, rows_of(batch), described, within)
+        rows = written(rows_of(changed), "st1-rows") if touched else rows_of(changed)  # joined and counted several times
+        new, known, counts = shots.loaded(old, manifest, changed, rows, described, within)
         rest = [r for r in before if r["bucket"] not in touched]
         parts = {"shots": new.select(*schemas["shots"].names), "manifest": known.select(*schemas["manifest"].names)}
         others = sum(r["rows"] for r in rest if r["table"] == "shots")

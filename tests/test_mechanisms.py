@@ -47,6 +47,16 @@ def test_bytes_written_follow_the_changed_folders(spark, tmp_path):
     assert counts == [(0, 0, 0, 4800)] * 3
 
 
+def test_an_edition_has_one_file_a_bucket(spark, tmp_path):
+    """However many tasks have rows of a bucket, so that files follow the buckets, not buckets times tasks."""
+    rows = [(f"d{i}/{j}", f"d{i}", float(j), "a", 0, None) for i in range(40) for j in range(5)]
+    stored = spark.createDataFrame(rows, "path string, dir string, start double, text string, post_count long, last_posted long").repartition(6)
+    streaming.begun(stored, spark.createDataFrame([(f"d{i}", 1, 1) for i in range(40)], "dir string, mtime long, size long"), f"{tmp_path}/shots", buckets=4)
+    for name in ("shots", "manifest"):
+        folders = [list(p.glob("*.parquet")) for p in Path(f"{tmp_path}/shots/{name}/edition=-1").glob("bucket=*")]
+        assert [len(files) for files in folders] == [1] * 4
+
+
 def test_a_folder_that_loses_all_shots_leaves_no_bucket_behind(spark, tmp_path):
     folder = f"{tmp_path}/shots"
     stored = spark.createDataFrame([("d/1", "d", 1.0, "a", 0, None)], "path string, dir string, start double, text string, post_count long, last_posted long")
