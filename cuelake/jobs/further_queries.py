@@ -179,9 +179,10 @@ def csv_files(spark: SparkSession, d: str) -> DataFrame:
 def srt_files(spark: SparkSession, d: str) -> DataFrame:
     """S3: cues to SRT files and back."""
     folder = _folder(spark, "srt")
-    sources.write_srt(_cues(spark, d), folder)
-    got = sources.read_srt(spark, f"{folder}/*/*.txt")
-    ep = F.regexp_extract("path", r"/ep=([0-9]+)/", 1).cast("long")
+    with small_batches(spark, 500):
+        sources.write_srt(_cues(spark, d), folder)
+    got = sources.read_srt(spark, folder)
+    ep = F.nullif(F.regexp_extract("path", r"/ep=(-?[0-9]+)[.]srt$", 1), F.lit("")).cast("long")
     return got.select(ep.alias("ep"), F.col("number").cast("long").alias("number"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "text")
 
 

@@ -35,8 +35,8 @@ def srt_blocks(cues: DataFrame) -> DataFrame:
 
 
 def read_srt(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """S3: blocks of SRT files: path, number, start, end, text. Line ends of any kind; blocks stand one or more empty lines apart."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("v"))
+    """S3: blocks of SRT files, or of all below a folder: path, number, start, end, text. Line ends of any kind; blocks stand one or more empty lines apart."""
+    files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("v"))
     raw = files.select("path", F.explode(F.split("v", r"\n[ \t]*\n\s*(?=[0-9]+[ \t]*\n)")).alias("b")).withColumn("b", F.btrim("b", F.lit("\ufeff \n")))
     clock = r"([0-9]+):([0-9]+):([0-9]+),([0-9]+)"
     seconds = lambda g: sum(F.regexp_extract("b", rf"^[0-9]+[ \t]*\n{clock} --> {clock}", g + i).try_cast("double") * w for i, w in enumerate((3600.0, 60.0, 1.0, 0.001)))
@@ -44,10 +44,16 @@ def read_srt(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.where("start IS NOT NULL")
 
 
-def write_srt(cues: DataFrame, path: str) -> None:
-    """S3: SRT files, a folder `ep=...` for each episode, whose blocks stay together and in order."""
-    blocks = srt_blocks(cues).repartition("ep").sortWithinPartitions("ep", "number")
-    blocks.select("ep", "block").write.option("lineSep", "\n\n").partitionBy("ep").text(path)
+def write_srt(cues: DataFrame, path: str, folders: int = 64) -> None:
+    """S3: an SRT file `ep=....srt` for each episode, whose blocks stay together and in order, in `folders` folders; `_files` lists them.
+
+    A folder of its own for each episode would be made, moved and listed apart, which costs many times what its file does. An episode is a row,
+    as it is for who reads it."""
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("number", "block"))), lambda x: F.concat(x["block"], F.lit("\n\n")))
+    name = F.concat(F.lit("ep="), F.coalesce(F.url_encode(F.col("ep").cast("string")), F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit(".srt"))
+    files = srt_blocks(cues).groupBy("ep").agg(F.array_join(blocks, "").cast("binary").alias("data"))
+    folder = F.format_string("%02d/", F.pmod(F.xxhash64("ep"), F.lit(folders)))
+    write_files(files.select(F.concat(folder, name).alias("name"), "data"), path).write.parquet(f"{path}/_files")
 
 
 def read_subtitle_csv(spark: SparkSession, pattern: str) -> DataFrame:

@@ -28,6 +28,20 @@ def test_srt_line_ends_and_empty_lines(spark, tmp_path, end):
     assert [(r["number"], round(r["start"], 3), round(r["end"], 3), r["text"]) for r in got] == [(1, 1.0, 2.5, "One\ntwo"), (2, 3600.001, 3601.0, "Three")]
 
 
+def test_srt_files_of_many_episodes(spark, tmp_path):
+    """Folders don't grow in number with the episodes; each episode is one file, in order, and no cues give no files."""
+    cues = spark.createDataFrame([(e, k, float(9 - k), 10.0, f"{e} at {k}" if k else " ") for e in [None, -1, *range(300)] for k in range(3)], "ep long, ord long, start double, end double, text string")
+    sources.write_srt(cues, f"file://{tmp_path}/all", folders=4)
+    assert len([x for x in (tmp_path / "all").iterdir() if x.name != "_files"]) == 4
+    assert len(list((tmp_path / "all").rglob("*.srt"))) == 302
+    got = sources.read_srt(spark, f"{tmp_path}/all").withColumn("path", F.regexp_extract("path", "/ep=([^/]*)[.]srt$", 1)).orderBy("number").collect()
+    names = {str(e): e for e in [-1, *range(300)]} | {"__HIVE_DEFAULT_PARTITION__": None}
+    assert len(got) == 604
+    assert {(names[r["path"]], r["number"], r["start"], r["text"]) for r in got} == {(e, n, float(n + 6), f"{e} at {3 - n}") for e in names.values() for n in (1, 2)}
+    sources.write_srt(cues.where("ep > 300"), f"file://{tmp_path}/none")
+    assert sources.read_srt(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_catalogue_files(spark, tmp_path):
     (tmp_path / "c.json").write_text('[{"name": "A", "season": 1, "type": "regular", "airdate": "1963-11-23"}, {"name": "B", "season": null}]')
     got = sources.read_catalogue_json(spark, f"{tmp_path}/c.json").orderBy("ord").collect()
