@@ -49,6 +49,17 @@ def counted(codes: np.ndarray) -> pd.Series:
     return pd.Series(codes).value_counts(sort=False)
 
 
+def tallied(codes: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and how often each occurs (or the sum of its `times`)."""
+    if times is None:
+        codes = np.sort(codes)
+    else:
+        order = np.argsort(codes)
+        codes, times = codes[order], times[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1])))
+    return codes[first], np.diff(first, append=len(codes)).astype(np.int32) if times is None else np.add.reduceat(times, first, dtype=np.int64) if len(first) else times
+
+
 class Automaton:
     """Contexts as a trie with suffix links, so that each byte costs two table look-ups.
 
@@ -94,8 +105,9 @@ class Automaton:
                 at = first[d] + np.searchsorted(keys[d], some)
                 p[at] = blend(dense, p[at].astype(np.float64))
         p[:, -1] /= self.rest
-        self.log2 = np.log2(np.maximum(p, 1e-30)).reshape(-1)
-        self.goto = (goto * width).reshape(-1)
+        np.log2(np.maximum(p, 1e-30, out=p), out=p)  # in place: the tables are what a worker has most of
+        goto *= width
+        self.log2, self.goto = p.reshape(-1), goto.reshape(-1)
 
     def scores(self, symbols: np.ndarray) -> np.ndarray:
         """log2 of the probability of each symbol of a stream. Pieces of it run beside each other,
@@ -137,7 +149,7 @@ def levels_of(codes: np.ndarray, counts: np.ndarray, depth: int, least: int) ->
     return out
 
 
-def _trimmed() -> None:
+def trimmed() -> None:
     """Gives what this task and the worker's earlier ones have freed back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
@@ -146,7 +158,7 @@ def _trimmed() -> None:
 
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that each has about `most` bytes of text, or one row."""
-    _trimmed()
+    trimmed()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -156,4 +168,4 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 <<
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
             yield batch.slice(a, b - a)
             a = b
-    _trimmed()
+    trimmed()

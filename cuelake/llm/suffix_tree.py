@@ -6,14 +6,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.contexts import Automaton, counted, grams, small_batches, stream
+from cuelake.llm.contexts import Automaton, grams, small_batches, stream, tallied
 from cuelake.llm.words import words_of
 from cuelake.staging import written
 
@@ -35,21 +34,25 @@ def smoothed(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
     return (counts + kinds * below) / (counts.sum(axis=1, keepdims=True) + kinds)
 
 
-def _count(depth: int, most: int = 3_000_000):
+def _count(depth: int, most: int = 3_000_000, rows: int = 1 << 18):
+    """Counts of grams, merged over as many batches as have `most` of them together, in batches of `rows`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pd.Series] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
-            total = pd.concat(held).groupby(level=0).sum()
+            codes, times = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return pa.RecordBatch.from_pydict({"gram": total.index.to_numpy().view(np.int64), "n": total.to_numpy().astype(np.int64)})
-
-        for batch in small_batches(batches, "_text", 3 << 20):
-            held.append(counted(grams(stream(plain(batch.column("_text")))[0], depth)))
-            if sum(map(len, held)) > most:
-                yield flush()
+            codes, times = tallied(codes, times)
+            for a in range(0, len(codes), rows):
+                yield pa.RecordBatch.from_pydict({"gram": codes[a : a + rows].view(np.int64), "n": times[a : a + rows].astype(np.int64)})
+
+        for batch in small_batches(batches, "_text", 1 << 20):
+            held.append(tallied(grams(stream(plain(batch.column("_text")))[0], depth)))
+            if sum(len(codes) for codes, _ in held) > most:
+                yield from flush()
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -90,13 +93,15 @@ def learn_tree(texts: DataFrame, depth: int, p_min: float, divergence: float) ->
 def _score(model, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
-        if "ready" not in held and len(held["levels"][0][0]):
-            held["ready"] = Automaton(held["levels"], smoothed)
-        tree = held.get("ready")
+        if "levels" in held:  # given up for the tree, which a worker's next task finds
+            levels = held.pop("levels")
+            held["ready"] = Automaton(levels, smoothed) if len(levels[0][0]) else None
+            del levels
+        tree = held["ready"]
         block = TaskContext.get().partitionId() << 32
         for batch in small_batches(batches, "_text", 32 << 20):
             hashes, sizes, scores = [], [], []
-            for part in small_batches(iter([batch]), "_text", 3 << 20):
+            for part in small_batches(iter([batch]), "_text", 1 << 20):
                 words = words_of(part.column("_text"))
                 hashes.append(words.hashes), sizes.append(words.counts)
                 symbols, starts = stream(plain(part.column("_text")))

@@ -216,3 +216,23 @@ def test_whole_balls_are_assigned_without_a_look_at_their_rows():
     got[rows] = row_of
     assert (got == nearest(ordered, middles, np.ones((5000, 16), bool))[0]).all()
     assert len(rows) < 500
+
+
+def test_grams_leave_a_task_in_small_batches():
+    """All places are counted, however often the counts are merged, and no batch has more than `rows` grams."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from cuelake.llm import suffix_tree
+    from cuelake.llm.contexts import grams, stream
+
+    texts = pa.array([None, "", *("".join(chr(97 + i * k % 23) for i in range(200)) for k in range(60))])
+    batches = [pa.RecordBatch.from_arrays([texts.slice(a, 10)], ["_text"]) for a in range(0, len(texts), 10)]
+    got, sizes = Counter(), []
+    for batch in suffix_tree._count(4, most=500, rows=64)(iter(batches)):
+        sizes.append(batch.num_rows)
+        for gram, n in zip(batch["gram"].to_pylist(), batch["n"].to_pylist(), strict=True):
+            got[gram] += n
+    assert max(sizes) == 64
+    assert got == Counter(grams(stream(suffix_tree.plain(texts))[0], 4).view(np.int64).tolist())
