@@ -10,25 +10,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from cuelake.llm.contexts import small_batches
+from cuelake.llm.contexts import small_batches, trimmed
 from cuelake.llm.words import ranges
 
-#: For short pieces. One token-position row per byte at first, each with the next row's place and
-#: token; each round joins these with the merges and contracts the leftmost pair of the lowest rank
-#: of each piece, until none has a pair.
+#: For short pieces (positions fit in 16 bits). One token-position row per byte at first, each with the next
+#: row's place and token; each round joins these with the merges and contracts the leftmost pair of the lowest
+#: rank of each piece, until none has a pair. A piece's last round is its result.
 ENCODE = """
-WITH RECURSIVE step(round, piece, pos, nxt, token, other) AS (
+WITH RECURSIVE step(round, piece, pos, nxt, token, other) AS MATERIALIZED (
     SELECT 0, piece, pos, nxt, token, lead(token) OVER (PARTITION BY piece ORDER BY pos) FROM bytes_of_pieces
   UNION ALL
-    (WITH lowest AS (SELECT s.piece, min((m.rank::BIGINT << 32) + s.pos) AS turn, arg_min(s.nxt, (m.rank::BIGINT << 32) + s.pos) AS gone
-                     FROM step s JOIN merges m ON m.lhs = s.token AND m.rhs = s.other GROUP BY s.piece),
-     chosen AS (SELECT l.piece, CAST(l.turn & 4294967295 AS INT) AS pos, CAST(l.turn >> 32 AS INT) AS rank, l.gone, q.nxt AS after, q.other
-                FROM lowest l JOIN step q ON q.piece = l.piece AND q.pos = l.gone)
+    (WITH lowest AS (SELECT s.piece, min((m.rank::BIGINT << 32) + (s.pos << 16) + s.nxt) AS turn
+                     FROM step s JOIN pairs m ON m.both = (s.token::BIGINT << 32) + s.other GROUP BY s.piece),
+     chosen AS (SELECT l.piece, CAST((l.turn >> 16) & 65535 AS INT) AS pos, CAST(l.turn >> 32 AS INT) AS rank, q.pos AS gone, q.nxt AS after, q.other
+                FROM lowest l JOIN step q ON q.piece = l.piece AND q.pos = l.turn & 65535)
      SELECT round + 1, s.piece, s.pos, CASE WHEN s.pos = c.pos THEN c.after ELSE s.nxt END, CASE WHEN s.pos = c.pos THEN c.rank ELSE s.token END,
             CASE WHEN s.pos = c.pos THEN c.other WHEN s.nxt = c.pos THEN c.rank ELSE s.other END
      FROM step s JOIN chosen c ON c.piece = s.piece WHERE s.pos <> c.gone)
 )
-SELECT piece, token FROM step QUALIFY round = max(round) OVER (PARTITION BY piece) ORDER BY piece, pos
+SELECT piece, token FROM step JOIN (SELECT piece, max(round) AS round FROM step GROUP BY piece) USING (piece, round) ORDER BY piece, pos
 """
 #: For long pieces, where keeping every round would take too much memory: rows are updated by key, and
 #: only changes are kept. A pair is contracted as soon as no other within {reach} bytes ranks lower: what
@@ -58,8 +58,10 @@ WITH RECURSIVE step(piece, pos, nxt, token) USING KEY (piece, pos) AS (
 SELECT piece, token FROM step WHERE token >= 0 ORDER BY piece, pos
 """
 LONG, SHORT = 48, 12
-#: Of DuckDB; a piece of very many bytes is given as much more as it needs.
-MEMORY_MB = 200
+#: Of DuckDB; pieces and texts are given more by the rows that they make, so one of very many bytes as much as it needs.
+MEMORY_MB = 64
+#: Rows of all rounds that pieces given to `ENCODE` together may make, and ids given to `DECODE` together (one text at least).
+ROWS, IDS = 1_200_000, 500_000
 #: A space after other white space. Without one, a text can be cut before each of its spaces, as no
 #: piece goes on across it: pieces hold white space only, or one space and then none.
 SPACED = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
@@ -67,21 +69,28 @@ SPACED = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}
 DECODE = "SELECT doc, string_agg(text, '' ORDER BY pos) AS text FROM ids JOIN tokens USING (token) GROUP BY doc ORDER BY doc"
 
 
+def _cuts(sizes: np.ndarray, most: int) -> np.ndarray:
+    """Where to cut a list so that the sizes of each part add up to about `most`, or to that of one element."""
+    part = (np.cumsum(sizes) - sizes // 2) // most
+    return np.flatnonzero(np.diff(part)) + 1
+
+
 class Bpe:
     """Ranks and merges in a DuckDB database of the task, with pieces already encoded at hand."""
 
-    def __init__(self, ranks: bytes, pattern: str, most: int = 300_000, chunk: int = 20_000):
+    def __init__(self, ranks: bytes, pattern: str, most: int = 300_000):
         import duckdb
         import regex
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-        self.find, self.most, self.chunk = regex.compile(pattern).findall, most, chunk
+        self.find, self.most = regex.compile(pattern).findall, most
         self.rare = sorted((t for t in self.ranks if len(t) > SHORT), key=len, reverse=True)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
         rows = ((self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks)
         lhs, rhs, rank = np.fromiter((x for row in rows for x in row), np.int32).reshape(-1, 3).T
         self._table("merges", lhs=lhs, rhs=rhs, rank=rank)
+        self._table("pairs", both=(lhs.astype(np.int64) << 32) + rhs, rank=rank)
         self._table("lone", token=np.unique(np.concatenate((lhs[rank < lhs], rhs[rank < rhs]))))
         names = [t.decode("latin-1") for t in self.ranks]
         self.db.register("given", pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "text": pa.array(names)}))
@@ -92,6 +101,9 @@ class Bpe:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS FROM given")
 
+    def _allow(self, more: int) -> None:
+        self.db.execute(f"SET memory_limit = '{MEMORY_MB + more}MB'")
+
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -119,13 +131,13 @@ class Bpe:
             longest = next((len(t) for t in self.rare if t in data[i]), SHORT)
             groups.setdefault(ENCODE_LONG.format(reach=2 * longest + 1), []).append(i)
         for query, rest in ((k, np.array(v, np.int64)) for k, v in groups.items()):
-            for a in range(0, len(rest), step := self.chunk if query is ENCODE else 100):
-                some = rest[a : a + step]
+            rows = sizes[rest] * (sizes[rest] + 1) // 2 if query is ENCODE else np.full(len(rest), ROWS // 100)
+            for some in np.split(rest, _cuts(rows, ROWS)):
                 pos = ranges(np.zeros(len(some), np.int64), sizes[some]).astype(np.int32)
                 token = self.bytes[np.frombuffer(b"".join(data[i] for i in some), np.uint8)]
                 self._table("bytes_of_pieces", piece=np.repeat(some, sizes[some]).astype(np.int32), pos=pos, nxt=pos + np.int32(1), token=token)
-                need = MEMORY_MB + int(sizes[some].sum()) // 500
-                self.db.execute(f"SET memory_limit = '{need}MB'")
+                made = int((sizes[some] * (sizes[some] + 1)).sum()) // 50_000 if query is ENCODE else 136 + int(sizes[some].sum()) // 500
+                self._allow(made)
                 got = self.db.sql(query).to_arrow_table()
                 counts[some] = np.bincount(got["piece"].to_numpy(), minlength=len(pieces))[some]
                 parts.append((some, got["token"].to_numpy()))
@@ -151,21 +163,25 @@ class Bpe:
         owner, coded = pc.list_parent_indices(lists).to_numpy(), lists.flatten().dictionary_encode()
         inner = np.concatenate(([False], owner[1:] == owner[:-1])) if len(owner) else np.zeros(0, bool)
         keys, back = np.unique(coded.indices.to_numpy().astype(np.int64) * 2 + inner, return_inverse=True)
-        words = coded.dictionary.to_pylist()
-        chunks = [" " + words[k >> 1] if k & 1 else words[k >> 1] for k in keys.tolist()]
+        words = coded.dictionary.take(pa.array(keys >> 1))
+        chunks = pc.if_else(pa.array(keys & 1 == 1), pc.binary_join_element_wise("", words, " "), words).to_numpy(zero_copy_only=False).tolist()
         if len(self.place) > self.most or len(self.flat) > 12 * self.most:
             self.make_room()
         before = len(self.lengths)
-        new = [c for c in chunks if c not in self.place]
-        if new:
+        at = list(map(self.place.get, chunks))
+        blank = [i for i, x in enumerate(at) if x is None]
+        if blank:
+            new = [chunks[i] for i in blank]
             found = [self.find(c) for c in new]
             pieces = list(dict.fromkeys(p for x in found for p in x if p not in self.place))
             self._hold(pieces, *self.merged(pieces))
             several = [i for i, x in enumerate(found) if len(x) != 1]
-            at = np.array([self.place[p] for i in several for p in found[i]], np.int64)
-            sizes = np.bincount(np.repeat(np.arange(len(several)), [len(found[i]) for i in several]), self.lengths[at], len(several)).astype(np.int64)
-            self._hold([new[i] for i in several], self.flat[ranges(self.starts[at], self.lengths[at])], sizes)
-        at = np.array([self.place[c] for c in chunks], np.int64)
+            inside = np.array([self.place[p] for i in several for p in found[i]], np.int64)
+            sizes = np.bincount(np.repeat(np.arange(len(several)), [len(found[i]) for i in several]), self.lengths[inside], len(several)).astype(np.int64)
+            self._hold([new[i] for i in several], self.flat[ranges(self.starts[inside], self.lengths[inside])], sizes)
+            for i, c in zip(blank, new, strict=True):
+                at[i] = self.place[c]
+        at = np.array(at, np.int64)
         self.hits[at[at < before]] = True
         at = at[back]
         lengths = self.lengths[at]
@@ -173,11 +189,14 @@ class Bpe:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each text, from its ids alone."""
-        doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        self._table("ids", doc=doc, pos=np.arange(len(ids), dtype=np.int32), token=ids.astype(np.int32))
         out = [b""] * len(counts)
-        for d, text in self.db.sql(DECODE).fetchall():
-            out[d] = text.encode("latin-1")
+        ends = np.cumsum(counts)
+        for docs in np.split(np.arange(len(counts), dtype=np.int32), _cuts(counts, IDS)):
+            own = ids[ends[docs[0]] - counts[docs[0]] : ends[docs[-1]]] if len(docs) else ids[:0]
+            self._table("ids", doc=np.repeat(docs, counts[docs]), pos=np.arange(len(own), dtype=np.int32), token=own.astype(np.int32))
+            self._allow(len(own) // 5_000)
+            for d, text in self.db.sql(DECODE).fetchall():
+                out[d] = text.encode("latin-1")
         return out
 
 
@@ -195,6 +214,8 @@ def _run(shared, decode: bool, batch_bytes: int = 2 << 20):
             if decode:
                 columns["decoded"] = pa.array(bpe.decode(ids, counts), pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
+            del ids, counts, data, ends, columns
+            trimmed()
 
     return run
 

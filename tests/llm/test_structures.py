@@ -236,3 +236,59 @@ def test_grams_leave_a_task_in_small_batches():
             got[gram] += n
     assert max(sizes) == 64
     assert got == Counter(grams(stream(suffix_tree.plain(texts))[0], 4).view(np.int64).tolist())
+
+
+def test_bpe_in_many_parts_and_little_memory(monkeypatch):
+    """Pieces and ids go to DuckDB in parts, whose limit of memory is small, with the results of one part."""
+    import public_tokenizers
+
+    from cuelake.llm import bpe as module
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        bpe = module.Bpe(f.read(), public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh\u00e9\u4e2d") for _ in range(rng.randint(1, 16)))
+    texts = pa.array([None, "", *(" ".join(word() for _ in range(rng.randint(1, 400))) for _ in range(60))])
+    limit = lambda: bpe.db.sql("SELECT value FROM duckdb_settings() WHERE name = 'memory_limit'").fetchall()[0][0]
+    ids, counts = bpe.encode(texts)
+    assert limit().endswith("MiB") and float(limit().split()[0]) < 150
+    whole = [(t or "").encode() for t in texts.to_pylist()]
+    assert bpe.decode(ids, counts) == whole
+    monkeypatch.setattr(module, "ROWS", 3000), monkeypatch.setattr(module, "IDS", 700)
+    bpe.clear()
+    again, sizes = bpe.encode(texts)
+    assert again.tolist() == ids.tolist() and sizes.tolist() == counts.tolist()
+    assert bpe.decode(ids, counts) == whole
+    assert bpe.decode(ids[:0], counts[:0]) == []
+
+
+def test_pieces_are_looked_up_once():
+    """Known and new pieces of one batch, each looked for once, are those that each has alone."""
+    import public_tokenizers
+
+    from cuelake.llm.token_output import PieceIds
+
+    class Counted(dict):
+        asked = 0
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def get(self, key, *default):
+            Counted.asked += 1
+            return super().get(key, *default)
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        pieces = PieceIds(f.read())
+    pieces.place = Counted()
+    alone = lambda x: pieces.tokenizer.encode(x, add_special_tokens=False).ids
+    for words in (["house", "a1-b", "\u00e9t\u00e9"], ["tree", "house", "x.y", "a1-b", "zebra"]):
+        Counted.asked = 0
+        at = pieces._places(words)
+        assert Counted.asked == len(words)
+        assert [pieces.flat[a : a + n].tolist() for a, n in zip(pieces.starts[at], pieces.lengths[at], strict=True)] == [alone(w) for w in words]
