@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -94,28 +95,30 @@ class PieceIds:
 
     def _one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.array([len(x) for x in ids], np.int64)
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         if len(self.place) > self.most:
             self._make_room()
         before = len(self.place)
-        new = [p for p in pieces if p not in self.place]
-        if new:
+        at = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        blank = np.flatnonzero(at < 0)
+        if len(blank):
+            new = [pieces[i] for i in blank.tolist()]
             simple = pc.match_substring_regex(pa.array(new), r"^\p{L}+$").to_numpy(zero_copy_only=False)
             order = np.argsort(~simple, kind="stable")
-            new = [new[i] for i in order]
+            new = [new[i] for i in order.tolist()]
+            at[blank[order]] = np.arange(before, before + len(new))
             parts, sizes = [self.flat], []
             for a in range(0, len(new), self.chunk):
                 for flat, lengths in self._encoded(new[a : a + self.chunk], min(self.chunk, max(0, int(simple.sum()) - a))):
                     parts.append(flat), sizes.append(lengths)
             lengths = np.concatenate(sizes)
-            self.place.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
+            self.place.update(zip(new, range(before, before + len(new)), strict=True))
             self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
             self.lengths = np.concatenate((self.lengths, lengths))
             self.flat = np.concatenate(parts)
             self.hits = np.concatenate((self.hits, np.zeros(len(new), bool)))
-        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
         self.hits[at[at < before]] = True
         return at
 
@@ -133,7 +136,7 @@ class PieceIds:
         there = pc.greater(pc.binary_length(flat), 0)
         owner = pc.list_parent_indices(lists).filter(there).to_numpy()
         coded = flat.filter(there).dictionary_encode()
-        at = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        at = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         lengths = self.lengths[at]
         ids = self.flat[ranges(self.starts[at], lengths)]
         counts = np.bincount(owner, lengths, len(texts)).astype(np.int64)
