@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _OWN: dict[str, str] = {}
@@ -38,16 +39,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """For jobs run within: so many rows go to Python at a time, as it holds a batch whole and ten thousand large values are too much for a worker.
-    The session's own setting comes back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+def settings(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """For jobs run within: settings of the session, whose own ones come back."""
+    before = {k: spark.conf.get(k) for k in values}
     try:
+        for k, v in values.items():
+            spark.conf.set(k, str(v))
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession, rows: int) -> contextlib.AbstractContextManager[None]:
+    """For jobs run within: so many rows go to Python at a time, as it holds a batch whole and ten thousand large values are too much for a worker.
+    The session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    return settings(spark, {name: min(rows, before) if before > 0 else rows})
+
+
+def dealt(df: DataFrame, name: str, parts: int) -> Iterator[DataFrame]:
+    """`df` written under the shared folder in `parts` parts of about the same size, by a hash of its rows, and read back part by part."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    rows = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int"))
+    rows.repartition("_part").write.option("compression", "zstd").partitionBy("_part").parquet(path)
+    held = spark.read.schema(rows.schema).parquet(path)
+    for k in range(parts):
+        yield held.where(F.col("_part") == k).drop("_part")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

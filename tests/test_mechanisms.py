@@ -81,6 +81,24 @@ def test_frames_go_to_python_a_few_at_a_time(spark, tmp_path, monkeypatch):
     assert rows.count() == 3 and seen["frames"] == 32 and spark.conf.get(name) == before
 
 
+def test_image_files_are_read_a_bounded_number_at_a_time(spark, tmp_path, monkeypatch):
+    """So that the driver, which lists and plans a scan whole, never holds all files; files done before are not read, odd names and repeated ones are."""
+    scans, kept = [], frames.read_images
+    monkeypatch.setattr(frames, "FILES", 4)
+    monkeypatch.setattr(frames, "read_images", lambda s, files: scans.append((len(files), kept(s, files))) or scans[-1][1])
+    before = {k: spark.conf.get(k) for k in frames.SCAN}
+    names = [*(f"e0/{i}.png" for i in range(40)), "e1/a+b%20 [1-9]{x}*?.png", "e1/a+b%20 [1-9]1.png"]
+    rows = [(k, bytearray(sources.png(bytes([n] * 64), 8, 8))) for n, k in enumerate(names)]
+    folder = f"file://{tmp_path}/frames"
+    written = sources.write_files(spark.createDataFrame([*rows, rows[3]], "name string, data binary"), folder).collect()
+    files = spark.createDataFrame([*((f"{folder}/{r['name']}",) for r in written), (None,)], "path string")
+    done = spark.createDataFrame([(k,) for k in names[:10]], "path string")
+    got = frames.measured(spark, files, done, lambda: lambda batch: batch.reshape(len(batch), -1)[:, :2], lambda at: F.regexp_extract(at, "(e[01]/.*)$", 1), side=4)
+    assert sorted((r["path"], r["brightness"]) for r in got.collect()) == sorted((k, float(n)) for n, k in enumerate(names) if n >= 10)
+    assert sum(n for n, _ in scans) == 32 == sum(df.count() for _, df in scans) and max(n for n, _ in scans) < 16
+    assert {k: spark.conf.get(k) for k in frames.SCAN} == before
+
+
 def test_first_reports_of_many_keys_in_one_call():
     """A part's keys come in one call, each with its earliest row; its state is read and appended to once. Keys that were seen have no row again."""
     held, calls = [], []
