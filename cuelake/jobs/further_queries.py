@@ -152,8 +152,9 @@ def frame_files(spark: SparkSession, d: str) -> DataFrame:
 
     folder = _folder(spark, "frames")
     name = F.concat(F.lit("e"), F.col("vec_id") % 10, F.lit("/"), F.col("vec_id").cast("string"), F.lit(".png"))
+    spread = e.repartition(e.count() // (16 * frames.FRAMES) + 1)  # a file of vectors may be few tasks
     with small_batches(spark, frames.FRAMES):
-        names = written(sources.write_files(e.select(name.alias("name"), F.pandas_udf(data, "binary")(F.struct("width", "height", "embedding")).alias("data")), folder), "frame-names")
+        names = written(sources.write_files(spread.select(name.alias("name"), F.pandas_udf(data, "binary")(F.struct("width", "height", "embedding")).alias("data")), folder), "frame-names")
     path = lambda at: F.regexp_extract(at, "(e[0-9]/[0-9]+[.]png)$", 1)
     done = e.where("vec_id % 9 = 0").select(name.alias("path"))
     rows = frames.measured(spark, names.select(F.concat(F.lit(f"{folder}/"), "name").alias("path")), done, block_means, path)

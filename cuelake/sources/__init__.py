@@ -141,7 +141,8 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     """Rows (name, data) as files below `folder`, each written by the task that has its row; the names and sizes written.
 
     A file gets its name when it is whole, so that a task that runs twice, or is lost, leaves no part of one. Rows without a name
-    or data are left out; of rows with one name one stays.
+    or data are left out; of rows with one name one stays. They are left out by the task that writes: a filter before it would have data
+    that Python makes made twice.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +150,7 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
 
         place, base = fs.FileSystem.from_uri(folder)
         for batch in batches:
+            batch = batch.filter(pa.compute.and_(batch.column("name").is_valid(), batch.column("data").is_valid()))
             for name, data in zip(batch.column("name").to_pylist(), batch.column("data"), strict=True):
                 path, part = f"{base}/{name}", f"{base}/_{uuid.uuid4().hex}"
                 place.create_dir(path.rpartition("/")[0], recursive=True)
@@ -157,4 +159,4 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
                 place.move(part, path)
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.compute.binary_length(batch.column("data")).cast(pa.int64())], ["name", "bytes"])
 
-    return files.where("name IS NOT NULL AND data IS NOT NULL").select("name", "data").mapInArrow(write, "name string, bytes long")
+    return files.select("name", "data").mapInArrow(write, "name string, bytes long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import os
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -99,6 +100,22 @@ def test_image_files_are_read_a_bounded_number_at_a_time(spark, tmp_path, monkey
     assert {k: spark.conf.get(k) for k in frames.SCAN} == before
 
 
+def test_data_of_files_are_made_once(spark, tmp_path):
+    """A row without data is left out, and no filter has Python make the data of the others once more to find it."""
+    (tmp_path / "calls").mkdir()
+    calls = str(tmp_path / "calls")
+
+    def data(ids: pd.Series) -> pd.Series:
+        for i in ids:
+            open(f"{calls}/{i}-{uuid.uuid4().hex}", "w").close()
+        return pd.Series([b"x" * i if i else None for i in ids])
+
+    rows = spark.range(5).select(F.when(F.col("id") != 4, F.format_string("a/%d.png", "id")).alias("name"), F.pandas_udf(data, "binary")("id").alias("data"))
+    got = sources.write_files(rows, f"file://{tmp_path}/files").collect()
+    assert {tuple(r) for r in got} == {(f"a/{i}.png", i) for i in (1, 2, 3)} and sorted(os.listdir(tmp_path / "files" / "a")) == ["1.png", "2.png", "3.png"]
+    assert sorted(name.partition("-")[0] for name in os.listdir(calls)) == list("01234")
+
+
 def test_first_reports_of_many_keys_in_one_call():
     """A part's keys come in one call, each with its earliest row; its state is read and appended to once. Keys that were seen have no row again."""
     held, calls = [], []
